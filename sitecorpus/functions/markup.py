@@ -49,7 +49,7 @@ ENTITIES = {
 
 def decoded(text: Column) -> Column:
     """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    table = F.str_to_map(F.lit("\x01".join(k + "\x02" + v for k, v in ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
     pieces = F.regexp_extract_all(
         text, F.lit(r"&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0)
     )

@@ -1,8 +1,8 @@
 """URL handling as column expressions.
 
-``with_url_parts`` and ``with_target`` add columns step by step instead of
-nesting one large expression, so that each part of a URL is computed once per
-row; Catalyst keeps the steps as projections of one codegen stage.
+``with_url_parts`` and ``with_target`` add columns in a few projections instead
+of nesting one large expression, so that each part of a URL is computed once
+per row and the plan stays small.
 """
 
 from __future__ import annotations
@@ -29,63 +29,36 @@ def _ends_with(col: Column, endings: list[str]) -> Column:
     return col.rlike("(?:" + "|".join(e.replace(".", "\\.") for e in endings) + ")\\z")
 
 
-def _from(col: Column, start: Column) -> Column:
-    return F.substr(col, start)
+# scheme, netloc, path, params, query, fragment.
+SPLIT = (
+    r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^?#;/]*)(?:;([^?#/]*))?"
+    r"(?:\?([^#]*))?(?:#([\s\S]*))?"
+)
 
 
-def _after(col: Column, mark: str) -> Column:
-    """Text after the first ``mark``, empty when there is none."""
-    at = F.instr(col, mark)
-    return F.when(at > 0, _from(col, at + len(mark))).otherwise(F.lit("")).cast("string")
+def cleaned(url: Column) -> Column:
+    """Without leading blanks and control characters and without tabs and line breaks."""
+    return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
 
 
-def with_url_parts(df: DataFrame, url: str, prefix: str, default_scheme: Column | None = None) -> DataFrame:
-    """Add ``<prefix>scheme/netloc/path/params/query/fragment``.
+def with_url_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
+    """Add ``<prefix>scheme/netloc/path/params/query/fragment``, empty where absent.
 
-    Leading blanks and control characters and any tab or line break are
-    dropped first; ``params`` is what follows ``;`` in the last path segment.
+    ``params`` is what follows ``;`` in the last path segment.
     """
-    p = prefix
-    raw, head, rest = f"__{p}raw", f"__{p}head", f"__{p}rest"
-    scheme = F.lower(F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    df = df.withColumn(raw, F.translate(F.regexp_replace(F.col(url), r"^[\x00-\x20]+", ""), "\t\r\n", ""))
-    df = df.withColumn(head, F.substring_index(F.col(raw), "#", 1))
-    df = df.withColumn(f"{p}scheme", scheme)
-    df = df.withColumn(
-        rest,
-        F.when(F.col(f"{p}scheme") != "", _from(F.col(head), F.length(f"{p}scheme") + 2)).otherwise(F.col(head)),
-    )
-    if default_scheme is not None:
-        df = df.withColumn(
-            f"{p}scheme", F.when(F.col(f"{p}scheme") == "", default_scheme).otherwise(F.col(f"{p}scheme"))
-        )
-    has_host = F.col(rest).startswith("//")
-    df = df.withColumn(
-        f"{p}netloc",
-        F.when(has_host, F.regexp_extract(rest, r"^//([^/?]*)", 1)).otherwise(F.lit("")),
+    text = f"__{prefix}text"
+    df = df.withColumn(text, cleaned(F.col(url)))
+    part = {name: F.regexp_extract(text, SPLIT, i + 1) for i, name in enumerate(PARTS)}
+    part["scheme"] = F.lower(part["scheme"])
+    df = df.withColumns({f"{prefix}{name}": column for name, column in part.items()}).drop(text)
+    no_params = (F.col(f"{prefix}params") != "") & ~F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
+    path = F.concat(F.col(f"{prefix}path"), F.lit(";"), F.col(f"{prefix}params"))
+    return df.withColumns(
+        {
+            f"{prefix}path": F.when(no_params, path).otherwise(F.col(f"{prefix}path")),
+            f"{prefix}params": F.when(no_params, F.lit("")).otherwise(F.col(f"{prefix}params")),
+        }
     )
-    df = df.withColumn(
-        rest,
-        F.when(has_host, _from(F.col(rest), F.length(f"{p}netloc") + 3)).otherwise(F.col(rest)),
-    )
-    df = df.withColumn(f"{p}query", _after(F.col(rest), "?"))
-    df = df.withColumn(f"{p}fragment", _after(F.col(raw), "#"))
-    df = df.withColumn(rest, F.substring_index(F.col(rest), "?", 1))
-    has_params = F.col(f"{p}scheme").isin(PARAM_SCHEMES) & (
-        F.instr(F.substring_index(F.col(rest), "/", -1), ";") > 0
-    )
-    df = df.withColumn(
-        f"{p}params",
-        F.when(has_params, _after(F.substring_index(F.col(rest), "/", -1), ";")).otherwise(F.lit("")),
-    )
-    df = df.withColumn(
-        f"{p}path",
-        F.when(
-            has_params,
-            F.expr(f"left(`{rest}`, length(`{rest}`) - length(`{p}params`) - 1)"),
-        ).otherwise(F.col(rest)),
-    )
-    return df.drop(raw, head, rest)
 
 
 def drop_parts(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -145,46 +118,39 @@ def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> Dat
     ``base`` is the prefix of the page's own URL parts (``with_url_parts``).
     Besides ``out`` this adds ``<out>_scheme``, ``<out>_netloc`` and ``<out>_path``.
     """
-    h, r = f"__{out}h_", f"__{out}r_"
-    joined, bare = f"__{out}joined", f"__{out}bare"
+    h = f"__{out}h_"
     b = {part: F.col(f"{base}{part}") for part in PARTS}
-    df = with_url_parts(df, href, h, b["scheme"])
     x = {part: F.col(f"{h}{part}") for part in PARTS}
-    same_page = (x["path"] == "") & (x["params"] == "")
-    local = F.when(
-        same_page,
-        unsplit(
-            b["scheme"], b["netloc"], b["path"], b["params"],
-            F.when(x["query"] == "", b["query"]).otherwise(x["query"]),
-        ),
-    ).otherwise(
-        unsplit(x["scheme"], b["netloc"], _joined_path(b["path"], x["path"]), x["params"], x["query"])
+    df = with_url_parts(df, href, h)
+    foreign = (x["scheme"] != "") & (x["scheme"] != b["scheme"])
+    whole = foreign | (x["netloc"] != "")
+    same_page = ~whole & (x["path"] == "") & (x["params"] == "")
+    path = F.when(whole, x["path"]).when(same_page, b["path"]).otherwise(_joined_path(b["path"], x["path"]))
+    df = df.withColumns(
+        {
+            f"{out}_scheme": F.when(x["scheme"] == "", b["scheme"]).otherwise(x["scheme"]),
+            f"{out}_netloc": F.when(whole, x["netloc"]).otherwise(b["netloc"]),
+            f"{out}_path": path,
+            f"{out}_params": F.when(same_page, b["params"]).otherwise(x["params"]),
+            f"{out}_query": F.when(same_page & (x["query"] == ""), b["query"]).otherwise(x["query"]),
+            # A URL of another scheme is taken as it stands.
+            f"{out}_asis": foreign & (F.instr(F.col(href), "#") == 0),
+        }
     )
-    with_hash = lambda u: F.when(x["fragment"] != "", F.concat(u, F.lit("#"), x["fragment"])).otherwise(u)
+    df = drop_parts(df, h)
+    t = {part: F.col(f"{out}_{part}") for part in PARTS[:5]}
     df = df.withColumn(
-        joined,
-        F.when(x["scheme"] != b["scheme"], F.col(href))
-        .when(x["netloc"] != "", with_hash(unsplit(*[x[k] for k in PARTS[:5]])))
-        .when(F.col(href) == "", unsplit(*[b[k] for k in PARTS[:5]]))
-        .otherwise(with_hash(local)),
-    )
-    df = with_url_parts(drop_parts(df, h), joined, r)
-    y = {part: F.col(f"{r}{part}") for part in PARTS}
-    df = df.withColumn(
-        bare,
-        F.when(F.instr(joined, "#") > 0, unsplit(*[y[k] for k in PARTS[:5]])).otherwise(F.col(joined)),
-    )
-    keeps_query = _ends_with(y["path"], CONTENT_ENDINGS) | (y["path"] == "") | y["path"].endswith("/")
-    df = (
-        df.withColumn(
-            out,
-            F.when(keeps_query, F.col(bare)).otherwise(F.concat(y["scheme"], F.lit("://"), y["netloc"], y["path"])),
-        )
-        .withColumn(f"{out}_scheme", y["scheme"])
-        .withColumn(f"{out}_netloc", y["netloc"])
-        .withColumn(f"{out}_path", y["path"])
+        f"{out}_path",
+        F.when((t["netloc"] != "") & (t["path"] != "") & ~t["path"].startswith("/"), F.concat(F.lit("/"), t["path"]))
+        .otherwise(t["path"]),
     )
-    return drop_parts(df.drop(joined, bare), r)
+    keeps_query = _ends_with(t["path"], CONTENT_ENDINGS) | (t["path"] == "") | t["path"].endswith("/")
+    return df.withColumn(
+        out,
+        F.when(~keeps_query, F.concat(t["scheme"], F.lit("://"), t["netloc"], t["path"]))
+        .when(F.col(f"{out}_asis"), F.col(href))
+        .otherwise(unsplit(*t.values())),
+    ).drop(f"{out}_params", f"{out}_query", f"{out}_asis")
 
 
 def with_page_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:

@@ -28,17 +28,18 @@ def page_links(pages: DataFrame, mode: str = "html", root_netloc: str | None = N
     """
     if mode not in ("html", "regex"):
         raise ValueError(f"unknown link mode {mode!r}")
-    base = urls.with_url_parts(pages, "url", "b_")
     if mode == "html":
         # Comments and raw text are matched too, so anchors inside them are passed over.
-        found = F.filter(
+        tags = F.filter(
             F.regexp_extract_all("html", F.lit(ANCHORS), F.lit(0)), lambda t: F.lower(F.left(t, F.lit(2))) == "<a"
         )
-        df = base.select("*", F.posexplode(found).alias("pos", "tag")).drop("html")
-        df = df.withColumn("href", markup.attribute(markup.inside(F.col("tag")), "href"))
+        hrefs = F.transform(tags, lambda t: markup.attribute(markup.inside(t), "href"))
     else:
-        found = F.regexp_extract_all("html", F.lit(LOOSE_ANCHOR), F.lit(1))
-        df = base.select("*", F.posexplode(found).alias("pos", "href")).drop("html")
+        hrefs = F.regexp_extract_all("html", F.lit(LOOSE_ANCHOR), F.lit(1))
+    kept = [c for c in ("page_id", "url", root_netloc) if c]
+    df = urls.with_url_parts(pages, "url", "b_").select(
+        *kept, *[f"b_{part}" for part in urls.PARTS], F.posexplode(hrefs).alias("pos", "href")
+    )
     df = df.where(F.col("href").isNotNull() & ~urls.is_skipped_href(F.col("href")))
     df = urls.with_target(df, "href", "b_")
     root = F.col(root_netloc) if root_netloc else F.col("b_netloc")

@@ -20,6 +20,7 @@ def running_sum(
     """Add ``out``: the sum of ``value`` up to and with this row, by ``order`` within ``keys``.
 
     ``order`` is a whole number, unique within the keys, which are not NULL.
+    ``df`` is read three times; pass a narrow frame that is already written.
     """
     chunk, total, before = f"__chunk{levels}", f"__total{levels}", f"__before{levels}"
     by_chunk = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width))).withColumn(total, value)

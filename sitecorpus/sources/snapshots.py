@@ -12,25 +12,24 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-def fetched_pages(pages: DataFrame) -> DataFrame:
-    """The latest snapshot per crawl key; an empty body is a failed fetch.
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """The latest page id per crawl key: ``page_id, url_key, scheme, netloc``.
 
-    The latest ids are found on the narrow columns with map-side aggregation,
+    Only the narrow columns are read and the maximum is taken map-side first,
     so many copies of one URL never meet in one task with their HTML.
     """
     keyed = urls.with_page_key(pages.select("page_id", "url"))
-    latest = keyed.groupBy("url_key", "url_key_scheme", "url_key_netloc").agg(F.max("page_id").alias("page_id"))
+    return keyed.groupBy(
+        "url_key", F.col("url_key_scheme").alias("scheme"), F.col("url_key_netloc").alias("netloc")
+    ).agg(F.max("page_id").alias("page_id"))
+
+
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """The latest snapshot per crawl key; an empty body is a failed fetch."""
     return (
         pages.select("page_id", "html")
-        .join(latest, "page_id")
-        .select(
-            "page_id",
-            "url_key",
-            F.col("url_key_scheme").alias("scheme"),
-            F.col("url_key_netloc").alias("netloc"),
-            "html",
-            is_fetched(F.col("html")).alias("ok"),
-        )
+        .join(latest_pages(pages), "page_id")
+        .select("page_id", "url_key", "scheme", "netloc", "html", is_fetched(F.col("html")).alias("ok"))
     )
 
 
