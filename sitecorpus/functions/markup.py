@@ -72,17 +72,26 @@ def decoded(text: Column) -> Column:
     return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
-def attribute(attrs: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` in the inside of a tag, decoded; NULL if absent."""
-    entries = F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(0))
-    found = F.try_element_at(
-        F.filter(entries, lambda e: F.lower(F.regexp_extract(e, r"^[^\s=]+", 0)) == name), F.lit(1)
+def attributes(attrs: Column) -> Column:
+    """All attributes in the inside of a tag, as an array of ``(name, value)`` with decoded values."""
+    split = F.transform(
+        F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(0)),
+        lambda e: F.struct(
+            F.lower(F.regexp_extract(e, r"^[^\s=]+", 0)).alias("name"),
+            F.regexp_extract(e, r"^[^=]+=\s*([\s\S]*)", 1).alias("value"),
+        ),
     )
-    value = F.regexp_extract(found, r"^[^=]+=\s*([\s\S]*)", 1)
-    bare = F.when(
-        value.startswith('"') | value.startswith("'"), F.substr(value, F.lit(2), F.length(value) - 2)
-    ).otherwise(value)
-    return F.when(F.instr(F.lower(attrs), name) > 0, decoded(bare))
+    return F.transform(
+        split,
+        lambda e: F.struct(
+            e["name"].alias("name"), decoded(F.regexp_replace(e["value"], "^[\"']|[\"']\\z", "")).alias("value")
+        ),
+    )
+
+
+def attribute(attribute_list: Column, name: str) -> Column:
+    """Value of the first attribute ``name`` in an array from ``attributes``; NULL if absent."""
+    return F.try_element_at(F.filter(attribute_list, lambda e: e["name"] == name), F.lit(1))["value"]
 
 
 def inside(tag: Column) -> Column:

@@ -112,12 +112,8 @@ def _joined_path(base_path: Column, path: Column) -> Column:
     return F.when(dotted, F.when(walked == "", F.lit("/")).otherwise(walked)).otherwise(merged)
 
 
-def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> DataFrame:
-    """Add the crawl key of ``href`` seen from the page.
-
-    ``base`` is the prefix of the page's own URL parts (``with_url_parts``).
-    Besides ``out`` this adds ``<out>_scheme``, ``<out>_netloc`` and ``<out>_path``.
-    """
+def _with_joined_parts(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
+    """Add the parts of ``href`` seen from the page as ``<out>_...``, and ``<out>_foreign``."""
     h = f"__{out}h_"
     b = {part: F.col(f"{base}{part}") for part in PARTS}
     x = {part: F.col(f"{h}{part}") for part in PARTS}
@@ -133,24 +129,41 @@ def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> Dat
             f"{out}_path": path,
             f"{out}_params": F.when(same_page, b["params"]).otherwise(x["params"]),
             f"{out}_query": F.when(same_page & (x["query"] == ""), b["query"]).otherwise(x["query"]),
-            # A URL of another scheme is taken as it stands.
-            f"{out}_asis": foreign & (F.instr(F.col(href), "#") == 0),
+            f"{out}_fragment": x["fragment"],
+            f"{out}_foreign": foreign,
         }
     )
-    df = drop_parts(df, h)
-    t = {part: F.col(f"{out}_{part}") for part in PARTS[:5]}
-    df = df.withColumn(
-        f"{out}_path",
-        F.when((t["netloc"] != "") & (t["path"] != "") & ~t["path"].startswith("/"), F.concat(F.lit("/"), t["path"]))
-        .otherwise(t["path"]),
-    )
+    netloc, path = F.col(f"{out}_netloc"), F.col(f"{out}_path")
+    rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    return drop_parts(df, h).withColumn(f"{out}_path", rooted)
+
+
+def with_resolved(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
+    """Add ``href`` as an absolute URL, query and fragment kept; a URL of another scheme stays as it is."""
+    df = _with_joined_parts(df, href, base, out)
+    t = {part: F.col(f"{out}_{part}") for part in PARTS}
+    tail = F.when(t["fragment"] != "", F.concat(F.lit("#"), t["fragment"])).otherwise(F.lit(""))
+    full = F.concat(unsplit(*[t[part] for part in PARTS[:5]]), tail)
+    df = df.withColumn(out, F.when(F.col(f"{out}_foreign"), F.col(href)).otherwise(full))
+    return drop_parts(df, f"{out}_").drop(f"{out}_foreign")
+
+
+def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> DataFrame:
+    """Add the crawl key of ``href`` seen from the page.
+
+    ``base`` is the prefix of the page's own URL parts (``with_url_parts``).
+    Besides ``out`` this adds ``<out>_scheme``, ``<out>_netloc`` and ``<out>_path``.
+    """
+    df = _with_joined_parts(df, href, base, out)
+    t = {part: F.col(f"{out}_{part}") for part in PARTS}
     keeps_query = _ends_with(t["path"], CONTENT_ENDINGS) | (t["path"] == "") | t["path"].endswith("/")
-    return df.withColumn(
+    df = df.withColumn(
         out,
         F.when(~keeps_query, F.concat(t["scheme"], F.lit("://"), t["netloc"], t["path"]))
-        .when(F.col(f"{out}_asis"), F.col(href))
-        .otherwise(unsplit(*t.values())),
-    ).drop(f"{out}_params", f"{out}_query", f"{out}_asis")
+        .when(F.col(f"{out}_foreign") & (F.instr(F.col(href), "#") == 0), F.col(href))
+        .otherwise(unsplit(*[t[part] for part in PARTS[:5]])),
+    )
+    return drop_parts(df, f"{out}_", keep=("scheme", "netloc", "path")).drop(f"{out}_foreign")
 
 
 def with_page_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:

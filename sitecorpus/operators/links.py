@@ -33,7 +33,7 @@ def page_links(pages: DataFrame, mode: str = "html", root_netloc: str | None = N
         tags = F.filter(
             F.regexp_extract_all("html", F.lit(ANCHORS), F.lit(0)), lambda t: F.lower(F.left(t, F.lit(2))) == "<a"
         )
-        hrefs = F.transform(tags, lambda t: markup.attribute(markup.inside(t), "href"))
+        hrefs = F.transform(tags, lambda t: markup.attribute(markup.attributes(markup.inside(t)), "href"))
     else:
         hrefs = F.regexp_extract_all("html", F.lit(LOOSE_ANCHOR), F.lit(1))
     kept = [c for c in ("page_id", "url", root_netloc) if c]
