@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitecorpus.functions.text import quoted
+
 # Inside of a tag: anything up to ">", where a quoted value may hold ">".
 TAG_BODY = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
 COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
@@ -47,53 +49,62 @@ ENTITIES = {
 }
 
 
-def decoded(text: Column) -> Column:
-    """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    table = F.str_to_map(F.lit("\x01".join(k + "\x02" + v for k, v in ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
-    pieces = F.regexp_extract_all(
-        text, F.lit(r"&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), F.lit(0)
-    )
+REFERENCE = r"&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
-    def numeric(digits: Column, base: int) -> Column:
-        digits = F.regexp_replace(digits, "^0+", "")
-        code = F.when(F.length(digits) <= 7, F.conv(digits, base, 10).cast("int"))
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(valid, char).otherwise(F.lit("�"))
 
-    def one(piece: Column) -> Column:
-        return (
-            F.when(~piece.startswith("&") | (F.length(piece) == 1), piece)
-            .when(F.lower(piece).startswith("&#x"), numeric(F.substr(piece, F.lit(4), F.length(piece) - 4), 16))
-            .when(piece.startswith("&#"), numeric(F.substr(piece, F.lit(3), F.length(piece) - 3), 10))
-            .otherwise(F.coalesce(F.try_element_at(table, piece), piece))
-        )
+def _numeric_sql(digits: str, base: int) -> str:
+    """The character of a number; U+FFFD for one that is none."""
+    code = f"CAST(conv(right({digits}, 7), {base}, 10) AS INT)"
+    return (
+        f"IF(ltrim('0', {digits}) <> '' AND length(ltrim('0', {digits})) <= 7 AND ({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111),"
+        f" decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32'), '�')"
+    )
 
-    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+def decoded_sql(text: str) -> str:
+    """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+    table = "str_to_map({}, '\\u0001', '\\u0002')".format(
+        quoted("\x01".join(k + "\x02" + v for k, v in ENTITIES.items()))
+    )
+    return f"""IF(instr({text}, '&') > 0, array_join(transform(regexp_extract_all({text}, {quoted(REFERENCE)}, 0), ref ->
+      CASE WHEN NOT startswith(ref, '&') OR length(ref) = 1 THEN ref
+        WHEN startswith(lower(ref), '&#x') THEN {_numeric_sql("substr(ref, 4, length(ref) - 4)", 16)}
+        WHEN startswith(ref, '&#') THEN {_numeric_sql("substr(ref, 3, length(ref) - 3)", 10)}
+        ELSE coalesce(try_element_at({table}, ref), ref) END), ''), {text})"""
 
 
-def attributes(attrs: Column) -> Column:
+def attributes_sql(attrs: str) -> str:
     """All attributes in the inside of a tag, as an array of ``(name, value)`` with decoded values."""
-    split = F.transform(
-        F.regexp_extract_all(attrs, F.lit(ATTRIBUTE), F.lit(0)),
-        lambda e: F.struct(
-            F.lower(F.regexp_extract(e, r"^[^\s=]+", 0)).alias("name"),
-            F.regexp_extract(e, r"^[^=]+=\s*([\s\S]*)", 1).alias("value"),
-        ),
-    )
-    return F.transform(
-        split,
-        lambda e: F.struct(
-            e["name"].alias("name"), decoded(F.regexp_replace(e["value"], "^[\"']|[\"']\\z", "")).alias("value")
-        ),
-    )
+    name = f"lower(regexp_extract(entry, {quoted(r'^[^\s=]+')}, 0))"
+    value = f"regexp_extract(entry, {quoted(r'^[^=]+=\s*([\s\S]*)')}, 1)"
+    bare = f"regexp_replace(pair.value, {quoted('^["' + chr(39) + ']|["' + chr(39) + r']\z')}, '')"
+    return f"""transform(
+      transform(regexp_extract_all({attrs}, {quoted(ATTRIBUTE)}, 0), entry -> named_struct('name', {name}, 'value', {value})),
+      pair -> named_struct('name', pair.name, 'value', {decoded_sql(bare)}))"""
 
 
-def attribute(attribute_list: Column, name: str) -> Column:
-    """Value of the first attribute ``name`` in an array from ``attributes``; NULL if absent."""
-    return F.try_element_at(F.filter(attribute_list, lambda e: e["name"] == name), F.lit(1))["value"]
+def attribute_sql(attribute_list: str, name: str) -> str:
+    """Value of the first attribute ``name`` in an array from ``attributes_sql``; NULL if absent."""
+    return f"try_element_at(filter({attribute_list}, pair -> pair.name = {quoted(name)}), 1).value"
 
 
-def inside(tag: Column) -> Column:
+def inside_sql(tag: str) -> str:
     """What stands between the tag name and the closing ``>``."""
-    return F.regexp_extract(tag, r"^</?[A-Za-z][^\s/>]*([\s\S]*?)/?>\z", 1)
+    return f"regexp_extract({tag}, {quoted(INSIDE)}, 1)"
+
+
+INSIDE = r"^</?[A-Za-z][^\s/>]*([\s\S]*?)/?>\z"
+
+
+def tags_sql(html: str, pattern: str, start: str) -> str:
+    """The attributes of each tag among the matches of ``pattern`` that starts with ``start``."""
+    mine = f"filter(regexp_extract_all({html}, {quoted(pattern)}, 0), tag -> lower(left(tag, {len(start)})) = {quoted(start)})"
+    return f"transform({mine}, tag -> {attributes_sql(inside_sql('tag'))})"
+
+
+def decoded(text: str) -> Column:
+    return F.expr(decoded_sql(text))
+
+
+def attribute(attribute_list: str, name: str) -> Column:
+    return F.expr(attribute_sql(attribute_list, name))

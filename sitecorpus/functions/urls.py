@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitecorpus.functions.text import endings, listed, quoted
+
 # Path endings whose query string is kept.
 CONTENT_ENDINGS = [".html", ".htm", ".php", ".asp", ".aspx", ".jsp"]
 # Path endings that are not web pages.
@@ -25,10 +27,6 @@ PARAM_SCHEMES = ["", "http", "https", "ftp", "sftp", "tel"]
 PARTS = ["scheme", "netloc", "path", "params", "query", "fragment"]
 
 
-def _ends_with(col: Column, endings: list[str]) -> Column:
-    return col.rlike("(?:" + "|".join(e.replace(".", "\\.") for e in endings) + ")\\z")
-
-
 # scheme, netloc, path, params, query, fragment.
 SPLIT = (
     r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^?#;/]*)(?:;([^?#/]*))?"
@@ -46,18 +44,22 @@ def with_url_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
 
     ``params`` is what follows ``;`` in the last path segment.
     """
-    text = f"__{prefix}text"
+    p, text = prefix, f"__{prefix}text"
     df = df.withColumn(text, cleaned(F.col(url)))
-    part = {name: F.regexp_extract(text, SPLIT, i + 1) for i, name in enumerate(PARTS)}
-    part["scheme"] = F.lower(part["scheme"])
-    df = df.withColumns({f"{prefix}{name}": column for name, column in part.items()}).drop(text)
-    no_params = (F.col(f"{prefix}params") != "") & ~F.col(f"{prefix}scheme").isin(PARAM_SCHEMES)
-    path = F.concat(F.col(f"{prefix}path"), F.lit(";"), F.col(f"{prefix}params"))
-    return df.withColumns(
-        {
-            f"{prefix}path": F.when(no_params, path).otherwise(F.col(f"{prefix}path")),
-            f"{prefix}params": F.when(no_params, F.lit("")).otherwise(F.col(f"{prefix}params")),
-        }
+    raw = {name: f"regexp_extract({text}, {quoted(SPLIT)}, {i + 1})" for i, name in enumerate(PARTS)}
+    df = df.selectExpr(
+        *[c for c in df.columns if c != text],
+        f"lower({raw['scheme']}) AS {p}scheme",
+        *[f"{raw[name]} AS {p}{name}" for name in ("netloc", "query", "fragment")],
+        f"{raw['path']} AS {p}path0",
+        f"{raw['params']} AS {p}params0",
+    )
+    kept = [c for c in df.columns if c not in (f"{p}path0", f"{p}params0")]
+    plain = f"({p}params0 = '' OR {p}scheme IN ({listed(PARAM_SCHEMES)}))"
+    return df.selectExpr(
+        *kept,
+        f"IF({plain}, {p}path0, concat({p}path0, ';', {p}params0)) AS {p}path",
+        f"IF({plain}, {p}params0, '') AS {p}params",
     )
 
 
@@ -65,87 +67,74 @@ def drop_parts(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFr
     return df.drop(*[f"{prefix}{part}" for part in PARTS if part not in keep])
 
 
-def unsplit(scheme: Column, netloc: Column, path: Column, params: Column, query: Column) -> Column:
-    """Put the parts of a URL, without its fragment, together again."""
-    tail = F.concat(path, F.when(params != "", F.concat(F.lit(";"), params)).otherwise(F.lit("")))
-    rooted = F.when((tail != "") & ~tail.startswith("/"), F.concat(F.lit("/"), tail)).otherwise(tail)
-    bare = tail.startswith("//") | (
-        scheme.isin(HOST_SCHEMES) & ((tail == "") | tail.startswith("/"))
+def unsplit_sql(scheme: str, netloc: str, path: str, params: str, query: str) -> str:
+    """The parts of a URL, without its fragment, together again; ``path`` is rooted if there is a host."""
+    tail = f"concat({path}, IF({params} <> '', concat(';', {params}), ''))"
+    host = (
+        f"IF({netloc} <> '' OR startswith({path}, '//') OR ({scheme} IN ({listed(HOST_SCHEMES)})"
+        f" AND ({tail} = '' OR startswith({path}, '/'))), concat('//', {netloc}), '')"
     )
-    body = (
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(bare, F.concat(F.lit("//"), tail))
-        .otherwise(tail)
+    return (
+        f"concat(IF({scheme} <> '', concat({scheme}, ':'), ''), {host}, {tail},"
+        f" IF({query} <> '', concat('?', {query}), ''))"
     )
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        body,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
-
 
-def _without_dots(segments: Column) -> Column:
-    """Walk path segments: ``..`` takes one back, ``.`` is skipped, a final dot leaves a slash."""
-    empty = F.array().cast("array<string>")
 
-    def step(done: Column, seg: Column) -> Column:
-        return (
-            F.when(seg == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
-            .when(seg == ".", done)
-            .otherwise(F.concat(done, F.array(seg)))
-        )
-
-    walked = F.aggregate(segments, empty, step)
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-
-
-def _joined_path(base_path: Column, path: Column) -> Column:
-    """Path of a relative reference that has a path, seen from ``base_path``."""
-    directory = F.regexp_replace(base_path, r"[^/]*\z", "")
-    relative = F.concat(directory, F.when(directory.endswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
-    # Empty segments in the middle are dropped for relative paths only.
-    relative = F.regexp_replace(relative, "(?<=.)/{2,}", "/")
-    merged = F.when(path.startswith("/"), path).otherwise(relative)
-    dotted = merged.rlike(r"(?:^|/)\.\.?(?:/|\z)")
-    walked = F.array_join(_without_dots(F.split(merged, "/")), "/")
-    return F.when(dotted, F.when(walked == "", F.lit("/")).otherwise(walked)).otherwise(merged)
+# Walks path segments: ".." takes one back, "." is skipped, a final dot leaves a slash.
+DOTLESS = """
+array_join(
+  concat(
+    aggregate(split({path}, '/'), CAST(array() AS array<string>), (done, seg) ->
+      CASE WHEN seg = '..' THEN slice(done, 1, greatest(size(done) - 1, 0))
+           WHEN seg = '.' THEN done ELSE concat(done, array(seg)) END),
+    IF(substring_index({path}, '/', -1) IN ('.', '..'), array(''), CAST(array() AS array<string>))),
+  '/')"""
 
 
 def _with_joined_parts(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     """Add the parts of ``href`` seen from the page as ``<out>_...``, and ``<out>_foreign``."""
-    h = f"__{out}h_"
-    b = {part: F.col(f"{base}{part}") for part in PARTS}
-    x = {part: F.col(f"{h}{part}") for part in PARTS}
+    h, b = f"__{out}h_", base
     df = with_url_parts(df, href, h)
-    foreign = (x["scheme"] != "") & (x["scheme"] != b["scheme"])
-    whole = foreign | (x["netloc"] != "")
-    same_page = ~whole & (x["path"] == "") & (x["params"] == "")
-    path = F.when(whole, x["path"]).when(same_page, b["path"]).otherwise(_joined_path(b["path"], x["path"]))
-    df = df.withColumns(
-        {
-            f"{out}_scheme": F.when(x["scheme"] == "", b["scheme"]).otherwise(x["scheme"]),
-            f"{out}_netloc": F.when(whole, x["netloc"]).otherwise(b["netloc"]),
-            f"{out}_path": path,
-            f"{out}_params": F.when(same_page, b["params"]).otherwise(x["params"]),
-            f"{out}_query": F.when(same_page & (x["query"] == ""), b["query"]).otherwise(x["query"]),
-            f"{out}_fragment": x["fragment"],
-            f"{out}_foreign": foreign,
-        }
+    kept = [c for c in df.columns if not c.startswith(h)]
+    dropped = [f"{h}{part}" for part in PARTS]
+    directory = f"regexp_replace({b}path, '[^/]*\\\\z', '')"
+    # Empty segments in the middle are dropped for relative paths only.
+    relative = f"regexp_replace(concat({directory}, IF(endswith({directory}, '/'), '', '/'), {h}path), '(?<=.)/{{2,}}', '/')"
+    df = df.selectExpr(
+        *kept,
+        *dropped,
+        f"({h}scheme <> '' AND {h}scheme <> {b}scheme) AS {out}_foreign",
+        f"({h}netloc = '' AND ({h}scheme = '' OR {h}scheme = {b}scheme)) AS {out}_local",
+        f"IF(startswith({h}path, '/'), {h}path, {relative}) AS {out}_merged",
+    )
+    same_page = f"({out}_local AND {h}path = '' AND {h}params = '')"
+    dotted = f"regexp_like({out}_merged, '(?:^|/)[.][.]?(?:/|\\\\z)')"
+    walked = DOTLESS.format(path=f"{out}_merged")
+    df = df.selectExpr(
+        *kept,
+        f"{out}_foreign",
+        f"IF({h}scheme = '', {b}scheme, {h}scheme) AS {out}_scheme",
+        f"IF({out}_local, {b}netloc, {h}netloc) AS {out}_netloc",
+        f"""CASE WHEN NOT {out}_local THEN {h}path WHEN {same_page} THEN {b}path
+            WHEN {dotted} THEN coalesce(nullif({walked}, ''), '/') ELSE {out}_merged END AS {out}_path0""",
+        f"IF({same_page}, {b}params, {h}params) AS {out}_params",
+        f"IF({same_page} AND {h}query = '', {b}query, {h}query) AS {out}_query",
+        f"{h}fragment AS {out}_fragment",
     )
-    netloc, path = F.col(f"{out}_netloc"), F.col(f"{out}_path")
-    rooted = F.when((netloc != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    return drop_parts(df, h).withColumn(f"{out}_path", rooted)
+    kept = [c for c in df.columns if c != f"{out}_path0"]
+    rooted = f"concat(IF({out}_netloc <> '' AND {out}_path0 <> '' AND NOT startswith({out}_path0, '/'), '/', ''), {out}_path0)"
+    return df.selectExpr(*kept, f"{rooted} AS {out}_path")
+
+
+def _unsplit_of(out: str) -> str:
+    return unsplit_sql(*[f"{out}_{part}" for part in PARTS[:5]])
 
 
 def with_resolved(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
     """Add ``href`` as an absolute URL, query and fragment kept; a URL of another scheme stays as it is."""
-    df = _with_joined_parts(df, href, base, out)
-    t = {part: F.col(f"{out}_{part}") for part in PARTS}
-    tail = F.when(t["fragment"] != "", F.concat(F.lit("#"), t["fragment"])).otherwise(F.lit(""))
-    full = F.concat(unsplit(*[t[part] for part in PARTS[:5]]), tail)
-    df = df.withColumn(out, F.when(F.col(f"{out}_foreign"), F.col(href)).otherwise(full))
-    return drop_parts(df, f"{out}_").drop(f"{out}_foreign")
+    kept = [c for c in df.columns]
+    full = f"concat({_unsplit_of(out)}, IF({out}_fragment <> '', concat('#', {out}_fragment), ''))"
+    return _with_joined_parts(df, href, base, out).selectExpr(*kept, f"IF({out}_foreign, {href}, {full}) AS {out}")
 
 
 def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> DataFrame:
@@ -154,16 +143,19 @@ def with_target(df: DataFrame, href: str, base: str, out: str = "target") -> Dat
     ``base`` is the prefix of the page's own URL parts (``with_url_parts``).
     Besides ``out`` this adds ``<out>_scheme``, ``<out>_netloc`` and ``<out>_path``.
     """
-    df = _with_joined_parts(df, href, base, out)
-    t = {part: F.col(f"{out}_{part}") for part in PARTS}
-    keeps_query = _ends_with(t["path"], CONTENT_ENDINGS) | (t["path"] == "") | t["path"].endswith("/")
-    df = df.withColumn(
-        out,
-        F.when(~keeps_query, F.concat(t["scheme"], F.lit("://"), t["netloc"], t["path"]))
-        .when(F.col(f"{out}_foreign") & (F.instr(F.col(href), "#") == 0), F.col(href))
-        .otherwise(unsplit(*[t[part] for part in PARTS[:5]])),
+    kept = [c for c in df.columns]
+    keeps_query = (
+        f"(regexp_like({out}_path, {quoted(endings(CONTENT_ENDINGS))}) OR {out}_path = '' OR endswith({out}_path, '/'))"
+    )
+    return _with_joined_parts(df, href, base, out).selectExpr(
+        *kept,
+        f"""CASE WHEN NOT {keeps_query} THEN concat({out}_scheme, '://', {out}_netloc, {out}_path)
+            WHEN {out}_foreign AND instr({href}, '#') = 0 THEN {href}
+            ELSE {_unsplit_of(out)} END AS {out}""",
+        f"{out}_scheme",
+        f"{out}_netloc",
+        f"{out}_path",
     )
-    return drop_parts(df, f"{out}_", keep=("scheme", "netloc", "path")).drop(f"{out}_foreign")
 
 
 def with_page_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:
@@ -179,7 +171,7 @@ def is_internal(netloc: Column, root_netloc: Column) -> Column:
 
 def is_crawlable(scheme: Column, path: Column) -> Column:
     """Http or https, and not a path that ends like a binary file."""
-    return scheme.isin("http", "https") & ~_ends_with(path, BINARY_ENDINGS)
+    return scheme.isin("http", "https") & ~path.rlike(endings(BINARY_ENDINGS))
 
 
 def is_skipped_href(href: Column) -> Column:

@@ -53,11 +53,11 @@ def selector_filter(selector: str) -> Column:
         if tag:
             parts.append(F.col("tag") == tag.lower())
         if mark == ".":
-            parts.append(markup.attribute(F.col("attr_list"), "class").rlike(rf"(?:^|\s){re.escape(name)}(?:\s|\z)"))
+            parts.append(markup.attribute("attr_list", "class").rlike(rf"(?:^|\s){re.escape(name)}(?:\s|\z)"))
         if mark == "#":
-            parts.append(markup.attribute(F.col("attr_list"), "id") == name)
+            parts.append(markup.attribute("attr_list", "id") == name)
         if attr:
-            parts.append(markup.attribute(F.col("attr_list"), attr.lower()) == value)
+            parts.append(markup.attribute("attr_list", attr.lower()) == value)
         both = parts[0]
         for p in parts[1:]:
             both = both & p
@@ -69,7 +69,7 @@ def _flags(options: Options) -> dict[str, Column]:
     """What can be told of a token from its own tag and attributes."""
     attr_list, tag = F.col("attr_list"), F.col("tag")
     starts = F.col("kind").isin("open", "void") & ~tag.isin("html", "body")
-    get = lambda name: F.coalesce(markup.attribute(attr_list, name), F.lit(""))
+    get = lambda name: F.coalesce(markup.attribute("attr_list", name), F.lit(""))
     has = attr_list.isNotNull()
 
     def named(pattern: str) -> Column:
@@ -86,7 +86,7 @@ def _flags(options: Options) -> dict[str, Column]:
         "f_hidden": starts
         & has
         & (
-            markup.attribute(attr_list, "hidden").isNotNull()
+            markup.attribute("attr_list", "hidden").isNotNull()
             | (F.lower(get("aria-hidden")) == "true")
             | style.contains("display:none")
             | style.contains("visibility:hidden")
@@ -116,13 +116,13 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     kind, tag = F.col("kind"), F.col("tag")
     tokens = tokenize(pages).withColumns(_flags(options))
     href = F.when(
-        (tag == "a") & (kind == "open"), markup.attribute(F.col("attr_list"), "href")
-    ).when(tag == "img", markup.attribute(F.col("attr_list"), "src"))
+        (tag == "a") & (kind == "open"), markup.attribute("attr_list", "href")
+    ).when(tag == "img", markup.attribute("attr_list", "src"))
     tokens = urls.with_resolved(tokens.withColumn("href", href), "href", "b_", "link")
-    class_ = F.coalesce(markup.attribute(F.col("attr_list"), "class"), F.lit(""))
+    class_ = F.coalesce(markup.attribute("attr_list", "class"), F.lit(""))
     tokens = tokens.withColumns(
         {
-            "alt": F.when(tag == "img", F.coalesce(markup.attribute(F.col("attr_list"), "alt"), F.lit(""))),
+            "alt": F.when(tag == "img", F.coalesce(markup.attribute("attr_list", "alt"), F.lit(""))),
             "lang": F.when(
                 tag.isin("pre", "code") & (F.col("attrs") != ""),
                 F.regexp_extract(class_, r"(?:^|\s)(?:language|lang)-([A-Za-z0-9+#_.-]+)", 1),

@@ -30,10 +30,8 @@ def page_links(pages: DataFrame, mode: str = "html", root_netloc: str | None = N
         raise ValueError(f"unknown link mode {mode!r}")
     if mode == "html":
         # Comments and raw text are matched too, so anchors inside them are passed over.
-        tags = F.filter(
-            F.regexp_extract_all("html", F.lit(ANCHORS), F.lit(0)), lambda t: F.lower(F.left(t, F.lit(2))) == "<a"
-        )
-        hrefs = F.transform(tags, lambda t: markup.attribute(markup.attributes(markup.inside(t)), "href"))
+        tags = markup.tags_sql("html", ANCHORS, "<a")
+        hrefs = F.expr(f"transform({tags}, a -> {markup.attribute_sql('a', 'href')})")
     else:
         hrefs = F.regexp_extract_all("html", F.lit(LOOSE_ANCHOR), F.lit(1))
     kept = [c for c in ("page_id", "url", root_netloc) if c]

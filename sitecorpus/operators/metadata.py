@@ -6,86 +6,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitecorpus.functions import markup, urls
+from sitecorpus.functions.text import listed, quoted
 
 SKIPPED = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("style"), markup.raw_element("noscript"), markup.raw_element("template")])
 META = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("script"), r"<meta[\s/]" + markup.TAG_BODY + ">"])
 LINK = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("script"), r"<link[\s/]" + markup.TAG_BODY + ">"])
+ICON = r"(?:^|\s)icon(?:\s|\z)"
 JSON_LD = r"""(?i)<script[^>]*type=["']?application/ld\+json[^>]*>([\s\S]*?)</script\s*>"""
 
 
-def _tags(html: Column, pattern: str, start: str) -> Column:
-    """The attributes of each tag that starts with ``start``."""
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    mine = F.filter(found, lambda t: F.lower(F.left(t, F.lit(len(start)))) == start)
-    return F.transform(mine, lambda t: markup.attributes(markup.inside(t)))
-
-
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _element_text(html: Column, tag: str) -> Column:
-    inner = F.regexp_extract(html, rf"(?i)<{tag}(?:\s[^>]*)?>([\s\S]*?)(?:</{tag}\s*>|\z)", 1)
-    return squeezed(markup.decoded(F.regexp_replace(inner, "<[^>]*>", "")))
+def _element_text(html: str, tag: str) -> str:
+    inner = f"regexp_extract({html}, {quoted(rf'(?i)<{tag}(?:{SPACE}[^>]*)?>([{SPACE}{SOLID}]*?)(?:</{tag}{SPACE}*>|{END})')}, 1)"
+    text = markup.decoded_sql(f"regexp_replace({inner}, '<[^>]*>', '')")
+    return f"trim(regexp_replace({text}, {quoted(SPACE + '+')}, ' '))"
+
+
+SPACE, SOLID, END = r"\s", r"\S", r"\z"
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """X11 without the word count: one narrow pass, no shuffle.  ``title`` is ``Untitled`` if there is none."""
-    df = urls.with_url_parts(pages.select("page_id", "url", "html"), "url", "b_")
-    text = F.coalesce("html", F.lit(""))
-    df = df.withColumns({"meta_lists": _tags(text, META, "<meta"), "link_lists": _tags(text, LINK, "<link")})
-    metas = F.transform(
-        "meta_lists",
-        lambda a: F.struct(
-            F.lower(markup.attribute(a, "name")).alias("name"),
-            F.lower(markup.attribute(a, "property")).alias("property"),
-            markup.attribute(a, "content").alias("content"),
-        ),
-    )
-    icons = F.transform(
-        F.filter("link_lists", lambda a: F.lower(markup.attribute(a, "rel")).rlike(r"(?:^|\s)icon(?:\s|\z)")),
-        lambda a: markup.attribute(a, "href"),
+    base = [f"b_{part}" for part in urls.PARTS]
+    df = urls.with_url_parts(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "url", "b_")
+    df = df.selectExpr(
+        "page_id",
+        "url",
+        *base,
+        f"{markup.tags_sql('html', META, '<meta')} AS meta_lists",
+        f"{markup.tags_sql('html', LINK, '<link')} AS link_lists",
+        f"transform(regexp_extract_all(html, {quoted(JSON_LD)}, 1), s -> trim(s)) AS schema_org_data",
+        f"regexp_replace(html, {quoted(SKIPPED)}, '') AS visible",
+        f"regexp_extract(html, {quoted('(?i)<html(' + SPACE + '[^>]*)>')}, 1) AS html_tag",
+        "trim(translate(html, '\\n\\r\\t\\f', '    ')) <> '' AS has_html",
     )
-    ld = F.transform(F.regexp_extract_all(text, F.lit(JSON_LD), F.lit(1)), lambda s: F.trim(s))
-    visible = F.regexp_replace(text, SKIPPED, "")
-    html_tag = F.regexp_extract(text, r"(?i)<html(\s[^>]*)>", 1)
-    df = df.select(
+    get = markup.attribute_sql
+    df = df.selectExpr(
         "page_id",
         "url",
-        *[f"b_{part}" for part in urls.PARTS],
-        metas.alias("metas"),
-        F.coalesce(F.try_element_at(icons, F.lit(1)), F.lit("/favicon.ico")).alias("icon"),
-        ld.alias("schema_org_data"),
-        _element_text(visible, "title").alias("title_tag"),
-        _element_text(visible, "h1").alias("h1"),
-        markup.attribute(markup.attributes(html_tag), "lang").alias("language"),
-        (F.trim(F.translate(text, "\n\r\t\f", "    ")) != "").alias("has_html"),
+        *base,
+        f"""transform(meta_lists, a -> named_struct('name', lower({get('a', 'name')}), 'property', lower({get('a', 'property')}),
+            'content', {get('a', 'content')})) AS metas""",
+        f"""coalesce(try_element_at(transform(filter(link_lists, a -> regexp_like(lower({get('a', 'rel')}), {quoted(ICON)})),
+            a -> {get('a', 'href')}), 1), '/favicon.ico') AS icon""",
+        "schema_org_data",
+        f"{_element_text('visible', 'title')} AS title_tag",
+        f"{_element_text('visible', 'h1')} AS h1",
+        f"{get(markup.attributes_sql('html_tag'), 'lang')} AS language",
+        "has_html",
     )
 
-    def first(value: Column) -> Column:
-        return F.when(value != "", value)
-
-    def meta(*names: str) -> Column:
-        hits = F.filter("metas", lambda m: (m["name"].isin(*names) | m["property"].isin(*names)) & (m["content"] != ""))
-        return F.try_element_at(hits, F.lit(1))["content"]
+    def meta(*names: str) -> str:
+        hits = f"filter(metas, m -> (m.name IN ({listed(list(names))}) OR m.property IN ({listed(list(names))})) AND m.content <> '')"
+        return f"try_element_at({hits}, 1).content"
 
-    def ld_value(path: str) -> Column:
-        values = F.filter(
-            F.transform("schema_org_data", lambda s: F.get_json_object(s, path)), lambda v: v.isNotNull() & (v != "")
-        )
-        return F.try_element_at(values, F.lit(1))
+    def ld_value(path: str) -> str:
+        values = f"transform(schema_org_data, s -> get_json_object(s, {quoted(path)}))"
+        return f"try_element_at(filter({values}, v -> v <> ''), 1)"
 
-    df = df.withColumns(
-        {
-            "title": F.coalesce(meta("og:title"), first(F.col("title_tag")), first(F.col("h1")), F.lit("Untitled")),
-            "description": F.coalesce(meta("description", "og:description", "twitter:description"), ld_value("$.description")),
-            "author": F.coalesce(meta("author", "article:author"), ld_value("$.author.name"), ld_value("$.author")),
-            "date_published": F.coalesce(meta("article:published_time", "date", "datepublished"), ld_value("$.datePublished")),
-            "domain": F.regexp_replace("b_netloc", r"^www\.", ""),
-            "site": meta("og:site_name"),
-            "image_href": meta("og:image"),
-            "meta_tags": F.filter("metas", lambda m: m["name"].isNotNull() | m["property"].isNotNull()),
-        }
+    df = df.selectExpr(
+        "page_id",
+        "url",
+        *base,
+        "has_html",
+        f"coalesce({meta('og:title')}, nullif(title_tag, ''), nullif(h1, ''), 'Untitled') AS title",
+        f"coalesce({meta('description', 'og:description', 'twitter:description')}, {ld_value('$.description')}) AS description",
+        f"coalesce({meta('author', 'article:author')}, {ld_value('$.author.name')}, {ld_value('$.author')}) AS author",
+        f"coalesce({meta('article:published_time', 'date', 'datepublished')}, {ld_value('$.datePublished')}) AS date_published",
+        "regexp_replace(b_netloc, '^www[.]', '') AS domain",
+        f"{meta('og:site_name')} AS site",
+        "language",
+        "icon",
+        f"{meta('og:image')} AS image_href",
+        "filter(metas, m -> m.name IS NOT NULL OR m.property IS NOT NULL) AS meta_tags",
+        "schema_org_data",
     )
     df = urls.with_resolved(urls.with_resolved(df, "icon", "b_", "favicon"), "image_href", "b_", "image")
     return df.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitecorpus.functions import markup
 from sitecorpus.operators.extract import BLOCK_TAGS, HEADINGS, Options, _role, markdown_piece, marked_tokens, page_blocks
 from sitecorpus.operators.metadata import page_metadata, squeezed
+from sitecorpus.operators.tokens import by_page
 
 # Attributes that stay in HTML output.
 KEPT_ATTRIBUTES = ["href", "src", "alt", "title", "colspan", "rowspan", "lang"]
@@ -75,7 +76,7 @@ def _html_piece(options: Options) -> Column:
         return F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
 
     def kept(attr: str) -> Column:
-        value = markup.attribute(attr_list, attr)
+        value = markup.attribute("attr_list", attr)
         if attr == "href":
             value = F.when(tag == "a", F.col("link")).otherwise(value)
         if attr == "src":
@@ -95,9 +96,7 @@ def _html_piece(options: Options) -> Column:
 def _html_blocks(blocks: DataFrame) -> DataFrame:
     """``out`` is the whole block; ``frame`` its block-level tags, which stay when its text goes."""
     join = lambda pieces: F.array_join(F.transform(F.array_sort(pieces), lambda p: p["piece"]), "")
-    plain = F.array_join(
-        F.transform(F.filter(F.array_sort("pieces"), lambda p: p["role"] == "text"), lambda p: p["piece"]), ""
-    )
+    plain = "array_join(transform(filter(array_sort(pieces), p -> p.role = 'text'), p -> p.piece), '')"
     is_heading = (F.col("head.kind") == "open") & F.col("head.tag").isin(HEADINGS)
     return blocks.withColumns(
         {
@@ -134,7 +133,7 @@ def rendered_pages(pages: DataFrame, fmt: str = "markdown", options: Options = O
             F.collect_list(F.struct("block", F.when(F.col("low"), F.col("frame")).otherwise(F.col("out")).alias("out"), "frame"))
         ).alias("blocks"),
     )
-    df = page_metadata(pages).join(bodies, "page_id", "left")
+    df = page_metadata(by_page(pages)).join(bodies, "page_id", "left")
     repeated = F.lit(None).cast("long")
     if options.standardize:
         repeated = F.when(squeezed(F.col("top.heading")) == F.col("title"), F.col("top.block"))

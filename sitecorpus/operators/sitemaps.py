@@ -60,7 +60,7 @@ def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
     def loc(entry: Column) -> Column:
         inner = F.regexp_extract(entry, r"<loc(?:\s[^>]*)?>([\s\S]*?)</loc\s*>", 1)
         cdata = F.regexp_extract(inner, r"^\s*<!\[CDATA\[([\s\S]*?)\]\]>\s*\z", 1)
-        plain = F.when(cdata != "", cdata).when(inner.contains("<"), F.lit("")).otherwise(markup.decoded(inner))
+        plain = F.when(cdata != "", cdata).when(inner.contains("<"), F.lit("")).otherwise(inner)
         return F.regexp_replace(plain, r"^\s+|\s+\z", "")
 
     locs = F.filter(F.transform(F.when(is_index, entries("sitemap")).otherwise(entries("url")), loc), lambda u: u != "")
@@ -68,6 +68,7 @@ def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
         sitemap_docs.select(
             F.col("url").alias("doc_url"), F.when(is_index, "index").otherwise("urlset").alias("kind"), locs.alias("locs")
         )
+        .withColumn("locs", F.expr(f"transform(locs, u -> {markup.decoded_sql('u')})"))
         .select(
             "doc_url", "kind", F.exists("locs", looks_like_sitemap).alias("nested"), F.posexplode("locs").alias("pos", "loc")
         )

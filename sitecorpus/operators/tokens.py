@@ -24,6 +24,11 @@ DROPPED = r"(?i)^(?:<[!?]|<(?:" + "|".join(RAW_TAGS) + r")[\s>])|^<[\s\S]*[^>]\z
 MATH = r"""(?i)^<script[^>]*type=["']?math/tex"""
 
 
+def by_page(pages: DataFrame) -> DataFrame:
+    """The one shuffle of the pages, while they are still single rows; its result is shared by all that follows."""
+    return pages.select("page_id", "url", "html").repartition("page_id")
+
+
 def tokenize(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, kind, tag, attrs, text)``, one row per tag or text run.
 
@@ -35,7 +40,7 @@ def tokenize(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(PIECES), F.lit(0)),
         lambda t: ~(t.startswith("<") & (F.length(t) > 1)) | ~t.rlike(DROPPED) | t.rlike(MATH),
     )
-    base = urls.with_url_parts(pages.select("page_id", "url", "html").repartition("page_id"), "url", "b_")
+    base = urls.with_url_parts(by_page(pages), "url", "b_")
     tokens = base.select(
         "page_id", *[f"b_{part}" for part in urls.PARTS], F.posexplode(pieces).alias("pos", "raw")
     )
@@ -55,13 +60,13 @@ def tokenize(pages: DataFrame) -> DataFrame:
     tokens = tokens.withColumns(
         {
             "kind": kind,
-            "attrs": F.when((tag != "") & (tag != "script"), F.trim(markup.inside(raw))).otherwise(F.lit("")),
-            "text": F.when(tag == "", markup.decoded(raw))
+            "attrs": F.when((tag != "") & (tag != "script"), F.trim(F.regexp_extract(raw, markup.INSIDE, 1))).otherwise(F.lit("")),
+            "text": F.when(tag == "", markup.decoded("raw"))
             .when(tag == "script", F.regexp_extract(raw, r"^<[^>]*>([\s\S]*?)(?:</[^>]*>)?\z", 1))
             .otherwise(F.lit("")),
         }
     )
-    return tokens.withColumn("attr_list", F.when(F.col("attrs") != "", markup.attributes(F.col("attrs"))))
+    return tokens.withColumn("attr_list", F.when(F.col("attrs") != "", F.expr(markup.attributes_sql("attrs"))))
 
 
 def with_spans(tokens: DataFrame, carried: list[str] | None = None) -> DataFrame:
