@@ -72,35 +72,24 @@ def tokenize(pages: DataFrame) -> DataFrame:
 def with_spans(tokens: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Add ``span_end`` to every open or void token: the position its element ends at.
 
-    The depth of a tag is its running open minus close count; a close below
-    zero is stray and dropped from the count.  Opens and closes of one level
-    alternate, so the next row of a level closes the open before it.  A ``p``
-    ends at the next ``p``; what is never closed ends with the page.  For each
+    The level of a tag is its running open minus close count, taken before a
+    close.  After an open the next row of its level can only be its close;
+    stray closes shift the count but close nothing.  A ``p`` ends at the next
+    ``p``; what is never closed ends with the page.  For each
     name in ``carried`` the value at the span's end is added as ``<name>_end``.
     """
     by_tag = Window.partitionBy("page_id", "tag").orderBy("pos")
-    upto = by_tag.rowsBetween(Window.unboundedPreceding, 0)
-    before = by_tag.rowsBetween(Window.unboundedPreceding, -1)
     by_level = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
     whole_page = Window.partitionBy("page_id")
     kind = F.col("kind")
     step = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
-    low = F.least(F.lit(0), F.col("low"))
-    low_before = F.least(F.lit(0), F.coalesce("low_before", F.lit(0)))
-    level = (
-        F.when(kind == "open", F.col("balance") - low)
-        .when((kind == "close") & (F.col("balance") >= low_before), F.col("balance") - low + 1)
-        .otherwise(0)
-    )
-    df = tokens.withColumn("balance", F.sum(step).over(upto))
-    df = df.withColumns(
+    df = tokens.withColumns(
         {
-            "low": F.min("balance").over(upto),
-            "low_before": F.min("balance").over(before),
+            "balance": F.sum(step).over(by_tag.rowsBetween(Window.unboundedPreceding, 0)),
             "next_pos": F.lead("pos").over(by_tag),
             "next_kind": F.lead("kind").over(by_tag),
         }
-    ).withColumn("level", level)
+    ).withColumn("level", F.col("balance") + F.when(kind == "close", 1).otherwise(0))
     carried = carried or []
     df = df.withColumns({"close_pos": F.lead("pos").over(by_level), **{f"{c}_end": F.lead(c).over(by_level) for c in carried}})
     df = df.withColumns({"last_pos": F.max("pos").over(whole_page), **{f"{c}_last": F.max(c).over(whole_page) for c in carried}})
@@ -111,7 +100,7 @@ def with_spans(tokens: DataFrame, carried: list[str] | None = None) -> DataFrame
             "span_end": F.when(kind == "void", F.col("pos")).when(kind == "open", F.coalesce(closes, F.col("last_pos"))),
             **{f"{c}_end": F.coalesce(f"{c}_end", f"{c}_last") for c in carried},
         }
-    ).drop("balance", "low", "low_before", "next_pos", "next_kind", "level", "close_pos", "last_pos", *[f"{c}_last" for c in carried])
+    ).drop("balance", "next_pos", "next_kind", "level", "close_pos", "last_pos", *[f"{c}_last" for c in carried])
 
 
 def inside_any(flag: Column) -> Column:
