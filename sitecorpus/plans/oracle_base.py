@@ -85,7 +85,7 @@ FROM (
     FROM (
       SELECT page_id, url, pos, {attr('tag', 'href')} AS href,
         lower({part('url', 1)}) AS b_scheme, {part('url', 2)} AS b_netloc, {part('url', 3)} AS b_path
-      FROM (SELECT page_id, url, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos
+      FROM (SELECT page_id, url, unnest(tags) AS tag, (generate_subscripts(tags, 1) - 1)::INT AS pos
             FROM (SELECT page_id, url, {tags} AS tags FROM {pages}))
     )
     WHERE href <> '' AND href NOT LIKE '#%' AND href NOT LIKE 'javascript:%'
