@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitecorpus.checkpoints import cut
 from sitecorpus.functions.text import quoted
 
 # Keys of a page in the combined export, in order, and the fields they hold.
@@ -70,16 +71,20 @@ def failure_reason() -> Column:
 def write_documents(documents: DataFrame, target: str, extension: str = "md") -> None:
     """One row per document, kept apart by domain; its path stays a column.
 
-    ``documents`` holds ``domain``, ``path`` and the text.  Rows of one domain are
-    spread over tasks by path, so a large site neither makes one huge file nor
-    meets in one task.
+    ``documents`` holds ``domain``, ``path`` and the text.  Rows of a domain are drawn
+    together for few files, but a domain that is too large is split over tasks.
     """
-    documents.withColumn("extension", F.lit(extension)).repartition("domain", F.pmod(F.xxhash64("path"), F.lit(64))).write.mode(
-        "append"
-    ).partitionBy("extension", "domain").parquet(target)
+    balanced = documents.withColumn("extension", F.lit(extension)).hint("rebalance", "domain")
+    balanced.write.mode("append").partitionBy("extension", "domain").parquet(target)
 
 
 def write_site_export(export: DataFrame, target: str) -> None:
-    """Text files per root; files of a root sort by name into the lines of its document."""
-    ordered = export.withColumn("root", F.sha1("root_url")).repartitionByRange("root", "seq")
-    ordered.sortWithinPartitions("root", "seq").select("root", "line").write.mode("overwrite").partitionBy("root").text(target)
+    """Text files in one folder per root; in order of name their lines are its document.
+
+    Rows are split by ranges of place, so a root of any size is spread over
+    tasks.  Finding the ranges reads the input once more, which is why it is
+    written to the checkpoint folder first.
+    """
+    lines = cut(export.select(F.sha1("root_url").alias("root"), "seq", "line"), "site-export")
+    ordered = lines.repartitionByRange("root", "seq").sortWithinPartitions("root", "seq")
+    ordered.select("root", "line").write.mode("overwrite").partitionBy("root").text(target)

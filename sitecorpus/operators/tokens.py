@@ -25,8 +25,14 @@ MATH = r"""(?i)^<script[^>]*type=["']?math/tex"""
 
 
 def by_page(pages: DataFrame) -> DataFrame:
-    """The one shuffle of the pages, while they are still single rows; its result is shared by all that follows."""
-    return pages.select("page_id", "url", "html").repartition("page_id")
+    """The one shuffle of the pages, while they are still single rows; its result is shared by all that follows.
+
+    The number of partitions is named, so that small inputs are not drawn
+    together before the explode makes them ten times larger, and so that all
+    users of the shuffle see the same partitions.
+    """
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select("page_id", "url", "html").repartition(partitions, "page_id")
 
 
 def tokenize(pages: DataFrame) -> DataFrame:
@@ -41,9 +47,10 @@ def tokenize(pages: DataFrame) -> DataFrame:
         lambda t: ~(t.startswith("<") & (F.length(t) > 1)) | ~t.rlike(DROPPED) | t.rlike(MATH),
     )
     base = urls.with_url_parts(by_page(pages), "url", "b_")
+    # The outer form keeps Spark from filtering the pages before their shuffle, which would make it another one.
     tokens = base.select(
-        "page_id", *[f"b_{part}" for part in urls.PARTS], F.posexplode(pieces).alias("pos", "raw")
-    )
+        "page_id", *[f"b_{part}" for part in urls.PARTS], F.posexplode_outer(pieces).alias("pos", "raw")
+    ).where("pos is not null")
     raw = F.col("raw")
     is_tag = raw.startswith("<") & (F.length(raw) > 1)
     tokens = tokens.withColumn(
