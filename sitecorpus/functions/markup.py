@@ -13,12 +13,17 @@ from sitecorpus.functions.text import quoted
 
 # Inside of a tag: anything up to ">", where a quoted value may hold ">".
 TAG_BODY = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
-COMMENT = r"<!--[\s\S]*?(?:-->|\z)"
+# Bodies of markup, to be put behind a common "<" so that matching skips plain text quickly.
+COMMENT = r"!--[\s\S]*?(?:-->|\z)"
 
 
 def raw_element(name: str) -> str:
     """An element whose content is not markup; a missing end tag runs to the end of the page."""
-    return rf"<{name}(?:\s[^>]*)?>[\s\S]*?(?:</{name}\s*>|\z)"
+    return rf"{name}(?:\s[^>]*)?>[\s\S]*?(?:</{name}\s*>|\z)"
+
+
+def any_of(*bodies: str) -> str:
+    return "(?i)<(?:" + "|".join(bodies) + ")"
 
 
 # One attribute, with or without a value.
@@ -76,11 +81,13 @@ def decoded_sql(text: str) -> str:
 def attributes_sql(attrs: str) -> str:
     """All attributes in the inside of a tag, as an array of ``(name, value)`` with decoded values."""
     name = f"lower(regexp_extract(entry, {quoted(r'^[^\s=]+')}, 0))"
-    value = f"regexp_extract(entry, {quoted(r'^[^=]+=\s*([\s\S]*)')}, 1)"
-    bare = f"regexp_replace(pair.value, {quoted('^["' + chr(39) + ']|["' + chr(39) + r']\z')}, '')"
+    value = f"regexp_replace(regexp_extract(entry, {quoted(r'^[^=]+=\s*([\s\S]*)')}, 1), {quoted(QUOTES)}, '')"
     return f"""transform(
       transform(regexp_extract_all({attrs}, {quoted(ATTRIBUTE)}, 0), entry -> named_struct('name', {name}, 'value', {value})),
-      pair -> named_struct('name', pair.name, 'value', {decoded_sql(bare)}))"""
+      pair -> named_struct('name', pair.name, 'value', {decoded_sql('pair.value')}))"""
+
+
+QUOTES = r"""^["']|["']\z"""
 
 
 def attribute_sql(attribute_list: str, name: str) -> str:

@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 from sitecorpus.functions import markup, urls
 
-ANCHORS = "(?i)" + "|".join(
-    [
-        markup.COMMENT,
-        markup.raw_element("script"),
-        markup.raw_element("style"),
-        r"<a[\s/]" + markup.TAG_BODY + ">",
-    ]
+ANCHORS = markup.any_of(
+    markup.COMMENT, markup.raw_element("script"), markup.raw_element("style"), r"a[\s/]" + markup.TAG_BODY + ">"
 )
 # The tolerant form also takes tags whose name only starts with "a".
 LOOSE_ANCHOR = r"""(?i)<a[^>]+href=["']([^"']+)["'][^>]*>"""

@@ -8,24 +8,34 @@ from pyspark.sql import functions as F
 from sitecorpus.functions import markup, urls
 from sitecorpus.functions.text import listed, quoted
 
-SKIPPED = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("style"), markup.raw_element("noscript"), markup.raw_element("template")])
-META = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("script"), r"<meta[\s/]" + markup.TAG_BODY + ">"])
-LINK = "(?i)" + "|".join([markup.COMMENT, markup.raw_element("script"), r"<link[\s/]" + markup.TAG_BODY + ">"])
+# Everything metadata is read from, found in one pass; what must not be read is matched too, and passed over.
+HEAD = markup.any_of(
+    markup.COMMENT,
+    *[markup.raw_element(t) for t in ("script", "style", "noscript", "template", "title", "h1")],
+    *[t + r"[\s/]" + markup.TAG_BODY + ">" for t in ("html", "meta", "link")],
+)
 ICON = r"(?:^|\s)icon(?:\s|\z)"
-JSON_LD = r"""(?i)<script[^>]*type=["']?application/ld\+json[^>]*>([\s\S]*?)</script\s*>"""
+JSON_LD = r"""(?i)^<script[^>]*type=["']?application/ld\+json[^>]*>([\s\S]*?)</script\s*>"""
 
 
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _element_text(html: str, tag: str) -> str:
-    inner = f"regexp_extract({html}, {quoted(rf'(?i)<{tag}(?:{SPACE}[^>]*)?>([{SPACE}{SOLID}]*?)(?:</{tag}{SPACE}*>|{END})')}, 1)"
-    text = markup.decoded_sql(f"regexp_replace({inner}, '<[^>]*>', '')")
-    return f"trim(regexp_replace({text}, {quoted(SPACE + '+')}, ' '))"
+def _starting(pieces: str, start: str) -> str:
+    return f"filter({pieces}, t -> lower(left(t, {len(start)})) = {quoted(start)})"
 
 
-SPACE, SOLID, END = r"\s", r"\S", r"\z"
+def _first_text(pieces: str, start: str) -> str:
+    """Text of the first element that starts with ``start``, tags dropped."""
+    return f"regexp_replace(coalesce(try_element_at({_starting(pieces, start)}, 1), ''), '<[^>]*>', '')"
+
+
+def _drawn_together(text: str) -> str:
+    return f"trim(regexp_replace({markup.decoded_sql(text)}, {quoted(BLANKS)}, ' '))"
+
+
+BLANKS = r"\s+"
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -36,13 +46,23 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         *base,
-        f"{markup.tags_sql('html', META, '<meta')} AS meta_lists",
-        f"{markup.tags_sql('html', LINK, '<link')} AS link_lists",
-        f"transform(regexp_extract_all(html, {quoted(JSON_LD)}, 1), s -> trim(s)) AS schema_org_data",
-        f"regexp_replace(html, {quoted(SKIPPED)}, '') AS visible",
-        f"regexp_extract(html, {quoted('(?i)<html(' + SPACE + '[^>]*)>')}, 1) AS html_tag",
+        f"regexp_extract_all(html, {quoted(HEAD)}, 0) AS pieces",
         "trim(translate(html, '\\n\\r\\t\\f', '    ')) <> '' AS has_html",
     )
+    as_attributes = f"t -> {markup.attributes_sql(markup.inside_sql('t'))}"
+    df = df.selectExpr(
+        "page_id",
+        "url",
+        *base,
+        f"transform({_starting('pieces', '<meta')}, {as_attributes}) AS meta_lists",
+        f"transform({_starting('pieces', '<link')}, {as_attributes}) AS link_lists",
+        f"try_element_at(transform({_starting('pieces', '<html')}, {as_attributes}), 1) AS html_list",
+        f"""transform(filter(pieces, t -> regexp_like(t, {quoted(JSON_LD)})), t -> trim(regexp_extract(t, {quoted(JSON_LD)}, 1)))
+            AS schema_org_data""",
+        f"{_first_text('pieces', '<title')} AS title_text",
+        f"{_first_text('pieces', '<h1')} AS h1_text",
+        "has_html",
+    )
     get = markup.attribute_sql
     df = df.selectExpr(
         "page_id",
@@ -53,9 +73,9 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         f"""coalesce(try_element_at(transform(filter(link_lists, a -> regexp_like(lower({get('a', 'rel')}), {quoted(ICON)})),
             a -> {get('a', 'href')}), 1), '/favicon.ico') AS icon""",
         "schema_org_data",
-        f"{_element_text('visible', 'title')} AS title_tag",
-        f"{_element_text('visible', 'h1')} AS h1",
-        f"{get(markup.attributes_sql('html_tag'), 'lang')} AS language",
+        f"{_drawn_together('title_text')} AS title_tag",
+        f"{_drawn_together('h1_text')} AS h1",
+        f"{get('html_list', 'lang')} AS language",
         "has_html",
     )
 

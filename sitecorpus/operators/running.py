@@ -3,7 +3,8 @@
 A window over a whole group would send one hot host or root to a single task.
 Here the order numbers are cut into chunks of a fixed width: a chunk is summed
 on its own, the chunk totals are summed in turn, and the offset of its chunk is
-added to every row.  No task sees more than one chunk of rows.
+added to every row.  No task sees more than one chunk of rows.  Inputs that
+are counted to be no larger than one chunk take the plain window.
 """
 
 from __future__ import annotations
@@ -20,13 +21,22 @@ def running_sum(
     """Add ``out``: the sum of ``value`` up to and with this row, by ``order`` within ``keys``.
 
     ``order`` is a whole number, unique within the keys, which are not NULL.
-    ``df`` is read three times; pass a narrow frame that is already written.
+    ``df`` is read more than once; pass a narrow frame that is already written.
     """
+    if df.count() <= width:
+        plain = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(plain))
+    return _chunked_sum(df, keys, order, value, out, width, levels)
+
+
+def _chunked_sum(
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int, levels: int
+) -> DataFrame:
     chunk, total, before = f"__chunk{levels}", f"__total{levels}", f"__before{levels}"
     by_chunk = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width))).withColumn(total, value)
     totals = by_chunk.groupBy(*keys, chunk).agg(F.sum(total).alias(total))
     if levels > 1:
-        offsets = running_sum(totals, keys, chunk, F.col(total), before, width, levels - 1)
+        offsets = _chunked_sum(totals, keys, chunk, F.col(total), before, width, levels - 1)
     else:
         window = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, 0)
         offsets = totals.withColumn(before, F.sum(total).over(window))

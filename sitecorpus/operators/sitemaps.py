@@ -51,7 +51,7 @@ def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
 
     ``nested`` tells whether any entry of the document looks like a sitemap.
     """
-    text = F.regexp_replace(F.coalesce("body", F.lit("")), markup.COMMENT, "")
+    text = F.regexp_replace(F.coalesce("body", F.lit("")), "<" + markup.COMMENT, "")
     is_index = text.rlike(r"<sitemapindex[\s>]")
 
     def entries(tag: str) -> Column:

@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 from sitecorpus.functions import markup, urls
 
 RAW_TAGS = ["script", "style", "noscript", "template"]
-PIECES = "(?i)" + "|".join(
-    [markup.COMMENT, r"<[!?][^>]*(?:>|\z)"]
-    + [markup.raw_element(t) for t in RAW_TAGS]
-    + ["</?[a-z]" + markup.TAG_BODY + ">", r"</?[a-z][\s\S]*\z", "[^<]+", "<"]
+PIECES = (
+    markup.any_of(
+        markup.COMMENT,
+        r"[!?][^>]*(?:>|\z)",
+        *[markup.raw_element(t) for t in RAW_TAGS],
+        "/?[a-z]" + markup.TAG_BODY + ">",
+        r"/?[a-z][\s\S]*\z",
+    )
+    + "|[^<]+|<"
 )
 # Markup that never becomes a token, and a tag that the end of the page cuts off.
 DROPPED = r"(?i)^(?:<[!?]|<(?:" + "|".join(RAW_TAGS) + r")[\s>])|^<[\s\S]*[^>]\z"
