@@ -18,7 +18,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
     Only a local session may go without it; there a temporary folder serves.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -29,8 +29,12 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written table."""
+    """Write ``df`` once and return a frame that reads the written table.
+
+    All tables of one application lie in one folder named after it, which can
+    go once the results are stored.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/sitecorpus/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/sitecorpus-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
