@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitecorpus.functions import markup, urls
-from sitecorpus.operators.tokens import inside_any, tokenize, with_spans
+from sitecorpus.operators.tokens import inside_any, tokenize, with_page_ends, with_spans
 
 
 @dataclass(frozen=True)
@@ -134,37 +134,17 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
         "page_id", "pos", "kind", "tag", "text", "link", "alt", "lang", "note", "is_link",
         "f_exact", "f_partial", "f_hidden", "f_small", "main_kind", *keep,
     )
-    opened = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
-    solid = (kind != "text") | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")
-    last_link = F.last(F.when((tag == "a") & (kind == "open"), F.struct("link", "note", "is_link")), ignorenulls=True).over(upto)
-    last_anchor = F.last(F.when(tag == "a", kind), ignorenulls=True).over(upto)
-    tokens = tokens.withColumns(
-        {
-            "list_depth": F.sum(F.when(tag.isin("ul", "ol"), opened).otherwise(0)).over(upto),
-            "quote_depth": F.sum(F.when(tag == "blockquote", opened).otherwise(0)).over(upto),
-            "pre_depth": F.sum(F.when(tag == "pre", opened).otherwise(0)).over(upto),
-            "anchor": last_link,
-            "in_anchor": F.coalesce(last_anchor == "open", F.lit(False)),
-            "previous": F.last(F.when(solid, F.struct("kind", "tag")), ignorenulls=True).over(before),
-        }
-    )
-    in_link = F.coalesce(F.col("in_anchor") & F.col("anchor.is_link"), F.lit(False))
-    item_text = (tag == "p") & (kind == "open") & (F.col("previous.tag") == "li") & (F.col("previous.kind") == "open")
-    starts_block = tag.isin(BLOCK_TAGS) & ~F.coalesce(item_text, F.lit(False))
-    # One bit per list level tells ordered lists; it is set and cleared by the list's own tags.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest("list_depth", F.lit(0)), F.lit(60)).cast("int"))
-    above = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(F.col("list_depth") + 1, F.lit(0)), F.lit(60)).cast("int"))
-    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & (kind == "close"), -above).otherwise(F.lit(0).cast("long"))
+    # First what the spans need; the rest waits until they are known, so that their sorts move narrow rows.
+    is_open_anchor = (tag == "a") & (kind == "open")
+    in_link = F.last(F.when(is_open_anchor, F.col("is_link")).when((tag == "a") & (kind == "close"), F.lit(False)), ignorenulls=True)
     size = F.when(kind == "text", F.length("text")).otherwise(0)
-    tokens = tokens.withColumns({"in_link": in_link, "starts_block": starts_block}).withColumns(
+    tokens = tokens.withColumn("in_link", F.coalesce(in_link.over(upto), F.lit(False))).withColumns(
         {
-            "ordered_bits": F.sum(ordered).over(upto),
-            "block": F.sum(F.when(F.col("starts_block"), 1).otherwise(0)).over(upto),
             "chars": F.sum(size).over(upto),
             "link_chars": F.sum(F.when(F.col("in_link"), size).otherwise(0)).over(upto),
         }
     )
-    tokens = with_spans(tokens, ["chars", "link_chars"])
+    tokens = with_spans(with_page_ends(tokens, ["pos", "chars", "link_chars"]), ("chars", "link_chars"))
     starts = kind.isin("open", "void")
     wordless = (tag == "figure") & (F.col("chars_end") == F.col("chars"))
     rules: list[tuple[str, Column]] = [("title", (tag == "title") & (kind == "open"))]
@@ -181,7 +161,38 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     rule = F.lit(None).cast("string")
     for name, flag in reversed(rules):
         rule = F.when(inside_any(flag), F.lit(name)).otherwise(rule)
-    tokens = tokens.withColumn("rule", rule)
+    opened = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
+    solid = (kind != "text") | F.col("text").rlike(r"\S")
+    last_anchor = F.last(F.when(is_open_anchor, F.struct("link", "note", "is_link")), ignorenulls=True).over(upto)
+    in_anchor = F.last(F.when(tag == "a", kind == "open"), ignorenulls=True).over(upto)
+    tokens = tokens.withColumns(
+        {
+            "rule": rule,
+            "list_depth": F.sum(F.when(tag.isin("ul", "ol"), opened).otherwise(0)).over(upto),
+            "quote_depth": F.sum(F.when(tag == "blockquote", opened).otherwise(0)).over(upto),
+            "pre_depth": F.sum(F.when(tag == "pre", opened).otherwise(0)).over(upto),
+            "anchor": last_anchor,
+            "in_anchor": F.coalesce(in_anchor, F.lit(False)),
+            "previous": F.last(F.when(solid, F.struct("kind", "tag")), ignorenulls=True).over(before),
+        }
+    )
+    item_text = (tag == "p") & (kind == "open") & (F.col("previous.tag") == "li") & (F.col("previous.kind") == "open")
+    starts_block = tag.isin(BLOCK_TAGS) & ~F.coalesce(item_text, F.lit(False))
+    # One bit per list level tells ordered lists; it is set and cleared by the list's own tags.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest("list_depth", F.lit(0)), F.lit(60)).cast("int"))
+    above = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(F.col("list_depth") + 1, F.lit(0)), F.lit(60)).cast("int"))
+    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & (kind == "close"), -above).otherwise(F.lit(0).cast("long"))
+    is_anchor = tag == "a"
+    tokens = tokens.withColumns(
+        {
+            # Of the anchor a token belongs to, only its own tags and its text need to know.
+            "anchor_link": F.when(is_anchor & (kind == "close") & F.col("anchor.is_link"), F.col("anchor.link")),
+            "anchor_note": is_anchor & F.coalesce(F.col("anchor.note") != "", F.lit(False)),
+            "in_note": F.col("in_anchor") & F.coalesce(F.col("anchor.note") != "", F.lit(False)),
+            "starts_block": F.when(starts_block, 1).otherwise(0),
+            "ordered": ordered,
+        }
+    ).drop("anchor", "in_anchor", "previous")
     dense = (F.col("chars_end") - F.col("chars")) - (F.col("link_chars_end") - F.col("link_chars"))
     candidate = F.when(
         F.col("main_kind").isNotNull() & F.col("rule").isNull(),
@@ -193,7 +204,14 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
             F.col("span_end").alias("end"),
         ),
     )
-    tokens = tokens.withColumn("main", F.min(candidate).over(Window.partitionBy("page_id")))
+    whole = by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tokens = tokens.withColumns(
+        {
+            "ordered_bits": F.sum("ordered").over(upto),
+            "block": F.sum("starts_block").over(upto),
+            "main": F.min(candidate).over(whole),
+        }
+    )
     return tokens.withColumn(
         "in_main", F.col("main").isNull() | F.col("pos").between(F.col("main.start"), F.col("main.end"))
     )
@@ -208,7 +226,7 @@ def _role(options: Options) -> Column:
         .when(tag == "code", "code")
     )
     if options.standardize:
-        role = role.when((tag == "a") & (F.col("anchor.note") != ""), "note")
+        role = role.when(F.col("anchor_note"), "note")
     return role.when(tag == "a", "link").otherwise("other")
 
 
@@ -220,9 +238,9 @@ def markdown_piece(options: Options) -> Column:
     piece = F.lit(None).cast("string")
     noted = F.lit(False)
     if options.standardize:
-        noted = F.coalesce(F.col("in_anchor") & (F.col("anchor.note") != ""), F.lit(False))
+        noted = F.col("in_note")
         piece = F.when((tag == "a") & opens & (F.col("note") != ""), F.concat(F.lit("[^"), "note", F.lit("]"))).when(
-            (tag == "a") & (F.col("anchor.note") != ""), F.lit("")
+            F.col("anchor_note"), F.lit("")
         ).when(kind == "math", F.concat(F.lit("$"), F.trim(text), F.lit("$")))
         start = piece
     else:
@@ -236,7 +254,7 @@ def markdown_piece(options: Options) -> Column:
         .when(tag.isin("i", "em"), F.lit("*"))
         .when(tag == "code", F.lit("`"))
         .when((tag == "a") & opens & F.col("is_link"), F.lit("["))
-        .when((tag == "a") & (kind == "close") & F.col("anchor.is_link"), F.lit("]("))
+        .when(F.col("anchor_link").isNotNull(), F.lit("]("))
         .when(tag == "br", F.lit("\n"))
         .when((tag == "img") & (F.col("link") != ""), F.concat(F.lit("!["), "alt", F.lit("]("), "link", F.lit(")")))
         .when(tag.isin("td", "th") & (kind == "close"), F.lit(" | "))
@@ -281,7 +299,7 @@ def page_blocks(marked: DataFrame, options: Options, piece: Column, role: Column
             F.collect_list(
                 F.when(
                     F.col("piece") != "",
-                    F.struct("pos", "role", "piece", F.when(F.col("piece") == "](", F.col("anchor.link")).alias("to")),
+                    F.struct("pos", "role", "piece", F.when(F.col("piece") == "](", F.col("anchor_link")).alias("to")),
                 )
             ).alias("pieces"),
         )

@@ -35,7 +35,7 @@ def _drawn_together(text: str) -> str:
     return f"trim(regexp_replace({markup.decoded_sql(text)}, {quoted(BLANKS)}, ' '))"
 
 
-BLANKS = r"\s+"
+BLANKS, SOLID = r"\s+", r"\S"
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         "url",
         *base,
         f"regexp_extract_all(html, {quoted(HEAD)}, 0) AS pieces",
-        "trim(translate(html, '\\n\\r\\t\\f', '    ')) <> '' AS has_html",
+        f"regexp_like(html, {quoted(SOLID)}) AS has_html",
     )
     as_attributes = f"t -> {markup.attributes_sql(markup.inside_sql('t'))}"
     df = df.selectExpr(

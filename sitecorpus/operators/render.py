@@ -146,13 +146,13 @@ def rendered_pages(pages: DataFrame, fmt: str = "markdown", options: Options = O
         if options.standardize:
             for pattern in EMPTY_ELEMENTS:
                 content = F.regexp_replace(content, pattern, "")
-    content = F.when(F.col("has_html"), content)
-    filled = F.trim(F.translate(content, "\n\r\t", "   ")) != ""
+    df = df.withColumn("content", F.when(F.col("has_html"), content))
+    filled = F.col("content").rlike(r"\S")
     return df.select(
         "page_id", "url", "title", "description", "author", "date_published", "domain", "site", "language",
         F.coalesce("words", F.lit(0)).cast("int").alias("word_count"),
         "favicon", "image", "meta_tags", "schema_org_data",
-        F.when(filled, content).alias("content"),
+        F.when(filled, F.col("content")).alias("content"),
         F.coalesce(filled, F.lit(False)).alias("ok"),
     )
 

@@ -81,18 +81,26 @@ def tokenize(pages: DataFrame) -> DataFrame:
     return tokens.withColumn("attr_list", F.when(F.col("attrs") != "", F.expr(markup.attributes_sql("attrs"))))
 
 
-def with_spans(tokens: DataFrame, carried: list[str] | None = None) -> DataFrame:
+def with_page_ends(tokens: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``<name>_last``, the greatest value of each column on its page."""
+    whole = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return tokens.withColumns({f"{name}_last": F.max(name).over(whole) for name in names})
+
+
+def with_spans(tokens: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Add ``span_end`` to every open or void token: the position its element ends at.
 
     The level of a tag is its running open minus close count, taken before a
     close.  After an open the next row of its level can only be its close;
     stray closes shift the count but close nothing.  A ``p`` ends at the next
-    ``p``; what is never closed ends with the page.  For each
-    name in ``carried`` the value at the span's end is added as ``<name>_end``.
+    ``p``; what is never closed ends with the page.  For each rising count in
+    ``carried`` its value at the span's end is added as ``<name>_end``.
     """
+    names = ["pos", *carried]
+    if "pos_last" not in tokens.columns:
+        tokens = with_page_ends(tokens, names)
     by_tag = Window.partitionBy("page_id", "tag").orderBy("pos")
     by_level = Window.partitionBy("page_id", "tag", "level").orderBy("pos")
-    whole_page = Window.partitionBy("page_id")
     kind = F.col("kind")
     step = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
     df = tokens.withColumns(
@@ -102,17 +110,15 @@ def with_spans(tokens: DataFrame, carried: list[str] | None = None) -> DataFrame
             "next_kind": F.lead("kind").over(by_tag),
         }
     ).withColumn("level", F.col("balance") + F.when(kind == "close", 1).otherwise(0))
-    carried = carried or []
-    df = df.withColumns({"close_pos": F.lead("pos").over(by_level), **{f"{c}_end": F.lead(c).over(by_level) for c in carried}})
-    df = df.withColumns({"last_pos": F.max("pos").over(whole_page), **{f"{c}_last": F.max(c).over(whole_page) for c in carried}})
+    df = df.withColumns({f"{name}_end": F.lead(name).over(by_level) for name in names})
     flat_end = F.when(F.col("next_kind") == "open", F.col("next_pos") - 1).otherwise(F.col("next_pos"))
-    closes = F.when(F.col("tag") == "p", flat_end).otherwise(F.col("close_pos"))
+    closes = F.when(F.col("tag") == "p", flat_end).otherwise(F.col("pos_end"))
     return df.withColumns(
         {
-            "span_end": F.when(kind == "void", F.col("pos")).when(kind == "open", F.coalesce(closes, F.col("last_pos"))),
-            **{f"{c}_end": F.coalesce(f"{c}_end", f"{c}_last") for c in carried},
+            "span_end": F.when(kind == "void", F.col("pos")).when(kind == "open", F.coalesce(closes, F.col("pos_last"))),
+            **{f"{name}_end": F.coalesce(f"{name}_end", f"{name}_last") for name in carried},
         }
-    ).drop("balance", "next_pos", "next_kind", "level", "close_pos", "last_pos", *[f"{c}_last" for c in carried])
+    ).drop("balance", "next_pos", "next_kind", "level", "pos_end", *[f"{name}_last" for name in names])
 
 
 def inside_any(flag: Column) -> Column:
