@@ -124,6 +124,18 @@ def _in_order(column: Column) -> Column:
     return column.asc_nulls_first()
 
 
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
+
+
+def _encoder(setup, end: int) -> Encoder:
+    """The worker's encoder; its cache lasts from task to task."""
+    key = hash(setup.value), end
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(setup.value, end)
+    return _ENCODERS[key]
+
+
 def write_ids(df: DataFrame, tokenizer: str, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of every text, and ``end``, to ORC files under ``path`` in ascending order of ``doc_id``."""
     spark = df.sparkSession
@@ -132,7 +144,7 @@ def write_ids(df: DataFrame, tokenizer: str, path: str, end: int, doc_id: str =
         setup = spark.sparkContext.broadcast(f.read())
 
     def encoded(batches):
-        encoder = Encoder(setup.value, end)
+        encoder = _encoder(setup, end)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             step = 2000
