@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecorpus.checkpoints import checkpoint_root
-from sitecorpus.llm import byte_bpe, decontaminate, language, orc_ids, quality, secrets, token_counts, warc
+from sitecorpus.llm import byte_bpe, decontaminate, jaccard_join, language, orc_ids, quality, secrets, token_counts, warc
 
 END_ID = 2
 TOKEN_LIMIT = 512
@@ -75,6 +75,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_rules.*")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"))
     kinds = [k for k, *_ in secrets.KINDS]
@@ -97,6 +101,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
