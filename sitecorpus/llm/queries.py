@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecorpus.checkpoints import checkpoint_root
-from sitecorpus.llm import byte_bpe, decontaminate, jaccard_join, language, orc_ids, quality, secrets, token_counts, warc
+from sitecorpus.llm import byte_bpe, decontaminate, jaccard_join, language, orc_ids, quality, recurrent_lm, secrets, token_counts, warc
 
 END_ID = 2
 TOKEN_LIMIT = 512
@@ -42,6 +42,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = recurrent_lm.score(_documents(spark, sf_dir).select("doc_id", "text"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "orc_ids")
     orc_ids.write_ids(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), path, END_ID)
@@ -96,6 +102,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_recurrent_lm": op2_recurrent_lm,
     "op3_orc_ids": op3_orc_ids,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
