@@ -289,7 +289,8 @@ def _sets(words: int):
         found = list(shingles(as_bytes(column), words))
         return pa.StructArray.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "shingles"])
 
-    return F.arrow_udf(sets, StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())]))
+    # Not deterministic for the planner only, which would else move it below the join and make the sets of all documents.
+    return F.arrow_udf(sets, StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])).asNondeterministic()
 
 
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
