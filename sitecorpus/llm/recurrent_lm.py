@@ -46,7 +46,7 @@ FREQUENT = 1_000_000
 #: Units of the state; steps of a window; sequences fitted side by side; rounds; share of the documents in each.
 UNITS = 24
 WINDOW = 20
-STREAMS = 64
+STREAMS = 128
 ROUNDS = 3
 SHARE = 12
 STEP = 0.01
