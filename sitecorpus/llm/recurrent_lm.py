@@ -49,7 +49,7 @@ WINDOW = 20
 STREAMS = 128
 ROUNDS = 3
 SHARE = 12
-STEP = 0.01
+STEP = 0.02
 #: Documents scored side by side.
 ABREAST = 1024
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
