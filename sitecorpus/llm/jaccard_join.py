@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from sitecorpus.checkpoints import cut
 from sitecorpus.llm.common import PLAIN, as_bytes, groups, mix, ship
@@ -51,6 +52,8 @@ BLOCK = 256
 #: Share of its parent from which a bucket counts as dense, and the longest path.
 DENSE = 0.64
 DEEPEST = 12
+#: Bits of the largest filter of members.
+MOST_BITS = 1 << 29
 #: The recall wanted at the least similarity, on paths of this length.
 RECALL = 0.99
 LENGTH = 4
@@ -293,12 +296,49 @@ def _sets(words: int):
     return F.arrow_udf(sets, StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])).asNondeterministic()
 
 
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The four bits of each hash in a Bloom filter of ``size`` bits."""
+    return np.concatenate([mix(hashes + np.uint64(k)) % np.uint64(size) for k in range(1, 5)])
+
+
+def maybe_members(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The documents but for most that are no members, by a Bloom filter of their ids, so that few texts are shuffled."""
+    size = min(MOST_BITS, 1 << max(16, math.ceil(math.log2(16 * max(1, members.count())))))
+
+    def bits(batches):
+        table = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy().view(np.uint64), size)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())})
+
+    def either(a: bytes, b: bytes) -> bytes:
+        if not a or not b:
+            return a or b
+        both = np.frombuffer(zlib.decompress(a), np.uint8) | np.frombuffer(zlib.decompress(b), np.uint8)
+        return zlib.compress(both.tobytes(), 1)
+
+    rows = members.select(F.xxhash64("doc_id")).coalesce(64).mapInArrow(bits, "bits binary").rdd.map(lambda r: bytes(r[0]))
+    made = rows.treeAggregate(b"", either, either, depth=2)
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+
+    def held(column: pa.Array) -> pa.Array:
+        if not shared.value:
+            return pa.array(np.zeros(len(column), bool))
+        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        at = _bits(column.to_numpy(zero_copy_only=False).view(np.uint64), size)
+        found = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        return pa.array(found.reshape(4, -1).all(axis=0))
+
+    return docs.where(F.arrow_udf(held, BooleanType())(F.xxhash64("doc_id")))
+
+
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``digest, root, links`` from all pairs of blocks of all clusters; ``members`` has ``digest, doc_id, copies, cluster``."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.join(sizes, "cluster").select("digest", F.col("doc_id").alias("rep"), "copies", "cluster", blocks.alias("blocks"))
-    texts = docs.join(placed, docs["doc_id"].eqNullSafe(placed["rep"]))
+    texts = maybe_members(docs, members).join(placed, docs["doc_id"].eqNullSafe(placed["rep"]))
     made = texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", "copies", "cluster", "blocks", F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"])
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     pairs = made.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
