@@ -26,8 +26,6 @@ def discovery_order(found: DataFrame, root: str = "root_url", width: int = WIDTH
     ``found`` is already written.  Rows of one parent are numbered among themselves, which a page bounds; the
     offset of a parent is a running sum that stays split for a root of any size.
     """
-    if found.count() <= width:
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy(root).orderBy("parent_ord", "pos")).cast("long"))
     per_parent = found.groupBy(root, "parent_ord").agg(F.count("*").alias("children"))
     offsets = running_sum(per_parent, [root], "parent_ord", F.col("children"), "upto", width)
     own = Window.partitionBy(root, "parent_ord").orderBy("pos")

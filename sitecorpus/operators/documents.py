@@ -88,15 +88,16 @@ HEADER = {
 }
 
 
-def with_front_matter(df: DataFrame, extracted_at: str | None = None, out: str = "document") -> DataFrame:
+def with_front_matter(df: DataFrame, extracted_at: str | None = None, out: str = "document", stored: bool = False) -> DataFrame:
     """add the Markdown document with its header.
 
     ``df`` holds ``url``, ``content`` and any of the header's fields.  Keys without
     a value are left out; values are quoted; ``date_extracted`` is written only
-    if the caller names a time.
+    if the caller names a time.  With ``stored`` the content comes from a stored
+    document, whose old header goes; fresh content is never cut.
     """
     kept = df.columns
-    _, body = split_front_matter_sql("content")
+    body = split_front_matter_sql("content")[1] if stored else "content"
     df = urls.with_url_parts(df, "url", "__d_").selectExpr(*kept, "__d_path", f"ltrim('\\n\\r\\t ', {body}) AS __d_body")
     title = fallback_title_sql("title" if "title" in kept else "CAST(NULL AS STRING)", "__d_body", "__d_path")
     fields = {key: field for key, field in HEADER.items() if field in kept and key != "title"}
@@ -121,7 +122,7 @@ def numbered_path(path: Column, number: Column) -> Column:
     return F.when(number == 0, path).otherwise(F.concat(stem, F.lit("_"), number.cast("string"), ending))
 
 
-def _settled(claims: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _settled(claims: DataFrame) -> DataFrame:
     """Give every claim a path of its own: ``(want, key, arrival, number)``.
 
     ``claims`` holds, for each wanted path, its claims in order of arrival with
@@ -145,7 +146,7 @@ def _settled(claims: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         return claims
     rest = claims.join(touched, "want", "left_anti")
     moving = cut(claims.join(touched, "want", "left_semi"), "moving")
-    for _ in range(max_rounds):
+    while True:
         placed = moving.withColumn("path", numbered_path(F.col("want"), F.col("number")))
         holders = placed.groupBy("path").agg(F.min("arrival").alias("holder"), F.count("*").alias("n")).where("n > 1")
         lost = placed.join(holders, "path").where(F.col("arrival") > F.col("holder"))
@@ -159,7 +160,6 @@ def _settled(claims: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             .select("want", "key", "arrival", (F.col("number") + F.col("step")).alias("number"), (F.col("run") + F.col("step")).alias("run")),
             "moving",
         )
-    raise RuntimeError(f"paths still clash after {max_rounds} rounds")
 
 
 def assigned_paths(docs: DataFrame, extension: str = "md", single_site: bool = False, width: int = WIDTH) -> DataFrame:

@@ -178,10 +178,10 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     )
     item_text = (tag == "p") & (kind == "open") & (F.col("previous.tag") == "li") & (F.col("previous.kind") == "open")
     starts_block = tag.isin(BLOCK_TAGS) & ~F.coalesce(item_text, F.lit(False))
-    # One bit per list level tells ordered lists; it is set and cleared by the list's own tags.
+    # One bit per list level tells ordered lists; the list's own tags switch it, which no depth can overflow.
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest("list_depth", F.lit(0)), F.lit(60)).cast("int"))
     above = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(F.col("list_depth") + 1, F.lit(0)), F.lit(60)).cast("int"))
-    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & (kind == "close"), -above).otherwise(F.lit(0).cast("long"))
+    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & (kind == "close"), above).otherwise(F.lit(0).cast("long"))
     is_anchor = tag == "a"
     tokens = tokens.withColumns(
         {
@@ -207,7 +207,7 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     whole = by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tokens = tokens.withColumns(
         {
-            "ordered_bits": F.sum("ordered").over(upto),
+            "ordered_bits": F.bit_xor("ordered").over(upto),
             "block": F.sum("starts_block").over(upto),
             "main": F.min(candidate).over(whole),
         }

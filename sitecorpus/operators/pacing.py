@@ -52,9 +52,11 @@ def fetch_schedule(
     )
     # The first request of a host starts after its wait, all others a gap after the one before.
     first = paced.groupBy("netloc").agg(F.min_by(F.col("wait") - F.col("gap"), "seq").alias("shift"))
-    summed = running_sum(paced, ["netloc"], "seq", F.col("gap") + F.col("extra"), "upto", width)
+    # Whole microseconds, so that the order of addition cannot show.
+    micros = F.round((F.col("gap") + F.col("extra")) * 1_000_000).cast("long")
+    summed = running_sum(paced, ["netloc"], "seq", micros, "upto", width)
     return summed.join(first, "netloc").select(
-        "netloc", "seq", "url", (F.col("upto") - F.col("extra") + F.col("shift")).alias("start")
+        "netloc", "seq", "url", (F.col("upto") / 1_000_000 - F.col("extra") + F.col("shift")).alias("start")
     )
 
 

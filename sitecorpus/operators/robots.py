@@ -123,10 +123,9 @@ def listed_sitemaps(robots_docs: DataFrame) -> DataFrame:
 
 
 def site_policies(robots_docs: DataFrame, agent: str) -> DataFrame:
-    """One row per site: ``site, denied, closed, rules, crawl_delay, sitemaps``.
+    """One row per site: ``site, denied, rules, crawl_delay, sitemaps``.
 
-    ``closed`` marks answers under which nothing may be fetched: 401, and
-    server errors, after which no rule was ever read.
+    Any failed answer but 403, and no answer, leaves a site without rules: all is allowed.
     """
     groups = robots_groups(robots_docs).join(chosen_groups(robots_docs, agent), ["site", "group_id"])
     rule = F.struct(
@@ -150,7 +149,6 @@ def site_policies(robots_docs: DataFrame, agent: str) -> DataFrame:
         .select(
             "site",
             denied.alias("denied"),
-            F.coalesce((F.col("status") == 401) | (F.col("status") >= 500), F.lit(False)).alias("closed"),
             "rules",
             F.when(denied, F.lit(DENIED_DELAY)).when(F.col("delay") > 0, F.col("delay")).alias("crawl_delay"),
             F.coalesce("maps.sitemap", F.array().cast("array<string>")).alias("sitemaps"),
@@ -182,7 +180,7 @@ def with_decision(
     first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("__text"), r["path"])), F.lit(1))
     df = df.withColumn("__rule", first)
     denied, listed = F.coalesce("denied", F.lit(False)), F.coalesce(F.array_contains("sitemaps", F.col(url)), F.lit(False))
-    by_rule = F.when(F.coalesce("closed", F.lit(False)), F.lit(False)).otherwise(F.coalesce("__rule.allow", F.lit(True)))
+    by_rule = F.coalesce("__rule.allow", F.lit(True))
     common = path.rlike("(?:" + "|".join(p.replace(".", "\\.") for p in COMMON_SITEMAPS) + ")\\z")
     hidden = F.lit(True) if policy_403 == "allow" else path.isin(OPEN_PATHS)
     root = path.isin("", "/")
@@ -195,7 +193,7 @@ def with_decision(
         .otherwise(F.lit("rule"))
     )
     df = df.withColumn("allowed", F.when(denied, hidden).otherwise(listed | by_rule | common | root)).withColumn("why", why)
-    return urls.drop_parts(df, "__u_").drop("__text", "__rule", "__site", "denied", "closed", "rules", "crawl_delay", "sitemaps")
+    return urls.drop_parts(df, "__u_").drop("__text", "__rule", "__site", "denied", "rules", "crawl_delay", "sitemaps")
 
 
 def robots_audit(decided: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 A window over a whole group would send one hot host or root to a single task.
 Here the order numbers are cut into chunks of a fixed width: a chunk is summed
 on its own, the chunk totals are summed in turn, and the offset of its chunk is
-added to every row.  No task sees more than one chunk of rows.  Inputs that
-are counted to be no larger than one chunk take the plain window.
+added to every row.  With dense order values no task sees more than one chunk of rows.
+The plan is the same for inputs of every size.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ def running_sum(
     ``order`` is a whole number, unique within the keys, which are not NULL.
     ``df`` is read more than once; pass a narrow frame that is already written.
     """
-    if df.count() <= width:
-        plain = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(plain))
     return _chunked_sum(df, keys, order, value, out, width, levels)
 
 

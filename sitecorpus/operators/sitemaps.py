@@ -76,14 +76,13 @@ def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
     )
 
 
-def expand_sitemaps(chosen: DataFrame, locs: DataFrame, max_rounds: int = 1000, width: int = WIDTH) -> DataFrame:
+def expand_sitemaps(chosen: DataFrame, locs: DataFrame, width: int = WIDTH) -> DataFrame:
     """M4: page URLs of each root, ``(root_url, url, ord, pos)`` in the order they come out.
 
     A queued URL is handled once, at its first place in the queue.  One that
     looks like a sitemap is opened: if any of its entries looks like a sitemap
     all of them join the queue, else all come out, repeats included.  The queue
-    shrinks to nothing because handled URLs never come back; ``max_rounds``
-    only guards against data that generates itself, and stops with an error.
+    shrinks to nothing because handled URLs never come back and there are only so many.
     """
     locs = cut(locs, "sitemap-locs")
     queue = chosen.join(locs, F.col("url") == F.col("doc_url")).select(
@@ -92,7 +91,7 @@ def expand_sitemaps(chosen: DataFrame, locs: DataFrame, max_rounds: int = 1000,
     first = F.min(F.struct("parent_ord", "pos")).alias("first")
     handled, out = None, None
     done = chosen.select("root_url", F.lit(0).cast("long").alias("seen"))
-    for _ in range(max_rounds):
+    while True:
         new = queue.groupBy("root_url", "url").agg(first)
         if handled is not None:
             new = new.join(handled, ["root_url", "url"], "left_anti")
@@ -112,8 +111,6 @@ def expand_sitemaps(chosen: DataFrame, locs: DataFrame, max_rounds: int = 1000,
         pages = plain.unionByName(leaves)
         out = pages if out is None else out.unionByName(pages)
         queue = opened.where("nested").select("root_url", F.col("loc").alias("url"), F.col("ord").alias("parent_ord"), "pos")
-    else:
-        raise RuntimeError(f"sitemaps still open after {max_rounds} rounds")
     if out is None:
         out = queue.select("root_url", "url", F.col("parent_ord").alias("ord"), "pos").limit(0)
     return out

@@ -149,7 +149,7 @@ block(
 SELECT root_url, root_netloc, root_url AS url, 0 AS depth FROM roots
 UNION
 SELECT w.root_url, w.root_netloc, e.target, w.depth + 1 FROM walk w JOIN site_edges e ON e.source = w.url
-WHERE w.depth < 3 AND (e.target_netloc = '' OR e.target_netloc = w.root_netloc)
+WHERE w.depth < 5 AND (e.target_netloc = '' OR e.target_netloc = w.root_netloc)
 """,
     "roots", "site_edges",
 )
@@ -172,7 +172,7 @@ SELECT w.root_url, w.root_netloc, e.target, w.depth + 1, list_append(w.steps, e.
 FROM walk_paths w JOIN visited p ON p.root_url = w.root_url AND p.url = w.url AND p.depth = w.depth
 JOIN site_edges e ON e.source = w.url
 JOIN visited v ON v.root_url = w.root_url AND v.url = e.target AND v.depth = w.depth + 1
-WHERE w.depth < 3
+WHERE w.depth < 5
 """,
     "roots", "site_edges", "visited",
 )

@@ -12,7 +12,7 @@ from sitecorpus.functions import urls
 from sitecorpus.operators import crawl, documents, export, extract, links, metadata, pacing, render, robots, sitemaps, tokens
 from sitecorpus.sources import fixtures, snapshots
 
-DEPTH = 3
+DEPTH = 5
 AGENT = fixtures.AGENT
 OFF = dict(
     remove_exact_selectors=False, remove_partial_selectors=False, remove_hidden_elements=False,
@@ -308,7 +308,7 @@ def front_matter(spark, sf):
     df = metadata.page_metadata(rich_of(spark, sf)).where("has_html")
     df = df.withColumn("content", F.concat(F.lit("---\nold: header\n---\n\n# Text of "), F.col("page_id").cast("string"), F.lit("\n\nbody")))
     df = df.withColumn("title", F.when(F.col("page_id") % 3 != 0, F.col("title")))
-    return documents.with_front_matter(df, "2024-01-01T00:00:00").select("page_id", "document")
+    return documents.with_front_matter(df, "2024-01-01T00:00:00", stored=True).select("page_id", "document")
 
 
 def path_collisions(spark, sf):

