@@ -86,15 +86,19 @@ def _pairs(of: Column) -> Column:
 
 def samples(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``random, value``: the labelled strings of the sampled documents."""
-    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), F.length("text")).limit(sample)
-    found = some.withColumn("spans", base_spans(F.col("text")))
-    value = F.when(F.col("span.kind") == "assign", F.regexp_extract("span.match", KINDS[0][1], 2)).otherwise(F.col("span.match"))
-    random = found.select(F.explode("spans").alias("span")).select(F.lit(True).alias("random"), value.alias("value"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), F.length("text")).limit(sample).repartition(tasks)
     rest = F.col("text")
     for _, pattern, _, _ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
-    ordinary = found.select(F.explode(F.regexp_extract_all(rest, F.lit(rf"[A-Za-z0-9+/_=-]{{{ORDINARY},}}"), F.lit(0))).alias("value")).select(F.lit(False).alias("random"), "value")
-    return random.unionByName(ordinary)
+
+    def random(x):
+        value = F.when(x["kind"] == "assign", F.regexp_extract(x["match"], KINDS[0][1], 2)).otherwise(x["match"])
+        return F.struct(F.lit(True).alias("random"), value.alias("value"))
+
+    ordinary = F.regexp_extract_all(rest, F.lit(rf"[A-Za-z0-9+/_=-]{{{ORDINARY},}}"), F.lit(0))
+    both = F.concat(F.transform(base_spans(F.col("text")), random), F.transform(ordinary, lambda v: F.struct(F.lit(False).alias("random"), v.alias("value"))))
+    return some.select(F.explode(both).alias("sample")).select("sample.random", "sample.value")
 
 
 def log_ratios(rows: DataFrame) -> list[float] | None:
