@@ -76,13 +76,13 @@ class Codec:
         self.tokens, self.pattern = tokens, regex.compile(pattern)
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.left, self.right = parts[:, 0].tolist(), parts[:, 1].tolist()
-        self.merged = {(a, b): i for i, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if a != i}
+        self.merged = {a << 20 | b: i for i, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if a != i}
         self.automaton = ahocorasick.Automaton()
         for i, token in enumerate(tokens):
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [self._prefix(t) for t in tokens]
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}
         self.pieces = Cache(self._piece, words)
         self.chunks = Cache(self._chunk, words)
 
@@ -97,7 +97,7 @@ class Codec:
         """
         bound, x, y = len(self.tokens), a, b
         while True:
-            across = self.merged.get((x, y))
+            across = self.merged.get(x << 20 | y)
             if across is not None and across < bound:
                 return False
             x_whole, y_whole = self.right[x] == x, self.left[y] == y
@@ -109,11 +109,11 @@ class Codec:
                 bound, y = y + 1, self.left[y]
 
     def _beside(self, a: int, b: int) -> bool:
-        known = self.neighbours.get((a, b))
+        known = self.neighbours.get(a << 20 | b)
         if known is None:
             if len(self.neighbours) >= NEIGHBOURS:
                 self.neighbours.clear()
-            known = self.neighbours[a, b] = self.fits(a, b)
+            known = self.neighbours[a << 20 | b] = self.fits(a, b)
         return known
 
     def piece_ids(self, piece: bytes) -> list[int]:
