@@ -38,6 +38,8 @@ BLOCK_TAGS = HEADINGS + [
 # Blocks that may be short without being noise.
 SHORT_BLOCKS = HEADINGS + ["li", "pre", "tr", "dt", "dd", "figcaption", "caption"]
 SMALL = 33  # pixels
+# Rules that spare what the main element lies in.
+SPARING = ["exact_selectors", "partial_selectors", "hidden_elements"]
 FOOTNOTE = r"^#(?:fn|footnote)[:_-]?([A-Za-z0-9]+)\z"
 
 
@@ -108,7 +110,11 @@ def _flags(options: Options) -> dict[str, Column]:
 def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Tokens with ``in_main``, the ``rule`` that removed them, their block and context.
 
-    ``rule`` names the first rule that took the token, NULL if it stays.
+    ``rule`` names the first rule that took the token, NULL if it stays.  A main
+    element named as such outside all removed elements comes first; then one in
+    a removed element (a form or a named wrapper around the page) that holds more
+    text than all that stays outside; then ``div``, ``section`` and ``body`` outside.
+    Elements around the chosen one are not removed.
     """
     by_page = Window.partitionBy("page_id").orderBy("pos")
     upto = by_page.rowsBetween(Window.unboundedPreceding, 0)
@@ -158,10 +164,36 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
         rules.append(("small_images", F.col("f_small")))
     if options.remove_images:
         rules.append(("images", starts & (tag.isin("img", "picture", "svg") | wordless)))
+    flagged = F.lit(False)
+    for _, flag in rules:
+        flagged = flagged | flag
+    flagged = F.coalesce(flagged, F.lit(False))
+    whole = by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tokens = tokens.withColumn("removed", inside_any(flagged)).withColumn(
+        "staying", F.sum(F.when(F.col("removed") | F.col("in_link"), 0).otherwise(size)).over(whole)
+    )
+    dense = (F.col("chars_end") - F.col("chars")) - (F.col("link_chars_end") - F.col("link_chars"))
+    wrapped = F.col("removed") & ~flagged & (F.col("main_kind") < 5) & (dense > F.col("staying"))
+    tier = F.when(wrapped, 1).when(~F.col("removed"), F.when(F.col("main_kind") < 4, 0).otherwise(2))
+    candidate = F.when(
+        F.col("main_kind").isNotNull() & tier.isNotNull(),
+        F.struct(
+            tier.alias("tier"),
+            "main_kind",
+            F.when(F.col("main_kind") == 4, -dense).otherwise(0).alias("score"),
+            F.when(F.col("main_kind") == 4, -F.col("pos")).otherwise(F.col("pos")).alias("place"),
+            F.col("pos").alias("start"),
+            F.col("span_end").alias("end"),
+        ),
+    )
+    tokens = tokens.withColumn("main", F.min(candidate).over(whole))
+    around_main = F.coalesce((F.col("pos") < F.col("main.start")) & (F.col("span_end") >= F.col("main.end")), F.lit(False))
     rule = F.lit(None).cast("string")
     for name, flag in reversed(rules):
-        rule = F.when(inside_any(flag), F.lit(name)).otherwise(rule)
-    opened = F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)
+        spared = flag & ~around_main if name in SPARING else flag
+        rule = F.when(inside_any(spared), F.lit(name)).otherwise(rule)
+    # Stray closes close nothing.
+    opened = F.when(kind == "open", 1).when(F.col("paired"), -1).otherwise(0)
     solid = (kind != "text") | F.col("text").rlike(r"\S")
     last_anchor = F.last(F.when(is_open_anchor, F.struct("link", "note", "is_link")), ignorenulls=True).over(upto)
     in_anchor = F.last(F.when(tag == "a", kind == "open"), ignorenulls=True).over(upto)
@@ -181,7 +213,7 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     # One bit per list level tells ordered lists; the list's own tags switch it, which no depth can overflow.
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest("list_depth", F.lit(0)), F.lit(60)).cast("int"))
     above = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(F.col("list_depth") + 1, F.lit(0)), F.lit(60)).cast("int"))
-    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & (kind == "close"), above).otherwise(F.lit(0).cast("long"))
+    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & F.col("paired"), above).otherwise(F.lit(0).cast("long"))
     is_anchor = tag == "a"
     tokens = tokens.withColumns(
         {
@@ -193,25 +225,12 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
             "ordered": ordered,
         }
     ).drop("anchor", "in_anchor", "previous")
-    dense = (F.col("chars_end") - F.col("chars")) - (F.col("link_chars_end") - F.col("link_chars"))
-    candidate = F.when(
-        F.col("main_kind").isNotNull() & F.col("rule").isNull(),
-        F.struct(
-            "main_kind",
-            F.when(F.col("main_kind") == 4, -dense).otherwise(0).alias("score"),
-            F.when(F.col("main_kind") == 4, -F.col("pos")).otherwise(F.col("pos")).alias("place"),
-            F.col("pos").alias("start"),
-            F.col("span_end").alias("end"),
-        ),
-    )
-    whole = by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tokens = tokens.withColumns(
         {
             "ordered_bits": F.bit_xor("ordered").over(upto),
             "block": F.sum("starts_block").over(upto),
-            "main": F.min(candidate).over(whole),
         }
-    )
+    ).drop("removed", "staying", "paired")
     return tokens.withColumn(
         "in_main", F.col("main").isNull() | F.col("pos").between(F.col("main.start"), F.col("main.end"))
     )

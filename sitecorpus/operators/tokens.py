@@ -94,7 +94,8 @@ def with_spans(tokens: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     close.  After an open the next row of its level can only be its close;
     stray closes shift the count but close nothing.  A ``p`` ends at the next
     ``p``; what is never closed ends with the page.  For each rising count in
-    ``carried`` its value at the span's end is added as ``<name>_end``.
+    ``carried`` its value at the span's end is added as ``<name>_end``; ``paired``
+    tells closes that close something.
     """
     names = ["pos", *carried]
     if "pos_last" not in tokens.columns:
@@ -109,8 +110,10 @@ def with_spans(tokens: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
             "next_pos": F.lead("pos").over(by_tag),
             "next_kind": F.lead("kind").over(by_tag),
         }
-    ).withColumn("level", F.col("balance") + F.when(kind == "close", 1).otherwise(0))
-    df = df.withColumns({f"{name}_end": F.lead(name).over(by_level) for name in names})
+    ).withColumn("level", F.when(kind != "void", F.col("balance") + F.when(kind == "close", 1).otherwise(0)))
+    df = df.withColumns({f"{name}_end": F.lead(name).over(by_level) for name in names}).withColumn(
+        "paired", (kind == "close") & F.coalesce(F.lag("kind").over(by_level) == "open", F.lit(False))
+    )
     flat_end = F.when(F.col("next_kind") == "open", F.col("next_pos") - 1).otherwise(F.col("next_pos"))
     closes = F.when(F.col("tag") == "p", flat_end).otherwise(F.col("pos_end"))
     return df.withColumns(

@@ -103,6 +103,31 @@ def test_main_content_choice(spark):
         extract.selector_filter("div > p")
 
 
+def test_wrappers_of_the_main_content_stay(spark):
+    text = "Words enough to be kept, here and there."
+    pages = [
+        f"<body><form id=aspnetForm><div><nav>menu, here</nav><article>{text} a<form>ask, here</form></article></div></form></body>",
+        f"<body><p>Skip, now</p><div class='page has-cookie-notice'><main>{text} m</main></div></body>",
+        f"<body><div style='display:none'><div role=main>{text} r</div></div></body>",
+        f"<body><form><div>{text} d</div></form></body>",
+        f"<body><aside><article>{text} {text} no</article></aside><article>{text} b</article></body>",
+        f"<body><p>{text} {text} p</p><aside><article>{text} no</article></aside></body>",
+        f"<body><div class=promo>{text} {text} no</div><p>Short, but kept p</p></body>",
+    ]
+    got = contents(render.rendered_pages(frame(spark, *pages)))
+    assert got[0] == f"{text} a" and got[1] == f"{text} m" and got[2] == f"{text} r" and got[3] == f"{text} d"
+    assert got[4] == f"{text} b" and got[5] == f"{text} {text} p" and got[6] == "Short, but kept p"
+
+
+def test_stray_closes_change_no_marks(spark):
+    html = (
+        "<article></ol><ul><li>one, of</li></ul></pre><pre>a\n  b</pre><div>x, of<div/>y, of</div></blockquote><p>plain, of</p>"
+        "<ol><li>two, of</li></ol></article><p>outside, of</p>"
+    )
+    assert contents(render.rendered_pages(frame(spark, html)))[0] == (
+        "- one, of\n\n```\na\n  b\n```\n\nx, of\n\ny, of\n\nplain, of\n\n1. two, of")
+
+
 PARTS = (
     "<body><article><p>Kept text, of this page.</p><nav>Menu, of this page.</nav><div class='x sidebar'>Side, of this page.</div>"
     "<div id=my-newsletter>Letter, of this page.</div><p style='color:red; DISPLAY : none'>Hidden one, of this page.</p>"
