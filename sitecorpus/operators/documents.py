@@ -122,24 +122,40 @@ def numbered_path(path: Column, number: Column) -> Column:
     return F.when(number == 0, path).otherwise(F.concat(stem, F.lit("_"), number.cast("string"), ending))
 
 
-def _settled(claims: DataFrame) -> DataFrame:
+NUMBER = r"_([1-9][0-9]*)\z"  # what a number adds to a stem
+
+
+def _places_held(placed: DataFrame) -> DataFrame:
+    """``(of, n, arrival)``: every path as number 0 of itself, and as the number that it looks like of another."""
+    stem, ending = _stem_and_ending(F.col("path"))
+    looks = placed.select(
+        F.concat(F.regexp_replace(stem, NUMBER, ""), ending).alias("of"),
+        F.regexp_extract(stem, NUMBER, 1).try_cast("long").alias("n"),
+        "arrival",
+        "path",
+    ).where(numbered_path(F.col("of"), F.col("n")) == F.col("path"))
+    return placed.select(F.col("path").alias("of"), F.lit(0).cast("long").alias("n"), "arrival").unionByName(looks.drop("path"))
+
+
+def _settled(claims: DataFrame, width: int = WIDTH) -> DataFrame:
     """Give every claim a path of its own: ``(want, key, arrival, number)``.
 
-    ``claims`` holds, for each wanted path, its claims in order of arrival with
-    a first ``number``; among the claims of one wanted path numbers rise and
-    never repeat.  A numbered path can still equal a path that others want
-    unnumbered.  Then the earlier arrival stays; the later one moves to the
-    next number and pushes the unbroken run of its own successors along.  Each
-    path only ever passes to an earlier arrival, so the rounds end, and the
-    outcome is that of handling the claims one by one.
+    ``claims`` holds, for each wanted path and ``run``, its claims in order of
+    arrival with their dense ``rank`` and a first ``number``, which rises with it.
+    A numbered path can still equal a path that others want unnumbered.  Then the
+    earlier arrival stays, and the first later one of its run goes at once beyond
+    all the numbers from there on that earlier arrivals hold, with its successors
+    behind it.  A path only ever passes to an earlier arrival, so no number passed
+    over comes free again, the rounds end, and the outcome is that of handling the
+    claims one by one.  Rounds follow the gaps between taken numbers, not their count.
     """
     claims = cut(claims, "claims")
     wanted = claims.select("want").distinct()
     stem, ending = _stem_and_ending(F.col("want"))
     # Wanted paths that look like a number of another wanted path: the only ones that can clash.
-    numbers = wanted.select(
-        "want", F.concat(F.regexp_replace(stem, r"_[1-9][0-9]*\z", ""), ending).alias("of"), stem.alias("stem")
-    ).where(F.col("stem").rlike(r"_[1-9][0-9]*\z"))
+    numbers = wanted.select("want", F.concat(F.regexp_replace(stem, NUMBER, ""), ending).alias("of"), stem.alias("stem")).where(
+        F.col("stem").rlike(NUMBER)
+    )
     pairs = numbers.join(wanted.withColumnRenamed("want", "of"), "of")
     touched = cut(pairs.select("want").union(pairs.select("of")).distinct(), "touched")
     if touched.isEmpty():
@@ -150,15 +166,24 @@ def _settled(claims: DataFrame) -> DataFrame:
         placed = moving.withColumn("path", numbered_path(F.col("want"), F.col("number")))
         holders = placed.groupBy("path").agg(F.min("arrival").alias("holder"), F.count("*").alias("n")).where("n > 1")
         lost = placed.join(holders, "path").where(F.col("arrival") > F.col("holder"))
-        pushed = cut(lost.groupBy("want", "run").agg(F.min("number").alias("from_number")), "pushed")
-        if pushed.isEmpty():
+        first = lost.groupBy("want", "run").agg(F.min(F.struct("arrival", "number", "rank")).alias("first"))
+        first = cut(first.select("want", "run", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("arrival", "number", "rank")]), "first")
+        if first.isEmpty():
             return rest.unionByName(moving)
-        step = (F.col("from_number").isNotNull() & (F.col("number") >= F.col("from_number"))).cast("long")
+        blocked = (
+            _places_held(placed)
+            .join(first, F.col("of") == F.col("want"))
+            .where((F.col("n") >= F.col("first_number")) & (F.col("arrival") < F.col("first_arrival")))
+            .select("want", "run", "first_number", "n")
+            .distinct()
+        )
+        unbroken = numbered(cut(blocked, "blocked"), ["want", "run"], "n", "place", width).where("n - place = first_number - 1")
+        steps = unbroken.groupBy("want", "run").agg(F.count("*").alias("step"))
+        pushed = cut(first.join(steps, ["want", "run"]).drop("first_arrival"), "pushed")
+        behind = F.col("first_number") + F.col("step") + F.col("rank") - F.col("first_rank")
+        number = F.when(F.col("rank") >= F.col("first_rank"), F.greatest("number", behind)).otherwise(F.col("number"))
         moving = cut(
-            moving.join(pushed, ["want", "run"], "left")
-            .withColumn("step", step)
-            .select("want", "key", "arrival", (F.col("number") + F.col("step")).alias("number"), (F.col("run") + F.col("step")).alias("run")),
-            "moving",
+            moving.join(pushed, ["want", "run"], "left").select("want", "key", "arrival", number.alias("number"), "run", "rank"), "moving"
         )
 
 
@@ -175,8 +200,8 @@ def assigned_paths(docs: DataFrame, extension: str = "md", single_site: bool = F
     wanted = cut(wanted.select("seq", "want", key.alias("key")), "wanted")
     first = wanted.groupBy("want", "key").agg(F.min("seq").alias("arrival"), F.max("seq").alias("seq"))
     ranked = numbered(cut(first, "first"), ["want"], "arrival", "place", width)
-    claims = ranked.select("want", "key", "arrival", (F.col("place") - 1).alias("number"), F.lit(0).cast("long").alias("run"))
-    settled = _settled(claims).select("want", "key", numbered_path(F.col("want"), F.col("number")).alias("path"))
+    claims = ranked.select("want", "key", "arrival", (F.col("place") - 1).alias("number"), F.lit(0).cast("long").alias("run"), F.col("place").alias("rank"))
+    settled = _settled(claims, width).select("want", "key", numbered_path(F.col("want"), F.col("number")).alias("path"))
     files = settled.join(first.select("want", "key", "seq"), ["want", "key"]).select("path", "seq")
     return files.join(docs.select("seq", "url", "content"), "seq").select("path", "seq", "url", "content")
 
@@ -201,11 +226,12 @@ def merged_documents(stored: DataFrame, new: DataFrame, single_site: bool = Fals
     taken = old.groupBy("want").agg((F.max("number") + 1).alias("offset"))
     ranked = numbered(cut(fresh, "fresh"), ["want"], "arrival", "place", width).join(taken, "want", "left")
     claims = ranked.select(
-        "want", "key", "arrival", (F.col("place") - 1 + F.coalesce("offset", F.lit(0))).alias("number"), F.lit(0).cast("long").alias("run")
+        "want", "key", "arrival", (F.col("place") - 1 + F.coalesce("offset", F.lit(0))).alias("number"), F.lit(0).cast("long").alias("run"),
+        F.col("place").alias("rank"),
     )
     # A stored document arrived before all others; as its own run it is never pushed.
-    standing = old.select("want", "key", F.lit(-(2**62)).alias("arrival"), "number", F.lit(-1).cast("long").alias("run"))
-    settled = _settled(claims.unionByName(standing)).where(F.col("run") >= 0)
+    standing = old.select("want", "key", F.lit(-(2**62)).alias("arrival"), "number", F.lit(-1).cast("long").alias("run"), F.col("number").alias("rank"))
+    settled = _settled(claims.unionByName(standing), width).where(F.col("run") >= 0)
     placed = settled.select("want", "key", numbered_path(F.col("want"), F.col("number")).alias("path"), F.lit("new").alias("state"))
     replaced = matched.where("path is not null").select("want", "key", "path", F.lit("replaced").alias("state"))
     files = placed.unionByName(replaced).join(first.select("want", "key", "seq"), ["want", "key"])

@@ -74,6 +74,15 @@ def test_twins_are_numbered_in_order(spark):
     assert got == {"e.com/a.md": "4", "e.com/a_1.md": "1", "e.com/a_1_1.md": "2", "e.com/a_1_2.md": "3"}
 
 
+def test_many_taken_numbers_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(D, "cut", lambda df, name, real=D.cut: (written.append(name), real(df, name))[1])
+    docs = [(i, f"http://e.com/p_{i}", f"{i}") for i in range(1, 2001)] + [(5000, "http://e.com/p", "a"), (5001, "https://e.com/p", "b")]
+    got = {r.content: r.path for r in D.assigned_paths(spark.createDataFrame(docs, "seq long, url string, content string")).collect()}
+    assert got["a"] == "e.com/p.md" and got["b"] == "e.com/p_2001.md" and len(set(got.values())) == len(docs)
+    assert written.count("moving") <= 3
+
+
 def test_merging_twice_changes_nothing(spark):
     rng = random.Random(100)
     one, two = made_docs(rng, 25), made_docs(rng, 30, 1000)
