@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def site_export(pages: DataFrame, generated_at: str | None = None) -> DataFrame:
         "root_url", "seq", F.concat(page, F.when(F.col("seq") < F.col("last"), F.lit(",")).otherwise(F.lit(""))).alias("line")
     )
     root = "substr(to_json(named_struct('root_url', root_url)), 2)"
-    at = "" if generated_at is None else f", ',\"generated_at\":\"', {quoted(generated_at)}, '\"'"
+    at = "" if generated_at is None else f", {quoted(',"generated_at":' + json.dumps(generated_at))}"
     opening = f"concat('{{', left({root}, length({root}) - 1){at}, ',\"total_pages\":', total, ',\"pages\":[')"
     return (
         body.unionByName(totals.selectExpr("root_url", "first - 1 AS seq", f"{opening} AS line"))
@@ -68,23 +70,40 @@ def failure_reason() -> Column:
     )
 
 
-def write_documents(documents: DataFrame, target: str, extension: str = "md") -> None:
-    """One row per document, kept apart by domain; its path stays a column.
+BUCKETS = 256  # folders of a written table, whatever the number of hosts
+
+
+def bucket_of(name: Column, buckets: int = BUCKETS) -> Column:
+    """The folder of a domain or root."""
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
 
-    ``documents`` holds ``domain``, ``path`` and the text.  Rows of a domain are drawn
-    together for few files, but a domain that is too large is split over tasks.
+def write_documents(documents: DataFrame, target: str, extension: str = "md", buckets: int = BUCKETS) -> None:
+    """One row per document, in folders by hash of the domain; domain and path stay columns.
+
+    ``documents`` holds ``domain``, ``path`` and the text.  Rows of a folder are drawn
+    together for few files and sorted by domain, so that a reader of one domain
+    takes one folder and skips most row groups in it; a folder that is too large
+    is split over tasks.
     """
-    balanced = documents.withColumn("extension", F.lit(extension)).hint("rebalance", "domain")
-    balanced.write.mode("append").partitionBy("extension", "domain").parquet(target)
+    placed = documents.withColumns({"extension": F.lit(extension), "bucket": bucket_of(F.col("domain"), buckets)})
+    balanced = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "domain", "path")
+    balanced.write.mode("append").partitionBy("extension", "bucket").parquet(target)
+
+
+def in_domain(domain: str, buckets: int = BUCKETS) -> Column:
+    """The filter on written documents that reads one folder only."""
+    return (F.col("bucket") == bucket_of(F.lit(domain), buckets)) & (F.col("domain") == domain)
 
 
-def write_site_export(export: DataFrame, target: str) -> None:
-    """Text files in one folder per root; in order of name their lines are its document.
+def write_site_export(export: DataFrame, target: str, buckets: int = BUCKETS) -> None:
+    """The lines of all roots in folders by hash of the root; by ``seq`` those of a root are its document.
 
     Rows are split by ranges of place, so a root of any size is spread over
     tasks.  Finding the ranges reads the input once more, which is why it is
     written to the checkpoint folder first.
     """
-    lines = cut(export.select(F.sha1("root_url").alias("root"), "seq", "line"), "site-export")
-    ordered = lines.repartitionByRange("root", "seq").sortWithinPartitions("root", "seq")
-    ordered.select("root", "line").write.mode("overwrite").partitionBy("root").text(target)
+    placed = export.select(bucket_of(F.col("root_url"), buckets).alias("bucket"), "root_url", "seq", "line")
+    lines = cut(placed, "site-export")
+    ordered = lines.repartitionByRange("bucket", "root_url", "seq").sortWithinPartitions("bucket", "root_url", "seq")
+    ordered.write.mode("overwrite").partitionBy("bucket").parquet(target)

@@ -25,24 +25,31 @@ def test_site_export_is_one_document_per_root(spark, tmp_path):
     assert len(docs["https://b.com"]["pages"]) == docs["https://b.com"]["total_pages"] == 40
     target = str(tmp_path / "site")
     export.write_site_export(df, target)
-    read = []
-    for folder in sorted(glob.glob(os.path.join(target, "root=*"))):
-        text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(os.path.join(folder, "part-*"))))
-        read.append(json.loads(text))
+    back = spark.read.parquet(target)
+    roots = {r.root_url for r in back.select("root_url").collect()}
+    read = [json.loads("\n".join(r.line for r in back.where(F.col("root_url") == u).orderBy("seq").collect())) for u in roots]
     assert sorted(d["total_pages"] for d in read) == [2, 40]
     assert {d["root_url"]: d for d in read} == docs
 
 
-def test_documents_are_written_by_domain(spark, tmp_path):
-    rows = [("a.com", f"a.com/{i}.md", f"text {i}") for i in range(30)] + [("b.com", "b.com/x.md", "y")]
+def test_time_of_export_is_escaped(spark):
+    df = export.site_export(spark.createDataFrame([("https://a.com", 1, "u", "p", "t", "c")], PAGES), 'a "b" \\ c\'d')
+    assert json.loads("".join(r.line for r in df.orderBy("seq").collect()))["generated_at"] == 'a "b" \\ c\'d'
+
+
+def test_documents_are_written_by_bucket(spark, tmp_path):
+    rows = [(f"s{i}.com", f"s{i}.com/a.md", f"text {i}") for i in range(60)] + [("b.com", "b.com/x.md", "y")]
     df = spark.createDataFrame(rows, "domain string, path string, document string")
     target = str(tmp_path / "docs")
-    export.write_documents(df, target)
-    export.write_documents(df.where("domain = 'b.com'").withColumn("path", F.lit("b.com/x.json")), target, "json")
+    export.write_documents(df, target, buckets=4)
+    export.write_documents(df.where("domain = 'b.com'").withColumn("path", F.lit("b.com/x.json")), target, "json", buckets=4)
+    assert len(glob.glob(os.path.join(target, "extension=md", "bucket=*"))) == 4
     back = spark.read.parquet(target)
-    assert back.count() == 32
-    assert sorted(r.path for r in back.where("domain = 'b.com'").collect()) == ["b.com/x.json", "b.com/x.md"]
-    assert "PartitionFilters: [isnotnull(domain" in back.where("domain = 'b.com'")._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == 62
+    one = back.where(export.in_domain("b.com", 4))
+    assert sorted(r.path for r in one.collect()) == ["b.com/x.json", "b.com/x.md"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(domain,b.com)" in plan
 
 
 def test_run_summary(spark):
