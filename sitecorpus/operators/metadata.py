@@ -38,6 +38,24 @@ def _drawn_together(text: str) -> str:
 BLANKS, SOLID = r"\s+", r"\S"
 
 
+def _nodes_sql(blocks: str) -> str:
+    """The objects of JSON-LD blocks: each block itself or what its list holds, and after each what its ``@graph`` holds."""
+    parsed = f"filter(transform({blocks}, s -> try_parse_json(s)), v -> v IS NOT NULL)"
+    listed_ = f"flatten(transform({parsed}, v -> {_members_sql('v')}))"
+    graph = """try_variant_get(v, '$["@graph"]', 'variant')"""
+    return f"flatten(transform({listed_}, v -> concat(array(v), {_members_sql(graph)})))"
+
+
+def _members_sql(value: str) -> str:
+    """A list's members; anything else alone."""
+    return f"coalesce(try_variant_get({value}, '$', 'array<variant>'), array({value}))"
+
+
+def _text_sql(value: str) -> str:
+    """The value if it is text."""
+    return f"IF(schema_of_variant({value}) = 'STRING', try_variant_get({value}, '$', 'string'), NULL)"
+
+
 def page_metadata(pages: DataFrame) -> DataFrame:
     """X11 without the word count: one narrow pass, no shuffle.  ``title`` is ``Untitled`` if there is none."""
     base = [f"b_{part}" for part in urls.PARTS]
@@ -73,6 +91,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         f"""coalesce(try_element_at(transform(filter(link_lists, a -> regexp_like(lower({get('a', 'rel')}), {quoted(ICON)})),
             a -> {get('a', 'href')}), 1), '/favicon.ico') AS icon""",
         "schema_org_data",
+        f"{_nodes_sql('schema_org_data')} AS ld_nodes",
         f"{_drawn_together('title_text')} AS title_tag",
         f"{_drawn_together('h1_text')} AS h1",
         f"{get('html_list', 'lang')} AS language",
@@ -83,9 +102,13 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         hits = f"filter(metas, m -> (m.name IN ({listed(list(names))}) OR m.property IN ({listed(list(names))})) AND m.content <> '')"
         return f"try_element_at({hits}, 1).content"
 
-    def ld_value(path: str) -> str:
-        values = f"transform(schema_org_data, s -> get_json_object(s, {quoted(path)}))"
-        return f"try_element_at(filter({values}, v -> v <> ''), 1)"
+    def ld_value(key: str) -> str:
+        value = f"try_variant_get(v, '$.{key}', 'variant')"
+        return f"try_element_at(filter(transform(ld_nodes, v -> {_text_sql(value)}), t -> t <> ''), 1)"
+
+    people = f"""flatten(transform(ld_nodes, v -> {_members_sql("try_variant_get(v, '$.author', 'variant')")}))"""
+    name = f"""coalesce({_text_sql("try_variant_get(p, '$.name', 'variant')")}, {_text_sql('p')})"""
+    ld_author = f"try_element_at(filter(transform({people}, p -> {name}), t -> t <> ''), 1)"
 
     df = df.selectExpr(
         "page_id",
@@ -93,9 +116,9 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         *base,
         "has_html",
         f"coalesce({meta('og:title')}, nullif(title_tag, ''), nullif(h1, ''), 'Untitled') AS title",
-        f"coalesce({meta('description', 'og:description', 'twitter:description')}, {ld_value('$.description')}) AS description",
-        f"coalesce({meta('author', 'article:author')}, {ld_value('$.author.name')}, {ld_value('$.author')}) AS author",
-        f"coalesce({meta('article:published_time', 'date', 'datepublished')}, {ld_value('$.datePublished')}) AS date_published",
+        f"coalesce({meta('description', 'og:description', 'twitter:description')}, {ld_value('description')}) AS description",
+        f"coalesce({meta('author', 'article:author')}, {ld_author}) AS author",
+        f"coalesce({meta('article:published_time', 'date', 'datepublished')}, {ld_value('datePublished')}) AS date_published",
         "regexp_replace(b_netloc, '^www[.]', '') AS domain",
         f"{meta('og:site_name')} AS site",
         "language",

@@ -211,6 +211,22 @@ def test_metadata(spark):
     assert third.title == "Untitled" and third.language is None
 
 
+def test_forms_of_schema_org_data(spark):
+    data = [
+        '{"author": [{"name": "Ann"}, {"name": "Ben"}], "description": {"@id": "#d"}}',
+        '[{"@type": "Thing"}, {"author": "Ann", "description": "[Draft] of a page"}]',
+        '{"@graph": [{"@id": "#p", "author": {"@id": "#a"}}, {"author": {"name": "Ann"}, "datePublished": "2024-05-01"}]}',
+        '{"author": {"@id": "#p"}, "datePublished": 2024}',
+        '{"author": "Ann"',
+        "null",
+    ]
+    pages = [f'<script type="application/ld+json">{d}</script><p>x</p>' for d in data]
+    rows = metadata.page_metadata(frame(spark, *pages)).orderBy("page_id").collect()
+    assert [r.author for r in rows] == ["Ann", "Ann", "Ann", None, None, None]
+    assert [r.description for r in rows] == [None, "[Draft] of a page", None, None, None, None]
+    assert [r.date_published for r in rows] == [None, None, "2024-05-01", None, None, None]
+
+
 def test_metadata_only_renders_no_text(spark):
     plan = render.metadata_only(frame(spark, SAMPLE))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join(filter(transform(blocks" not in plan
