@@ -6,6 +6,8 @@ page can neither overflow the stack nor take quadratic time.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,23 +37,8 @@ VOID_TAGS = [
     "param", "source", "track", "wbr",
 ]
 
-# Named character references that are decoded.
-ENTITIES = {
-    "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&sbquo;": "‚", "&ldquo;": "“",
-    "&rdquo;": "”", "&bdquo;": "„", "&laquo;": "«", "&raquo;": "»", "&sect;": "§", "&para;": "¶",
-    "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&divide;": "÷", "&euro;": "€", "&pound;": "£",
-    "&cent;": "¢", "&yen;": "¥", "&iexcl;": "¡", "&iquest;": "¿", "&szlig;": "ß", "&agrave;": "à",
-    "&aacute;": "á", "&acirc;": "â", "&atilde;": "ã", "&auml;": "ä", "&aring;": "å", "&aelig;": "æ",
-    "&ccedil;": "ç", "&egrave;": "è", "&eacute;": "é", "&ecirc;": "ê", "&euml;": "ë", "&igrave;": "ì",
-    "&iacute;": "í", "&icirc;": "î", "&iuml;": "ï", "&ntilde;": "ñ", "&ograve;": "ò", "&oacute;": "ó",
-    "&ocirc;": "ô", "&otilde;": "õ", "&ouml;": "ö", "&oslash;": "ø", "&ugrave;": "ù", "&uacute;": "ú",
-    "&ucirc;": "û", "&uuml;": "ü", "&Agrave;": "À", "&Aacute;": "Á", "&Acirc;": "Â", "&Atilde;": "Ã",
-    "&Auml;": "Ä", "&Aring;": "Å", "&AElig;": "Æ", "&Ccedil;": "Ç", "&Egrave;": "È", "&Eacute;": "É",
-    "&Ecirc;": "Ê", "&Euml;": "Ë", "&Ntilde;": "Ñ", "&Oacute;": "Ó", "&Ouml;": "Ö", "&Oslash;": "Ø",
-    "&Uacute;": "Ú", "&Uuml;": "Ü",
-}
+# Named character references, as HTML defines them; those that end without ";" are left as they are.
+ENTITIES = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
 
 
 REFERENCE = r"&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"

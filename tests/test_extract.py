@@ -61,6 +61,12 @@ def test_tokens_of_broken_markup(spark):
     assert tuple(attrs) == ("a > b", "", None)
 
 
+def test_named_references(spark):
+    html = "<p title='&check;'>a &rarr; b, &alpha;&Alpha; &amp;rarr; &NotEqualTilde; &nothing; &copy; x</p>"
+    got = tokens.tokenize(frame(spark, html)).orderBy("pos").select("text", markup.attribute("attr_list", "title").alias("t")).collect()
+    assert got[0].t == "✓" and got[1].text == "a → b, αΑ &rarr; ≂̸ &nothing; © x"
+
+
 def test_very_long_markup(spark):
     many = "<p " + " ".join(f'a{i}="{i}>"' for i in range(30000)) + ">text of the page, long enough.</p>"
     flat = "<" * 200000
