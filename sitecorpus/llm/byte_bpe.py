@@ -145,7 +145,10 @@ class Codec:
         return np.array(self.piece_ids(piece), "<u4").tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
-        return b"".join([self.pieces[p.encode()] for p in self.pattern.findall(chunk.decode())])
+        found = self.pattern.findall(chunk.decode())
+        if len(found) == 1 and len(chunk) <= self.chunks.longest:  # kept as a chunk; no second copy as a piece
+            return self._piece(chunk)
+        return b"".join([self.pieces[p.encode()] for p in found])
 
     def encode(self, text: bytes) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
