@@ -38,6 +38,8 @@ FAMILIES = 4
 ROUNDS = 120
 STEP = 0.3
 PENALTY = 1e-5
+#: Entries of the sparse rows that the fit handles at once.
+ENTRIES = 1 << 20
 #: Least words; most repeated words of a hundred; least probability.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -157,17 +159,22 @@ def fit(rows: np.ndarray, buckets: np.ndarray, shares: np.ndarray, labels: np.nd
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     fits = ~held
     balance = np.where(labels == 1, 0.5 / max(1, (labels[fits] == 1).sum()), 0.5 / max(1, (labels[fits] == 0).sum())) * fits
+    # Some entries at a time, so that what a round makes stays small beside the entries.
+    parts = [(rows[a : a + ENTRIES], buckets[a : a + ENTRIES], shares[a : a + ENTRIES]) for a in range(0, len(rows), ENTRIES)]
+
+    def scored() -> np.ndarray:
+        return sum((np.bincount(r, weights[b] * s, len(labels)) for r, b, s in parts), np.full(len(labels), shift))
+
     for t in range(1, ROUNDS + 1):
-        scores = np.bincount(rows, weights[buckets] * shares, len(labels)) + shift
-        errors = (sigmoid(scores) - labels) * balance
-        gradient = np.append(np.bincount(buckets, errors[rows] * shares, size) + PENALTY * weights, errors.sum())
+        errors = (sigmoid(scored()) - labels) * balance
+        slopes = sum((np.bincount(b, errors[r] * s, size) for r, b, s in parts), PENALTY * weights)
+        gradient = np.append(slopes, errors.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         step = STEP * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
         weights -= step[:-1]
         shift -= step[-1]
-    scores = np.bincount(rows, weights[buckets] * shares, len(labels)) + shift
-    slope, at = calibrated(scores[held], labels[held])
+    slope, at = calibrated(scored()[held], labels[held])
     return Model(weights.reshape(FAMILIES, -1).astype(np.float32), shift, slope, at)
 
 
@@ -237,9 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     found = sorted(rows.where(F.length("buckets") > 0).toArrow().to_pylist(), key=lambda r: (hash_of(r["id"]), r["id"], r["label"]))
     if not found:
         return None
-    buckets = [np.frombuffer(r["buckets"], "<i4") for r in found]
-    owners = np.repeat(np.arange(len(found)), [len(b) for b in buckets])
-    return fit(owners, np.concatenate(buckets), np.concatenate([np.frombuffer(r["shares"], "<f4") for r in found]), np.array([r["label"] for r in found]))
+    label_of = np.array([r["label"] for r in found])
+    owners = np.repeat(np.arange(len(found), dtype=np.int32), [len(r["buckets"]) // 4 for r in found])
+    buckets, shares = (np.frombuffer(b"".join([r.pop(c) for r in found]), kind) for c, kind in (("buckets", "<i4"), ("shares", "<f4")))
+    return fit(owners, buckets, shares, label_of)
 
 
 def hash_of(text: str) -> int:
