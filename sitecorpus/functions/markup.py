@@ -37,11 +37,12 @@ VOID_TAGS = [
     "param", "source", "track", "wbr",
 ]
 
-# Named character references, as HTML defines them; those that end without ";" are left as they are.
-ENTITIES = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
-
+# Named character references, as HTML defines them; some may end without ";".
+ENTITIES = {f"&{name}": text for name, text in html5.items()}
 
 REFERENCE = r"&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
+# Without ";" a reference is a whole word and not the name of a URL's parameter.
+LOOSE_REFERENCE = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*+(?!=);?|[^&]+|&"
 
 
 def _numeric_sql(digits: str, base: int) -> str:
@@ -53,15 +54,15 @@ def _numeric_sql(digits: str, base: int) -> str:
     )
 
 
-def decoded_sql(text: str) -> str:
-    """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+def decoded_sql(text: str, loose: bool = True) -> str:
+    """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``; ``loose`` also those that end without ``;``, as HTML allows."""
     table = "str_to_map({}, '\\u0001', '\\u0002')".format(
         quoted("\x01".join(k + "\x02" + v for k, v in ENTITIES.items()))
     )
-    return f"""IF(instr({text}, '&') > 0, array_join(transform(regexp_extract_all({text}, {quoted(REFERENCE)}, 0), ref ->
+    return f"""IF(instr({text}, '&') > 0, array_join(transform(regexp_extract_all({text}, {quoted(LOOSE_REFERENCE if loose else REFERENCE)}, 0), ref ->
       CASE WHEN NOT startswith(ref, '&') OR length(ref) = 1 THEN ref
-        WHEN startswith(lower(ref), '&#x') THEN {_numeric_sql("substr(ref, 4, length(ref) - 4)", 16)}
-        WHEN startswith(ref, '&#') THEN {_numeric_sql("substr(ref, 3, length(ref) - 3)", 10)}
+        WHEN startswith(lower(ref), '&#x') THEN {_numeric_sql("rtrim(';', substr(ref, 4))", 16)}
+        WHEN startswith(ref, '&#') THEN {_numeric_sql("rtrim(';', substr(ref, 3))", 10)}
         ELSE coalesce(try_element_at({table}, ref), ref) END), ''), {text})"""
 
 

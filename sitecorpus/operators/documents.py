@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitecorpus.checkpoints import cut
 from sitecorpus.functions import urls
 from sitecorpus.functions.text import quoted
-from sitecorpus.operators.running import WIDTH, numbered
+from sitecorpus.operators.running import WIDTH, numbered, running_sum
 
 NAME_LIMIT = 200  # characters of a file name
 QUERY_LIMIT = 20  # characters of a query string in a file name
@@ -195,6 +195,12 @@ def assigned_paths(docs: DataFrame, extension: str = "md", single_site: bool = F
     wins; others that want the same path are numbered in order of arrival.
     HTML and JSON have no same-page test: every repeat gets the next number.
     """
+    files = assigned(docs, extension, single_site, width)
+    return files.join(docs.select("seq", "url", "content"), "seq").select("path", "seq", "url", "content")
+
+
+def assigned(docs: DataFrame, extension: str = "md", single_site: bool = False, width: int = WIDTH) -> DataFrame:
+    """``(path, seq)`` of the files of ``assigned_paths``, from ``seq`` and ``url`` alone; ``docs`` may hold more."""
     wanted = with_path(docs.select("seq", "url"), "url", extension, single_site, "want")
     key = urls.document_key(F.col("url")) if extension == "md" else F.col("seq").cast("string")
     wanted = cut(wanted.select("seq", "want", key.alias("key")), "wanted")
@@ -202,15 +208,29 @@ def assigned_paths(docs: DataFrame, extension: str = "md", single_site: bool = F
     ranked = numbered(cut(first, "first"), ["want"], "arrival", "place", width)
     claims = ranked.select("want", "key", "arrival", (F.col("place") - 1).alias("number"), F.lit(0).cast("long").alias("run"), F.col("place").alias("rank"))
     settled = _settled(claims, width).select("want", "key", numbered_path(F.col("want"), F.col("number")).alias("path"))
-    files = settled.join(first.select("want", "key", "seq"), ["want", "key"]).select("path", "seq")
-    return files.join(docs.select("seq", "url", "content"), "seq").select("path", "seq", "url", "content")
+    return settled.join(first.select("want", "key", "seq"), ["want", "key"]).select("path", "seq")
+
+
+def _free_numbers(fresh: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """Add ``place`` and ``number`` to ``fresh (want, key, arrival)``: in order of arrival, the least numbers not in ``held (want, number)``.
+
+    A held number with ``f`` free ones below it is passed by all claims from place ``f + 1`` on, so a running
+    count over both in one order gives how many held numbers each claim passes.
+    """
+    below = numbered(held, ["want"], "number", "nth", width).select("want", (F.col("number") - F.col("nth") + 1).alias("free"))
+    passed = below.groupBy("want", (2 * F.col("free")).alias("at")).agg(F.count("*").alias("held"))
+    claims = numbered(fresh, ["want"], "arrival", "place", width)
+    claims = claims.withColumns({"at": 2 * F.col("place") - 1, "held": F.lit(0).cast("long")})
+    both = cut(claims.unionByName(passed, allowMissingColumns=True), "numbers")
+    summed = running_sum(both, ["want"], "at", F.col("held"), "skipped", width).where("place is not null")
+    return summed.select("want", "key", "arrival", "place", (F.col("place") - 1 + F.col("skipped")).alias("number"))
 
 
 def merged_documents(stored: DataFrame, new: DataFrame, single_site: bool = False, width: int = WIDTH) -> DataFrame:
     """stored documents ``(path, url, content)`` after a new run ``(seq, url, content)``.
 
     A new page with a known document key replaces its document in place; stored
-    rows without a match stay as they are; new pages take free numbers.  Adds
+    rows without a match stay as they are; new pages take the first free numbers, in gaps too.  Adds
     ``state``: ``kept``, ``replaced`` or ``new``.
     """
     old = with_path(stored.select("path", "url"), "url", "md", single_site, "want")
@@ -223,12 +243,9 @@ def merged_documents(stored: DataFrame, new: DataFrame, single_site: bool = Fals
     first = wanted.groupBy("want", "key").agg(F.min("seq").alias("arrival"), F.max("seq").alias("seq"))
     matched = cut(first.join(old.select("want", "key", "path"), ["want", "key"], "left"), "matched")
     fresh = matched.where("path is null").select("want", "key", "arrival")
-    taken = old.groupBy("want").agg((F.max("number") + 1).alias("offset"))
-    ranked = numbered(cut(fresh, "fresh"), ["want"], "arrival", "place", width).join(taken, "want", "left")
-    claims = ranked.select(
-        "want", "key", "arrival", (F.col("place") - 1 + F.coalesce("offset", F.lit(0))).alias("number"), F.lit(0).cast("long").alias("run"),
-        F.col("place").alias("rank"),
-    )
+    held = cut(old.where("number is not null").select("want", "number").distinct(), "held")
+    ranked = _free_numbers(cut(fresh, "fresh"), held, width)
+    claims = ranked.select("want", "key", "arrival", "number", F.lit(0).cast("long").alias("run"), F.col("place").alias("rank"))
     # A stored document arrived before all others; as its own run it is never pushed.
     standing = old.select("want", "key", F.lit(-(2**62)).alias("arrival"), "number", F.lit(-1).cast("long").alias("run"), F.col("number").alias("rank"))
     settled = _settled(claims.unionByName(standing), width).where(F.col("run") >= 0)

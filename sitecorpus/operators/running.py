@@ -3,8 +3,9 @@
 A window over a whole group would send one hot host or root to a single task.
 Here the order numbers are cut into chunks of a fixed width: a chunk is summed
 on its own, the chunk totals are summed in turn, and the offset of its chunk is
-added to every row.  With dense order values no task sees more than one chunk of rows.
-The plan is the same for inputs of every size.
+added to every row.  Three levels of 16 bits leave 16 of a long for the last sums, so
+with any order values no window sees more than ``2 * WIDTH`` rows of a group (chunk 0 takes
+both signs).  The plan is the same for inputs of every size.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ WIDTH = 1 << 16
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = WIDTH, levels: int = 2
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = WIDTH, levels: int = 3
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to and with this row, by ``order`` within ``keys``.
 
@@ -30,7 +31,7 @@ def _chunked_sum(
     df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int, levels: int
 ) -> DataFrame:
     chunk, total, before = f"__chunk{levels}", f"__total{levels}", f"__before{levels}"
-    by_chunk = df.withColumn(chunk, F.floor(F.col(order) / F.lit(width))).withColumn(total, value)
+    by_chunk = df.withColumn(chunk, F.expr(f"`{order}` div {width}")).withColumn(total, value)
     totals = by_chunk.groupBy(*keys, chunk).agg(F.sum(total).alias(total))
     if levels > 1:
         offsets = _chunked_sum(totals, keys, chunk, F.col(total), before, width, levels - 1)

@@ -68,7 +68,7 @@ def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
         sitemap_docs.select(
             F.col("url").alias("doc_url"), F.when(is_index, "index").otherwise("urlset").alias("kind"), locs.alias("locs")
         )
-        .withColumn("locs", F.expr(f"transform(locs, u -> {markup.decoded_sql('u')})"))
+        .withColumn("locs", F.expr(f"transform(locs, u -> {markup.decoded_sql('u', loose=False)})"))
         .select(
             "doc_url", "kind", F.exists("locs", looks_like_sitemap).alias("nested"), F.posexplode("locs").alias("pos", "loc")
         )

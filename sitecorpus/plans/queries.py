@@ -332,6 +332,13 @@ def page_documents(spark, sf):
     return documents.with_path(with_header).select("page_id", "path", "document")
 
 
+def saved_documents(spark, sf):
+    """As ``page_documents``, with a path of its own for every file: clashes are numbered, of one page's copies the last stays."""
+    rendered = documents.with_front_matter(render.rendered_pages(pages_of(spark, sf)).where("ok"))
+    rendered = cut(rendered.select(F.col("page_id").alias("seq"), "url", "document"), "rendered")
+    return rendered.join(documents.assigned(rendered), "seq").select(F.col("seq").alias("page_id"), "path", "document")
+
+
 # Exports
 
 def site_export(spark, sf):
@@ -412,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "path_collisions_html": path_collisions_html,
     "merged_run": merged_run,
     "page_documents": page_documents,
+    "saved_documents": saved_documents,
     "site_export": site_export,
     "run_summary": run_summary,
 }

@@ -96,6 +96,27 @@ def test_merging_twice_changes_nothing(spark):
     assert {r.path: (r.url, r.content) for r in again} == {r.path: (r.url, r.content) for r in once}
 
 
+def test_new_documents_fill_gaps(spark):
+    schema = "path string, url string, content string"
+    stored = spark.createDataFrame([("e.com/a_b_1.md", "http://e.com/a:b", "0"), ("e.com/a_b_3.md", "http://e.com/a*b", "1"), ("e.com/c.md", "http://e.com/c", "2")], schema)
+    new = [(7, "http://e.com/a|b", "x"), (5, "http://e.com/a_b", "y"), (6, "https://e.com/c", "z"), (8, "http://e.com/d", "d")]
+    merged = D.merged_documents(stored, spark.createDataFrame(new, "seq long, url string, content string"), width=4).collect()
+    got = {r.content: r.path for r in merged}
+    assert got == {"0": "e.com/a_b_1.md", "1": "e.com/a_b_3.md", "2": "e.com/c.md", "y": "e.com/a_b.md", "x": "e.com/a_b_2.md", "z": "e.com/c_1.md", "d": "e.com/d.md"}
+
+
+def test_free_numbers(spark):
+    rng = random.Random(5)
+    held = {(w, rng.randint(0, 30)) for w in "pq" for _ in range(14)} | {("r", 2**40)}
+    fresh = [(w, f"k{i}", i) for i, w in enumerate(rng.choices("pqrs", k=60))]
+    frame = D._free_numbers(spark.createDataFrame(fresh, "want string, key string, arrival long"), spark.createDataFrame(sorted(held), "want string, number long"), 4)
+    got = {r.key: r.number for r in frame.collect()}
+    for w, key, _ in fresh:
+        number = next(n for n in range(200) if (w, n) not in held)
+        held.add((w, number))
+        assert got[key] == number
+
+
 def test_front_matter(spark):
     rows = [
         ("---\nkind: tea\n---\nGreen\n", {"kind": "tea"}, "Green\n"),

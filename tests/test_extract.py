@@ -1,3 +1,4 @@
+import html
 import json
 
 import pytest
@@ -7,6 +8,16 @@ from sitecorpus.functions import markup
 from sitecorpus.operators import extract, metadata, render, tokens
 from sitecorpus.operators.extract import Options
 
+
+def test_references(spark):
+    texts = ["&copy 2024", "a &lt b &amp;lt; c", "&#169 x &#xA9y", "&#x41;&#66;", "&rarr;&hearts;", "&eacute", "no & ref", "&unknown; &", "&&&", "AT&T"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "?a=1&copy=2", "&copying"]], "t string").select("t", markup.decoded("t").alias("d"), F.expr(markup.decoded_sql("t", loose=False)).alias("s"))
+    got = {r.t: (r.d, r.s) for r in rows.collect()}
+    assert {t: got[t][0] for t in texts} == {t: html.unescape(t) for t in texts}
+    assert got["?a=1&copy=2"] == ("?a=1&copy=2",) * 2 and got["&copying"] == ("&copying",) * 2
+    assert got["&copy 2024"][1] == "&copy 2024" and got["&#x41;&#66;"][1] == "AB"
+
+
 SAMPLE = (
     '<html lang="en-GB"><head><title>Tea Notes</title><meta name="description" content="On leaves">'
     '<meta name="author" content="Ann Leaf"></head><body><header>Shop</header><main><h1>Green Tea</h1>'

@@ -33,6 +33,13 @@ def test_running_sum_in_chunks(spark):
     assert [place[i] for i in hot] == list(range(1, len(hot) + 1))
 
 
+def test_running_sum_over_all_longs(spark):
+    rng = random.Random(2)
+    values = sorted({rng.randint(-(2**63), 2**63 - 1) for _ in range(400)} | {0, -1, -(2**63), 2**63 - 1, 2**53, 2**53 + 1})
+    got = {r.i: r.n for r in numbered(spark.createDataFrame([("k", i) for i in values], "k string, i long"), ["k"], "i", "n").collect()}
+    assert got == {v: n for n, v in enumerate(values, 1)}
+
+
 def test_no_window_holds_a_whole_group(spark):
     df = spark.createDataFrame([("a", i) for i in range(50)], "k string, i long")
     text = plan(numbered(df, ["k"], "i", "n", 8))
