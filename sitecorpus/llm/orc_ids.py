@@ -70,7 +70,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(byte_letters(part))]).tobytes()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else byte_letters(part))]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
