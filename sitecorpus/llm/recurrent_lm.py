@@ -11,9 +11,9 @@ share of its count plus one, and what was never seen together one more, so the p
 all tokens sum to one.
 
 The fit is truncated backpropagation over windows of ``WINDOW`` tokens; the state goes on
-from window to window and starts anew with each document.  In each round every task fits a copy on its
-share of the training documents (a ``SHARE``-th, others in each round, so what is read grows with the input) and
-the copies are averaged in a tree.  Scoring carries the state through the whole document.
+from window to window and starts anew with each document.  The fit is one pass over all training
+documents, cut into ``ROUNDS`` by a hash of id and text: in each round every task fits a copy on its documents of
+that round, and the copies are averaged in a tree.  Scoring carries the state through the whole document.
 
 Counts meet documents in two tiers: the most frequent tokens, at most ``FREQUENT`` by a
 histogram of the counts, go to all tasks; the rest of a document's tokens, whose counts
@@ -43,12 +43,11 @@ TAIL_CLASSES = 64
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Tokens of the table that goes to all tasks.
 FREQUENT = 1_000_000
-#: Units of the state; steps of a window; sequences fitted side by side; rounds; share of the documents in each.
+#: Units of the state; steps of a window; sequences fitted side by side; rounds that together read every document once.
 UNITS = 24
 WINDOW = 20
 STREAMS = 128
 ROUNDS = 3
-SHARE = 12
 STEP = 0.02
 #: Documents scored side by side.
 ABREAST = 1024
@@ -267,11 +266,12 @@ def fit(p: dict, parts, size: float = STEP) -> int:
     return read
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> dict:
-    """Parameters after rounds of fits in all tasks, each averaged by tokens read."""
+def train(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> tuple[dict, int]:
+    """Parameters after rounds of fits in all tasks, each averaged by tokens read; and how many tokens were read."""
     spark = docs.sparkSession
     p = start(vocabulary)
     words = spark.sparkContext.broadcast(vocabulary)
+    done = 0
     for r in range(rounds):
         now = spark.sparkContext.broadcast(p)
         size = STEP / (r + 1)
@@ -292,12 +292,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: i
         def joined(a, b):
             return b if a is None else a if b is None else (a[0] + b[0], {k: a[1][k] + b[1][k] for k in a[1]})
 
-        some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == r % share).select(text)
+        some = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(rounds)) == r).select(text)
         rows = some.mapInArrow(fitted, "fitted binary").rdd.map(lambda row: pickle.loads(row[0]))
         total = rows.treeAggregate(None, joined, joined, depth=3)
         if total is not None:
             p = {k: (v / total[0]).astype(np.float32) for k, v in total[1].items()}
-    return p
+            done += total[0]
+    return p, done
 
 
 def log_likelihoods(p: dict, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -381,7 +382,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     learnt = docs.where(~F.coalesce(held_out, F.lit(False)))
     table = cut(counts(learnt, text), "counts")
     vocabulary = Vocabulary(table)
-    model = spark.sparkContext.broadcast(train(learnt, vocabulary, text))
+    model = spark.sparkContext.broadcast(train(learnt, vocabulary, doc_id, text)[0])
     words = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()

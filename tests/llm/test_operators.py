@@ -325,5 +325,13 @@ def test_recurrent_lm_is_a_distribution():
     assert abs(total - 1) < 1e-4
 
 
+def test_recurrent_lm_fits_on_every_document(spark):
+    """The rounds together read each training token once, also where rows repeat a text."""
+    rows = [(i, prose(20 + i % 7, i)) for i in range(60)] + [(i, prose(30, 1)) for i in range(100, 130)] + [(None, prose(9, 2)), (None, None), (5, "")]
+    learnt = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocabulary = recurrent_lm.Vocabulary(recurrent_lm.counts(learnt))
+    assert recurrent_lm.train(learnt, vocabulary)[1] == vocabulary.total
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
