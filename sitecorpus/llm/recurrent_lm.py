@@ -4,8 +4,10 @@ Words run from white space to white space, A-Z in lower case, and every document
 with an end token.  All training tokens are counted.  Tokens are known by 64-bit hashes.
 
 The model: a gated recurrent network in numpy reads the tokens one by one and predicts
-the next in two steps, its class, then the token within the class.  The ``HEAD`` most
-frequent tokens fill ``HEAD_CLASSES`` classes with a softmax over the members.  All
+the next in two steps, its class, then the token within the class.  Tokens seen ``LEAST`` times
+or more have trained vectors of their own as input and as member of a class with a softmax over its
+members; the number of classes and of members in each follows their number (``HEAD_CLASSES`` at least, ``MOST_CLASSES``
+at most, beyond which the most frequent are taken).  All
 others fall into ``TAIL_CLASSES`` classes by their spelling (last two letters); in these a token has the
 share of its count plus one, and what was never seen together one more, so the probabilities of
 all tokens sum to one.
@@ -26,6 +28,7 @@ nothing to learn from all tokens are unseen; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -36,21 +39,24 @@ from pyspark.sql import functions as F
 from sitecorpus.checkpoints import cut
 from sitecorpus.llm.common import SPACED, as_bytes, groups, mix, ship
 
+#: Classes of frequent tokens, and members of each: at least, and at most (9 MB of parameters). How often these are seen.
 HEAD_CLASSES = 24
-CLASS_SIZE = 24
-HEAD = HEAD_CLASSES * CLASS_SIZE
+HEAD = HEAD_CLASSES * HEAD_CLASSES
+MOST_CLASSES = 192
+LEAST = 16
 TAIL_CLASSES = 64
-CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Tokens of the table that goes to all tasks.
 FREQUENT = 1_000_000
-#: Units of the state; steps of a window; sequences fitted side by side; rounds that together read every document once.
+#: Units of the state; steps of a window; sequences fitted side by side, and how many times that on long inputs; rounds that together read every document once.
 UNITS = 24
 WINDOW = 20
 STREAMS = 128
+MOST_STREAMS = 4
 ROUNDS = 3
 STEP = 0.02
-#: Documents scored side by side.
+#: Documents scored side by side; states that meet the softmax together.
 ABREAST = 1024
+TOGETHER = 1 << 14
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
 
 _MARK = np.array([chr(b) in ".,;:!?\"')(" for b in range(256)])
@@ -104,25 +110,26 @@ class Vocabulary:
         hashes, n, tail = (some.column(c).to_numpy().astype(np.int64) for c in ("hash", "n", "tail"))
         order = np.argsort(hashes)
         self.hashes, self.n, tail = hashes[order], n[order], tail[order]
-        ranked = np.lexsort((self.hashes, -self.n, self.hashes != END))[:HEAD]
-        self.head = self.hashes[ranked]
-        self.ids = HEAD + tail
+        side = min(MOST_CLASSES, max(HEAD_CLASSES, math.isqrt(max(0, int((self.n >= LEAST).sum()) - 1)) + 1))
+        self.size = side * side
+        ranked = np.lexsort((self.hashes, -self.n, self.hashes != END))[: self.size]
+        self.ids = self.size + tail
         self.ids[ranked] = np.arange(len(ranked))
-        sums = table.where(~F.col("hash").isin([int(h) for h in self.head])).groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect() if len(self.head) else []
         self.tail_sums = np.zeros(TAIL_CLASSES)
-        for r in sums:
+        for r in table.groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect():
             self.tail_sums[r["tail"]] = r["n"]
-        self.head_n = np.zeros(HEAD)
+        self.tail_sums -= np.bincount(tail[ranked], self.n[ranked] + 1, TAIL_CLASSES)
+        self.head_n = np.zeros(self.size)
         self.head_n[: len(ranked)] = self.n[ranked]
 
     def look_up(self, hashes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input id and count of each token; count 0 where it is not frequent."""
         if not len(self.hashes):
-            return np.where(hashes == END, 0, HEAD + tail), np.zeros(len(hashes), np.int64)
+            return np.where(hashes == END, 0, self.size + tail), np.zeros(len(hashes), np.int64)
         at = np.searchsorted(self.hashes, hashes)
         at[at == len(self.hashes)] = 0
         known = self.hashes[at] == hashes
-        ids = np.where(known, self.ids[at], np.where(hashes == END, 0, HEAD + tail))
+        ids = np.where(known, self.ids[at], np.where(hashes == END, 0, self.size + tail))
         return ids, np.where(known, self.n[at], 0)
 
     def sequence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,23 +142,25 @@ class Vocabulary:
         return ids, n, hashes, sizes + 1
 
 
-def _classes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _classes(ids: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Class and place in it."""
-    return np.where(ids < HEAD, ids // CLASS_SIZE, ids - HEAD + HEAD_CLASSES), ids % CLASS_SIZE
+    return np.where(ids < side * side, ids // side, ids - side * side + side), ids % side
 
 
 def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Parameters before the fit: the counts alone decide."""
     random = np.random.default_rng(7)
-    heads = vocabulary.head_n.reshape(HEAD_CLASSES, CLASS_SIZE)
+    side = math.isqrt(len(vocabulary.head_n))
+    heads = vocabulary.head_n.reshape(side, side)
     classes = np.append(heads.sum(axis=1), vocabulary.tail_sums) + 0.5
     made = {
-        "inputs": random.normal(0, 0.3, (HEAD + TAIL_CLASSES, 3 * UNITS)),
+        "inputs": random.normal(0, 1, (side * side + TAIL_CLASSES, UNITS)),
+        "taken": random.normal(0, 0.3 * UNITS**-0.5, (UNITS, 3 * UNITS)),
         "state": random.normal(0, UNITS**-0.5, (UNITS, 3 * UNITS)),
         "bias": np.zeros(3 * UNITS),
-        "classes": random.normal(0, 0.05, (UNITS, CLASSES)),
+        "classes": random.normal(0, 0.05, (UNITS, side + TAIL_CLASSES)),
         "class_bias": np.log(classes / classes.sum()),
-        "members": random.normal(0, 0.05, (HEAD_CLASSES, CLASS_SIZE, UNITS)),
+        "members": random.normal(0, 0.05, (side, side, UNITS)),
         "member_bias": np.where(heads > 0, np.log(np.maximum(heads, 1) / np.maximum(heads.sum(axis=1, keepdims=True), 1)), -40.0),
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
@@ -163,24 +172,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _step(p: dict, ids: np.ndarray, state: np.ndarray):
     """One step of the network; also what the backward pass needs."""
-    given, own = p["inputs"][ids] + p["bias"], state @ p["state"]
+    given, own = p["inputs"][ids] @ p["taken"] + p["bias"], state @ p["state"]
     gates = _sigmoid(given[:, : 2 * UNITS] + own[:, : 2 * UNITS])
     keep, reset = gates[:, :UNITS], gates[:, UNITS:]
     new = np.tanh(given[:, 2 * UNITS :] + reset * own[:, 2 * UNITS :])
     return new + keep * (state - new), keep, reset, new, own[:, 2 * UNITS :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _picked(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the softmax at one place of every row; ``x`` becomes the exponentials, whose sums follow."""
+    x -= x.max(axis=1, keepdims=True)
+    found = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    return found - np.log(sums), sums
 
 
-def gradients(p: dict, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
-    """Loss and gradients of one window (rows: streams), and the state after it.
+def _by_class(wanted: np.ndarray, side: int):
+    """The rows of each class of frequent tokens that has any."""
+    order = np.argsort(wanted, kind="stable")
+    bounds = np.searchsorted(wanted[order], np.arange(side + 1))
+    for c in np.flatnonzero(np.diff(bounds)).tolist():
+        yield c, order[bounds[c] : bounds[c + 1]]
 
-    ``before`` holds the token before each target; after an end token the state is new.
-    """
+
+def _gradients(p: dict, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """As ``gradients``; that of ``inputs`` as the rows that were read, and their values."""
     streams, steps = targets.shape
+    side = p["members"].shape[0]
     kept, states, inner = [], [], []
     for t in range(steps):
         keep_state = (before[:, t] != 0).astype(np.float32)[:, None]
@@ -190,31 +209,27 @@ def gradients(p: dict, before: np.ndarray, targets: np.ndarray, state: np.ndarra
         inner.append((old, keep, reset, new, own))
         states.append(state)
     flat = np.concatenate(states)
-    wanted, place = _classes(targets.T.ravel())
-    rows = np.arange(len(wanted))
-    logs = _log_softmax(flat @ p["classes"] + p["class_bias"])
-    loss = -logs[rows, wanted].sum()
-    error = np.exp(logs)
-    error[rows, wanted] -= 1
+    wanted, place = _classes(targets.T.ravel(), side)
+    error = flat @ p["classes"] + p["class_bias"]
+    logs, sums = _picked(error, wanted)
+    loss = -logs.sum()
+    error /= sums[:, None]
+    error[np.arange(len(wanted)), wanted] -= 1
     g = {"classes": flat.T @ error, "class_bias": error.sum(axis=0), "members": np.zeros_like(p["members"]), "member_bias": np.zeros_like(p["member_bias"])}
     back = error @ p["classes"].T
-    heads = np.flatnonzero(wanted < HEAD_CLASSES)
-    heads = heads[np.argsort(wanted[heads], kind="stable")]
-    bounds = np.searchsorted(wanted[heads], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        some = heads[bounds[c] : bounds[c + 1]]
-        if len(some):
-            inside = _log_softmax(flat[some] @ p["members"][c].T + p["member_bias"][c])
-            at = np.arange(len(some))
-            loss -= inside[at, place[some]].sum()
-            wrong = np.exp(inside)
-            wrong[at, place[some]] -= 1
-            g["members"][c] = wrong.T @ flat[some]
-            g["member_bias"][c] = wrong.sum(axis=0)
-            back[some] += wrong @ p["members"][c]
+    for c, some in _by_class(wanted, side):
+        own, at = flat[some], place[some]
+        wrong = own @ p["members"][c].T + p["member_bias"][c]
+        logs, sums = _picked(wrong, at)
+        loss -= logs.sum()
+        wrong /= sums[:, None]
+        wrong[np.arange(len(some)), at] -= 1
+        g["members"][c] = wrong.T @ own
+        g["member_bias"][c] = wrong.sum(axis=0)
+        back[some] += wrong @ p["members"][c]
     back = back.reshape(steps, streams, UNITS)
     g["state"] = np.zeros_like(p["state"])
-    given = np.empty((steps, streams, 3 * UNITS), np.float32)
+    given = np.empty((steps, streams, 3 * UNITS), p["state"].dtype)
     later = np.zeros((streams, UNITS), np.float32)
     for t in range(steps - 1, -1, -1):
         old, keep, reset, new, own = inner[t]
@@ -226,12 +241,28 @@ def gradients(p: dict, before: np.ndarray, targets: np.ndarray, state: np.ndarra
         through = np.concatenate([d_keep, d_reset, d_new * reset], axis=1)
         g["state"] += old.T @ through
         later = (d * keep + through @ p["state"].T) * kept[t]
-    g["bias"] = given.sum(axis=(0, 1))
-    g["inputs"] = np.zeros_like(p["inputs"])
-    np.add.at(g["inputs"], before.T.ravel(), given.reshape(-1, 3 * UNITS))
+    given = given.reshape(-1, 3 * UNITS)
+    read = before.T.ravel()
+    g["bias"] = given.sum(axis=0)
+    g["taken"] = p["inputs"][read].T @ given
+    order = np.argsort(read, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(read[order]) != 0))
+    g["inputs"] = read[order[first]], np.add.reduceat((given @ p["taken"].T)[order], first)
     return float(loss), g, state
 
 
+def gradients(p: dict, before: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """Loss and gradients of one window (rows: streams), and the state after it.
+
+    ``before`` holds the token before each target; after an end token the state is new.
+    """
+    loss, g, state = _gradients(p, before, targets, state)
+    rows, values = g["inputs"]
+    g["inputs"] = np.zeros_like(p["inputs"])
+    g["inputs"][rows] = values
+    return loss, g, state
+
+
 class Adam:
     """Steps along the gradients' running means."""
 
@@ -240,28 +271,36 @@ class Adam:
         self.second = {k: np.zeros_like(v) for k, v in p.items()}
         self.t = 0
 
-    def step(self, p: dict, g: dict, size: float) -> None:
+    def step(self, p: dict, g: dict, scale: float, size: float) -> None:
+        """One step by ``scale`` times the gradients; rows of ``inputs`` that were not read stay."""
         self.t += 1
         for k in p:
-            self.first[k] += 0.1 * (g[k] - self.first[k])
-            self.second[k] += 0.01 * (g[k] ** 2 - self.second[k])
-            p[k] -= size * (self.first[k] / (1 - 0.9**self.t)) / (np.sqrt(self.second[k] / (1 - 0.99**self.t)) + 1e-6)
+            rows, d = g[k] if k == "inputs" else (slice(None), g[k])
+            d = d * np.float32(scale)
+            first, second = self.first[k][rows] * np.float32(0.9) + d * np.float32(0.1), self.second[k][rows] * np.float32(0.99) + d * d * np.float32(0.01)
+            self.first[k][rows], self.second[k][rows] = first, second
+            np.sqrt(second, out=second)
+            second *= np.float32((1 - 0.99**self.t) ** -0.5)
+            second += np.float32(1e-6)
+            first /= second
+            first *= np.float32(size / (1 - 0.9**self.t))
+            p[k][rows] -= first
 
 
 def fit(p: dict, parts, size: float = STEP) -> int:
     """Fit ``p`` in place on sequences of ids; returns how many tokens were read."""
     adam, state, read = Adam(p), None, 0
     for ids in parts:
-        length = -(-len(ids) // STREAMS)
-        full = np.zeros(length * STREAMS, np.int64)
+        streams = STREAMS * min(MOST_STREAMS, max(1, len(ids) // (STREAMS * 20 * WINDOW)))
+        length = -(-len(ids) // streams)
+        full = np.zeros(length * streams, np.int64)
         full[: len(ids)] = ids
-        targets = full.reshape(STREAMS, length)
-        before = np.concatenate([[0], full[:-1]]).reshape(STREAMS, length)
-        state = np.zeros((STREAMS, UNITS), np.float32)
+        targets = full.reshape(streams, length)
+        before = np.concatenate([[0], full[:-1]]).reshape(streams, length)
+        state = np.zeros((streams, UNITS), np.float32)
         for t in range(0, length, WINDOW):
-            _, g, state = gradients(p, before[:, t : t + WINDOW], targets[:, t : t + WINDOW], state)
-            scale = 1 / (STREAMS * min(WINDOW, length - t))
-            adam.step(p, {k: v * scale for k, v in g.items()}, size)
+            _, g, state = _gradients(p, before[:, t : t + WINDOW], targets[:, t : t + WINDOW], state)
+            adam.step(p, g, 1 / (streams * min(WINDOW, length - t)), size)
         read += len(ids)
     return read
 
@@ -301,6 +340,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
     return p, done
 
 
+def _logs(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each state the log of its token's class and, in the head, of the token in its class."""
+    side = p["members"].shape[0]
+    wanted, place = _classes(ids, side)
+    found = _picked(states @ p["classes"] + p["class_bias"], wanted)[0]
+    for c, some in _by_class(wanted, side):
+        found[some] += _picked(states[some] @ p["members"][c].T + p["member_bias"][c], place[some])[0]
+    return found
+
+
 def log_likelihoods(p: dict, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each text the sum of the logs of its tokens' classes and, in the head, of the tokens in their classes."""
     out = np.zeros(len(sizes))
@@ -313,26 +362,20 @@ def log_likelihoods(p: dict, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         before = np.zeros(len(some), np.int64)
         active = len(some)
         ends = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1), "right")
-        sums = np.zeros(len(some))
+        states, of, held = [], [], 0
         for t in range(int(left[0])):
             if ends[t] < active:
                 active = int(ends[t])
                 state, before = state[:active], before[:active]
             state = _step(p, before, state)[0]
             before = ids[at[:active] + t]
-            wanted, place = _classes(before)
-            logits = state @ p["classes"] + p["class_bias"]
-            rows = np.arange(active)
-            top = logits.max(axis=1)
-            found = logits[rows, wanted] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            heads = np.flatnonzero(wanted < HEAD_CLASSES)
-            if len(heads):
-                c = wanted[heads]
-                inside = np.matmul(p["members"][c], state[heads][:, :, None])[:, :, 0] + p["member_bias"][c]
-                top = inside.max(axis=1)
-                found[heads] += inside[np.arange(len(heads)), place[heads]] - top - np.log(np.exp(inside - top[:, None]).sum(axis=1))
-            sums[:active] += found
-        out[some] = sums
+            states.append((state, before))
+            of.append(some[:active])
+            held += active
+            if held >= TOGETHER or t + 1 == int(left[0]):
+                logs = _logs(p, np.concatenate([x for x, _ in states]), np.concatenate([x for _, x in states]))
+                out += np.bincount(np.concatenate(of), logs, len(out))
+                states, of, held = [], [], 0
     return out
 
 
@@ -349,9 +392,9 @@ def _scored(words, model, batches):
             of = np.repeat(np.arange(b - a), sizes)
             known = n > 0
             counted = np.bincount(of, np.where(known, log10(n + 1.0), 0), b - a)
-            tail = ids >= HEAD
+            tail = ids >= vocabulary.size
             fixed = np.zeros(len(ids))
-            fixed[tail] = -log10(vocabulary.tail_sums[ids[tail] - HEAD] + 1)
+            fixed[tail] = -log10(vocabulary.tail_sums[ids[tail] - vocabulary.size] + 1)
             fixed[tail & known] += log10(n[tail & known] + 1.0)
             modelled = np.bincount(of, fixed, b - a) + log_likelihoods(model.value, ids, sizes) / np.log(10)
             keys = batch.column(0).to_numpy()[a:b]

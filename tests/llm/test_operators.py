@@ -333,5 +333,22 @@ def test_recurrent_lm_fits_on_every_document(spark):
     assert recurrent_lm.train(learnt, vocabulary)[1] == vocabulary.total
 
 
+def test_recurrent_lm_trains_all_frequent_tokens(spark):
+    """What is seen often enough has an input and a member vector of its own, and the fit moves them."""
+    words = [f"{chr(97 + i % 26)}{i}" for i in range(2000)]
+    texts = [" ".join(random.Random(i).sample(words, len(words)) + [f"once{i}"]) for i in range(recurrent_lm.LEAST)]
+    learnt = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    vocabulary = recurrent_lm.Vocabulary(recurrent_lm.counts(learnt))
+    ids, _, _, sizes = vocabulary.sequence([t.encode() for t in texts])
+    p, (made, _) = recurrent_lm.start(vocabulary), recurrent_lm.train(learnt, vocabulary)
+    side = len(p["members"])
+    frequent = np.unique(ids[ids < side * side])
+    assert len(frequent) >= 2001 and vocabulary.head_n.sum() >= 2001 * recurrent_lm.LEAST
+    assert (made["inputs"] != p["inputs"]).any(axis=1)[frequent].all()
+    assert (made["members"] != p["members"]).any(axis=2).ravel()[frequent].all()
+    assert abs(vocabulary.head_n.sum() + (vocabulary.tail_sums.sum() - (vocabulary.types - (vocabulary.head_n > 0).sum())) - vocabulary.total) < 1e-6
+    assert (recurrent_lm.log_likelihoods(made, ids, sizes) < 0).all()
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
