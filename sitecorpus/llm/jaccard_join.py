@@ -11,7 +11,8 @@ there; the sample depends on the path alone, each place being taken with probabi
 are a bucket.  A bucket of at most ``LIMIT`` classes is compared by brute force; a larger one is
 split further along its paths.  One whose share of its parent shows that its members agree
 nearly everywhere cannot be split by that: all its members become candidates of each
-other.  ``runs`` follows from the recall wanted.
+other.  ``runs`` follows from the recall wanted and the longest path met: where buckets had to be split
+beyond ``LENGTH`` places, more runs follow until their number holds for the length really reached.
 
 Candidates (buckets' pairs whose embeddings agree on ``LEAST_AGREED`` of their places) are
 joined to clusters, and within a cluster every pair is compared exactly, on the whole
@@ -54,7 +55,7 @@ DENSE = 0.64
 DEEPEST = 12
 #: Bits of the largest filter of members.
 MOST_BITS = 1 << 29
-#: The recall wanted at the least similarity, on paths of this length.
+#: The recall wanted at the least similarity, and the length of paths that the first runs are made for.
 RECALL = 0.99
 LENGTH = 4
 
@@ -144,10 +145,10 @@ def _places(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(as_bytes(column)), np.uint32).reshape(-1, SIZE)
 
 
-def _first_paths(similarity: float, n_runs: int):
+def _first_paths(similarity: float, numbers: range):
     def paths(column: pa.Array) -> pa.Array:
         places = _places(column)
-        found = [children(np.full(len(places), mix(np.array([r + 1], np.uint64))[0]), places, similarity) for r in range(n_runs)]
+        found = [children(np.full(len(places), mix(np.array([r + 1], np.uint64))[0]), places, similarity) for r in numbers]
         return pa.array([np.unique(np.concatenate(x)).view(np.int64) for x in zip(*found, strict=True)], pa.list_(pa.int64()))
 
     return F.arrow_udf(paths, ArrayType(LongType()))
@@ -208,10 +209,10 @@ def _bucket_edges(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def candidates(classes: DataFrame, similarity: float = SIMILAR[0] / SIMILAR[1], recall: float = RECALL) -> DataFrame:
-    """``a, b``: edges that join candidates to clusters; ``classes`` has ``digest`` and ``places``."""
-    first = _first_paths(similarity, runs(recall))
-    paths = classes.select("digest", F.explode(first("places")).alias("path")).withColumn("parent_size", F.lit(classes.count()))
+def _met(classes: DataFrame, n_classes: int, similarity: float, numbers: range) -> tuple[list[DataFrame], int]:
+    """Edges from the runs of these numbers, and the length of the longest path that was followed."""
+    first = _first_paths(similarity, numbers)
+    paths = classes.select("digest", F.explode(first("places")).alias("path")).withColumn("parent_size", F.lit(n_classes))
     found = []
     for depth in range(1, DEEPEST + 1):
         paths = cut(paths, "paths")
@@ -228,6 +229,16 @@ def candidates(classes: DataFrame, similarity: float = SIMILAR[0] / SIMILAR[1],
             break
         going = rest.join(classes.select("digest", "places"), "digest")
         paths = going.select("digest", F.explode(_next_paths(similarity)("places", "path")).alias("path"), F.col("size").alias("parent_size"))
+    return found, depth
+
+
+def candidates(classes: DataFrame, similarity: float = SIMILAR[0] / SIMILAR[1], recall: float = RECALL) -> DataFrame:
+    """``a, b``: edges that join candidates to clusters; ``classes`` has ``digest`` and ``places``."""
+    n_classes, found, done, wanted = classes.count(), [], 0, runs(recall)
+    while done < wanted:
+        more, depth = _met(classes, n_classes, similarity, range(done, wanted))
+        found += more
+        done, wanted = wanted, max(wanted, runs(recall, depth))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

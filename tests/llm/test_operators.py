@@ -227,6 +227,24 @@ def test_large_buckets_split_or_merge(spark, monkeypatch):
         assert (row.group_id, row.n_links) == (0, want)
 
 
+def test_recall_where_passages_are_hot(spark, monkeypatch):
+    """Documents made of passages that half of the others hold too: buckets are split beyond the length the first runs are made for, and the recall of brute force's links holds."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 2)
+    r, met, lengths = random.Random(8), jaccard_join._met, []
+    monkeypatch.setattr(jaccard_join, "_met", lambda *a: lengths.append((met(*a), a[3])) or lengths[-1][0])
+    passages = [[f"p{i}w{k}" for k in range(12)] for i in range(40)]
+    texts = [[w for i in sorted(r.sample(range(40), 20)) for w in passages[i]] for _ in range(300)]
+    texts += [words[: round(len(words) * 0.81)] for words in texts]
+    sets = shingle_sets(rows := [(i, " ".join(words)) for i, words in enumerate(texts)])
+    linked = {i: sum(5 * len(x & y) >= 4 * len(x | y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+    assert sum(linked.values()) >= 600
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(row.n_links for row in found) >= jaccard_join.RECALL * sum(linked.values())
+    assert all(row.n_links <= linked[row.doc_id] for row in found)
+    deepest = max(depth for (_, depth), _ in lengths)
+    assert deepest > jaccard_join.LENGTH and sum(len(numbers) for _, numbers in lengths) >= jaccard_join.runs(jaccard_join.RECALL, deepest)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(30, 40), (50, 40), (60, 60)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
