@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecorpus.checkpoints import checkpoint_root
-from sitecorpus.llm import byte_bpe, decontaminate, jaccard_join, language, orc_ids, quality, recurrent_lm, secrets, token_counts, warc
+from sitecorpus.llm import byte_bpe, decontaminate, divergence, fill_in_middle, jaccard_join, language, orc_ids, piecewise_hash, quality, recurrent_lm, secrets, token_counts, warc
+from sitecorpus.llm.oracles import ORACLES as ORACLES
 
 END_ID = 2
 TOKEN_LIMIT = 512
@@ -100,6 +101,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.*")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("fim.form"), F.col("fim.output"))
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = piecewise_hash.edited_pairs(_documents(spark, sf_dir).select("doc_id", "text"))
+    own = F.col("fingerprint")
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        piecewise_hash.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        piecewise_hash.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_recurrent_lm": op2_recurrent_lm,
@@ -111,6 +136,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_piecewise_hash": op13_piecewise_hash,
 }
-
-ORACLES: dict[str, str] = {}
