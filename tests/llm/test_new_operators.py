@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def plain_divergence(rows, min_docs=3, ranks=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held,min_docs", [(400_000, 1), (3, 2), (3, 3)])
+@pytest.mark.parametrize("held,min_docs", [(24 << 20, 1), (3, 2), (3, 3)])
 def test_divergence(docs, held, min_docs, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", held)
     expected = plain_divergence(docs.collect(), min_docs, 5)
@@ -87,8 +89,8 @@ def test_divergence_of_nothing(empty, docs):
 def test_documents_of_a_term_are_counted_over_its_chunks(spark):
     """Two documents in each of two chunks, sharing none, one, or both."""
     def kept(*texts):
-        frame = spark.createDataFrame([(t, "l", "s") for t in texts], "text string, lang string, source string")
-        return {r.term for r in divergence.term_counts(frame).collect()}
+        frame = spark.createDataFrame([(t, "l", "s") for t in texts], "text string, lang string, source string").repartition(2)
+        return {r.term for r in divergence.term_counts(frame, *divergence.numbered_groups(frame)).collect()}
 
     assert "oak" in kept("oak, x", "oak, y", "oak. z", "oak. w")
     assert "oak" in kept("oak, oak.", "oak, y", "oak. w")
@@ -97,9 +99,17 @@ def test_documents_of_a_term_are_counted_over_its_chunks(spark):
 
 
 def test_long_chunks_are_cut_at_marks():
-    counts = divergence.Counts(0)
-    counts.add(("l", "s"), ("-".join(["oak"] * 5000) + " oak" + " " + "é" * 500).encode())
-    assert counts.of["l", "s"] == {b"oak": [5001, 1, 0, 0], ("é" * 500).encode(): [1, 1, 0, 0]}
+    texts = [("-".join(["oak"] * 5000) + " oak" + " " + "é" * 500), "", "a oak", " \t", "OAK " + "x" * 65]
+    rows = divergence.counted(np.array([7, 7, 7, 7, 2]), pa.array(texts), 1).to_pylist()
+    step = 1 << divergence.PARTITION_BITS
+    assert sorted(tuple(r.values()) for r in rows) == [
+        ("a", 7, 1, 1, 2 * step + 1, None),
+        ("oak", 2, 1, 1, 4 * step + 1, None),
+        ("oak", 7, 5002, 2, 1, 2 * step + 1),
+        ("x" * 65, 2, 1, 1, 4 * step + 1, None),
+        ("é" * 500, 7, 1, 1, 1, None),
+    ]
+    assert divergence.counted(np.array([1]), pa.array([" "]), 0) is None
 
 
 def plain_form(doc_id, text, seed=7, rate=100, spm=50):
