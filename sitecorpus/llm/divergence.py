@@ -229,11 +229,8 @@ def divergence(df: DataFrame, min_docs: int = 3, ranks: int = 200, smoothing: in
         .withColumn("none", F.when(F.col("kept") > 0, _share(F.lit(0).cast("long"), F.greatest("of", F.lit(1))))),
         "group_totals",
     )
-    shares = cut(
-        counts.join(groups.select("lang", "source", "of", "lang_of", "none"), ["lang", "source"]).select(
-            "lang", "source", "term", "none", _share(F.col("n"), F.col("of")).alias("p"), _share(F.col("lang_n"), F.col("lang_of")).alias("q")
-        ),
-        "shares",
+    shares = counts.join(groups.select("lang", "source", "of", "lang_of", "none"), ["lang", "source"]).select(
+        "lang", "source", "term", "none", _share(F.col("n"), F.col("of")).alias("p"), _share(F.col("lang_n"), F.col("lang_of")).alias("q")
     )
 
     telling = shares.where(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _part(F.col("p"), F.col("q")).alias("value"))
