@@ -38,3 +38,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/sitecorpus-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """As ``cut``, in buckets by ``keys``, as many as the session has shuffle partitions.
+
+    Joins and groupings by these keys read the table where it lies: only the other side is shuffled.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"sitecorpus_{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/sitecorpus-{spark.sparkContext.applicationId}/{table}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -142,45 +142,44 @@ WHERE {crawlable('t_scheme', 't_path')} GROUP BY ALL
 """,
     "site_pages",
 )
-block("roots", "SELECT url_key AS root_url, netloc AS root_netloc FROM ranked WHERE rk = 1", "ranked")
-block(
-    "walk",
-    """
-SELECT root_url, root_netloc, root_url AS url, 0 AS depth FROM roots
+block("roots", "SELECT k.url AS root_url, r.netloc AS root_netloc, r.url_key AS root_key FROM ranked r JOIN keyed k USING (page_id) WHERE rk = 1", "ranked", "keyed")
+
+
+def walk_blocks(p: str, opened: str, *needs: str) -> None:
+    """What a crawl visits, as ``<p>visited`` and ``<p>visit_order``; ``opened`` is a test on the URL ``w.url``."""
+    block(
+        f"{p}walk",
+        f"""
+SELECT root_url, root_netloc, root_url AS url, root_key AS key, 0 AS depth FROM roots
 UNION
-SELECT w.root_url, w.root_netloc, e.target, w.depth + 1 FROM walk w JOIN site_edges e ON e.source = w.url
-WHERE w.depth < 5 AND (e.target_netloc = '' OR e.target_netloc = w.root_netloc)
-""",
-    "roots", "site_edges",
-)
-block("visited", "SELECT root_url, url, min(depth) AS depth FROM walk GROUP BY root_url, url", "walk")
-block(
-    "outcome",
-    """
-SELECT v.root_url, v.url, v.depth, CASE WHEN s.ok THEN s.page_id END AS page_id, coalesce(s.ok, false) AS ok
-FROM visited v LEFT JOIN site_pages s ON s.url = v.url
+SELECT w.root_url, w.root_netloc, e.target, e.target, w.depth + 1 FROM {p}walk w JOIN site_edges e ON e.source = w.key
+WHERE w.depth < 5 AND (e.target_netloc = '' OR e.target_netloc = w.root_netloc) AND {opened}
 """,
-    "visited", "site_pages",
-)
-# The order of discovery: the path of (position) steps from the root, compared step by step among the shortest paths.
-block(
-    "walk_paths",
-    """
-SELECT root_url, root_netloc, root_url AS url, 0 AS depth, []::BIGINT[] AS steps FROM roots
+        "roots", "site_edges", *needs,
+    )
+    block(f"{p}visited", f"SELECT root_url, url, key, min(depth) AS depth FROM {p}walk GROUP BY root_url, url, key", f"{p}walk")
+    # The order of discovery: the path of (position) steps from the root, compared step by step among the shortest paths.
+    block(
+        f"{p}walk_paths",
+        f"""
+SELECT root_url, root_netloc, root_url AS url, root_key AS key, 0 AS depth, []::BIGINT[] AS steps FROM roots
 UNION ALL
-SELECT w.root_url, w.root_netloc, e.target, w.depth + 1, list_append(w.steps, e.pos)
-FROM walk_paths w JOIN visited p ON p.root_url = w.root_url AND p.url = w.url AND p.depth = w.depth
-JOIN site_edges e ON e.source = w.url
-JOIN visited v ON v.root_url = w.root_url AND v.url = e.target AND v.depth = w.depth + 1
-WHERE w.depth < 5
+SELECT w.root_url, w.root_netloc, e.target, e.target, w.depth + 1, list_append(w.steps, e.pos)
+FROM {p}walk_paths w JOIN {p}visited p ON p.root_url = w.root_url AND p.url = w.url AND p.depth = w.depth
+JOIN site_edges e ON e.source = w.key
+JOIN {p}visited v ON v.root_url = w.root_url AND v.url = e.target AND v.depth = w.depth + 1
+WHERE w.depth < 5 AND {opened}
 """,
-    "roots", "site_edges", "visited",
-)
-block(
-    "visit_order",
-    """
-SELECT root_url, url, depth, row_number() OVER (PARTITION BY root_url ORDER BY depth, steps) AS ord
-FROM (SELECT root_url, url, depth, min(steps) AS steps FROM walk_paths GROUP BY root_url, url, depth)
+        "roots", "site_edges", f"{p}visited",
+    )
+    block(
+        f"{p}visit_order",
+        f"""
+SELECT root_url, url, key, depth, row_number() OVER (PARTITION BY root_url ORDER BY depth, steps) AS ord
+FROM (SELECT root_url, url, key, depth, min(steps) AS steps FROM {p}walk_paths GROUP BY root_url, url, key, depth)
 """,
-    "walk_paths",
-)
+        f"{p}walk_paths",
+    )
+
+
+walk_blocks("", "true")

@@ -85,22 +85,27 @@ def _site(spark, sf):
     pages = pages_of(spark, sf)
     ranked = fixtures.ranked_pages(pages)
     site = fixtures.site_pages(pages, ranked)
-    return pages, ranked, site, fixtures.site_roots(ranked)
+    return pages, ranked, site, fixtures.site_roots(pages, ranked)
+
+
+def _walked(spark, sf, ordered=False):
+    """What a crawl under the robots files visits, and the site it walks."""
+    pages, _, site, roots = _site(spark, sf)
+    policies = cut(_policies(pages), "policies")
+    return crawl.crawl(roots, crawl.crawl_edges(site), DEPTH, ordered, policies=policies), site
 
 
 def crawl_closure(spark, sf):
     _, _, site, roots = _site(spark, sf)
-    return crawl.crawl(roots, crawl.crawl_edges(site), DEPTH)
+    return crawl.crawl(roots, crawl.crawl_edges(site), DEPTH).select("root_url", "url", "depth")
 
 
 def crawl_outcome(spark, sf):
-    _, _, site, roots = _site(spark, sf)
-    return crawl.with_outcome(crawl.crawl(roots, crawl.crawl_edges(site), DEPTH), site)
+    return crawl.with_outcome(*_walked(spark, sf)).drop("url_key")
 
 
 def crawl_order(spark, sf):
-    _, _, site, roots = _site(spark, sf)
-    return crawl.crawl(roots, crawl.crawl_edges(site), DEPTH, ordered=True)
+    return _walked(spark, sf, ordered=True)[0].select("root_url", "url", "depth", "ord")
 
 
 def crawl_depths(spark, sf):
@@ -117,7 +122,7 @@ def _sitemaps(spark, sf):
     """Roots, the chosen sitemap of each, and the entries of all that may be fetched."""
     pages = pages_of(spark, sf)
     ranked = fixtures.ranked_pages(pages)
-    roots = fixtures.site_roots(ranked)
+    roots = fixtures.site_roots(pages, ranked)
     docs = cut(snapshots.with_sitemap_test(fixtures.sitemap_docs(pages, ranked)), "sitemaps")
     policies = cut(_policies(pages), "policies")
     open_docs = robots.with_decision(docs, policies).where("allowed").select("url", "body", "valid")
@@ -127,7 +132,7 @@ def _sitemaps(spark, sf):
 
 def sitemap_candidates(spark, sf):
     pages = pages_of(spark, sf)
-    return sitemaps.sitemap_candidates(fixtures.site_roots(fixtures.ranked_pages(pages)), _policies(pages))
+    return sitemaps.sitemap_candidates(fixtures.site_roots(pages, fixtures.ranked_pages(pages)), _policies(pages))
 
 
 def sitemap_choice(spark, sf):
@@ -145,8 +150,7 @@ def sitemap_pages(spark, sf):
 
 def url_sources(spark, sf):
     pages, ranked, roots, chosen, locs = _sitemaps(spark, sf)
-    site = fixtures.site_pages(pages, ranked)
-    walked = crawl.with_outcome(crawl.crawl(roots, crawl.crawl_edges(site), DEPTH, ordered=True), site)
+    walked = crawl.with_outcome(*_walked(spark, sf, ordered=True))
     expanded = cut(sitemaps.expand_sitemaps(chosen, locs), "expanded")
     return sitemaps.url_sources(roots, expanded, walked).select("root_url", "source", "url")
 

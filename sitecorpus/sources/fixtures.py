@@ -70,10 +70,10 @@ def site_pages(pages: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     )
 
 
-def site_roots(ranked: DataFrame) -> DataFrame:
-    """The first page of each host."""
-    return ranked.where("rk = 1").select(
-        F.col("url_key").alias("root_url"), F.col("netloc").alias("root_netloc")
+def site_roots(pages: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The first page of each host, under its URL as stored: with query and fragment."""
+    return ranked.where("rk = 1").join(pages.select("page_id", "url"), "page_id").select(
+        F.col("url").alias("root_url"), F.col("netloc").alias("root_netloc")
     )
 
 
