@@ -202,13 +202,36 @@ def assigned_paths(docs: DataFrame, extension: str = "md", single_site: bool = F
 def assigned(docs: DataFrame, extension: str = "md", single_site: bool = False, width: int = WIDTH) -> DataFrame:
     """``(path, seq)`` of the files of ``assigned_paths``, from ``seq`` and ``url`` alone; ``docs`` may hold more."""
     wanted = with_path(docs.select("seq", "url"), "url", extension, single_site, "want")
-    key = urls.document_key(F.col("url")) if extension == "md" else F.col("seq").cast("string")
-    wanted = cut(wanted.select("seq", "want", key.alias("key")), "wanted")
+    return _files(wanted.select("seq", "want", _file_key(extension).alias("key")), width)[0].select("path", "seq")
+
+
+def _file_key(extension: str) -> Column:
+    """What shares a file: the document key for Markdown, nothing for other formats."""
+    return urls.document_key(F.col("url")) if extension == "md" else F.col("seq").cast("string")
+
+
+def _files(wanted: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """``want, key, path, seq`` of every file, ``seq`` the last of its rows, and ``wanted`` as it was written."""
+    wanted = cut(wanted, "wanted")
     first = wanted.groupBy("want", "key").agg(F.min("seq").alias("arrival"), F.max("seq").alias("seq"))
     ranked = numbered(cut(first, "first"), ["want"], "arrival", "place", width)
     claims = ranked.select("want", "key", "arrival", (F.col("place") - 1).alias("number"), F.lit(0).cast("long").alias("run"), F.col("place").alias("rank"))
     settled = _settled(claims, width).select("want", "key", numbered_path(F.col("want"), F.col("number")).alias("path"))
-    return settled.join(first.select("want", "key", "seq"), ["want", "key"]).select("path", "seq")
+    return settled.join(first.select("want", "key", "seq"), ["want", "key"]), wanted
+
+
+def assigned_within(docs: DataFrame, within: str, extension: str = "md", width: int = WIDTH) -> DataFrame:
+    """``(<within>, seq, path, last)``: the file of every row of ``docs``, which holds ``<within>, seq, url, want``.
+
+    Paths clash only inside a value of ``within``, where ``seq`` is the order of arrival; ``last`` marks the row
+    whose content the file holds in the end.
+    """
+    scope = F.concat(F.lower(F.hex(within)), F.lit("/"))  # hexadecimal: no other part of a path looks at it
+    rows = docs.select("seq", F.concat(scope, "want").alias("want"), _file_key(extension).alias("key"), F.col(within).alias("scope"))
+    files, rows = _files(rows, width)
+    found = rows.join(files.withColumnRenamed("seq", "final"), ["want", "key"])
+    path = F.expr("substr(path, instr(path, '/') + 1)")
+    return found.select(F.col("scope").alias(within), "seq", path.alias("path"), (F.col("seq") == F.col("final")).alias("last"))
 
 
 def _free_numbers(fresh: DataFrame, held: DataFrame, width: int) -> DataFrame:

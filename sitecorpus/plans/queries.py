@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecorpus.checkpoints import cut
+from sitecorpus.checkpoints import checkpoint_root, cut
 from sitecorpus.functions import urls
 from sitecorpus.operators import crawl, documents, export, extract, links, metadata, pacing, render, robots, sitemaps, tokens
+from sitecorpus.operators import site_run as site_runs
 from sitecorpus.sources import fixtures, snapshots
 
 DEPTH = 5
@@ -354,15 +356,63 @@ def site_export(spark, sf):
     return export.site_export(parts.select(*kept), "2024-01-01T00:00:00")
 
 
-def run_summary(spark, sf):
-    pages = rich_of(spark, sf)
-    rendered = render.rendered_pages(pages).select("page_id", "ok")
-    decided = robots.with_decision(pages, _policies(pages_of(spark, sf)))
-    state = decided.select(
-        "page_id", F.col("site").alias("root_url"), "allowed", (F.trim(F.translate("html", "\n\r\t", "   ")) != "").alias("fetched")
+def _site_run(spark, sf):
+    """A run over all hosts of the table, with stored robots files, sitemaps and snapshots."""
+    pages = cut(fixtures.run_pages(pages_of(spark, sf)), "run-pages")
+    ranked = fixtures.ranked_pages(pages)
+    site = cut(fixtures.site_pages(pages, ranked), "run-site")
+    robots_path, sitemaps_path = _path(spark, "robots"), _path(spark, "sitemaps")
+    fixtures.robots_docs(pages).write.parquet(robots_path)
+    fixtures.sitemap_docs(pages, ranked).write.parquet(sitemaps_path)
+    roots = cut(fixtures.site_roots(pages, ranked), "run-roots")
+    return site_runs.run_sites(
+        roots, site, snapshots.read_robots(spark, robots_path), snapshots.read_sitemaps(spark, sitemaps_path), site_runs.Rules(AGENT, DEPTH)
     )
-    joined = state.join(rendered, "page_id").withColumn("saved", F.lit(True))
-    return export.run_summary(joined)
+
+
+def site_run(spark, sf):
+    """Every listed or found URL, what became of it, and its file."""
+    return _site_run(spark, sf).ledger
+
+
+def run_summary(spark, sf):
+    return site_runs.run_summary(_site_run(spark, sf).ledger)
+
+
+def saved_site(spark, sf):
+    """The files of a run, written and read back."""
+    target = _path(spark, "saved-site")
+    export.write_documents(_site_run(spark, sf).files, target)
+    return export.committed(spark, target).select("root_url", "path", "document")
+
+
+def written_documents(spark, sf):
+    """Markdown documents, written and read back."""
+    target = _path(spark, "documents")
+    rendered = documents.with_path(documents.with_front_matter(render.rendered_pages(pages_of(spark, sf)).where("ok")))
+    export.write_documents(rendered.select("page_id", "domain", "path", "document"), target)
+    return export.committed(spark, target).select("page_id", "domain", "path", "document")
+
+
+def written_json(spark, sf):
+    """JSON documents, written and read back."""
+    target = _path(spark, "json")
+    df = documents.with_path(render.json_pages(pages_of(spark, sf)), extension="json")
+    df = df.select("page_id", F.get_json_object("json", "$.domain").alias("domain"), "path", F.col("json").alias("document"))
+    export.write_documents(df, target, "json")
+    return export.committed(spark, target).select("page_id", "path", "document")
+
+
+def written_export(spark, sf):
+    """The combined export, written and read back."""
+    target = _path(spark, "export")
+    export.write_site_export(site_export(spark, sf), target)
+    return export.committed(spark, target).select("root_url", "seq", "line")
+
+
+def _path(spark, name):
+    """A new path in the shared folder."""
+    return f"{checkpoint_root(spark)}/sitecorpus-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -425,5 +475,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_documents": page_documents,
     "saved_documents": saved_documents,
     "site_export": site_export,
+    "site_run": site_run,
+    "saved_site": saved_site,
     "run_summary": run_summary,
+    "written_documents": written_documents,
+    "written_json": written_json,
+    "written_export": written_export,
 }

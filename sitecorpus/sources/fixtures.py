@@ -206,6 +206,17 @@ BODY = (
 )
 
 
+def run_pages(pages: DataFrame) -> DataFrame:
+    """Pages for whole runs: some have a menu and no text, some a name that no file system takes."""
+    long_name = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/"), F.repeat(F.lit("é"), 150))
+    menu = F.format_string("<html><body><nav>Menu of %d</nav></body></html>", "page_id")
+    return pages.select(
+        "page_id",
+        F.when(F.col("page_id") % 29 == 7, long_name).otherwise(F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 13 == 4, menu).otherwise(F.col("html")).alias("html"),
+    )
+
+
 def _filled(template: str) -> Column:
     """The template with ``{id}`` and ``{mod}`` of the page, as a column."""
     text = F.lit(template.replace("{{", "{").replace("}}", "}"))

@@ -2,6 +2,7 @@ import glob
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitecorpus.operators import export
@@ -25,7 +26,7 @@ def test_site_export_is_one_document_per_root(spark, tmp_path):
     assert len(docs["https://b.com"]["pages"]) == docs["https://b.com"]["total_pages"] == 40
     target = str(tmp_path / "site")
     export.write_site_export(df, target)
-    back = spark.read.parquet(target)
+    back = export.committed(spark, target)
     roots = {r.root_url for r in back.select("root_url").collect()}
     read = [json.loads("\n".join(r.line for r in back.where(F.col("root_url") == u).orderBy("seq").collect())) for u in roots]
     assert sorted(d["total_pages"] for d in read) == [2, 40]
@@ -43,7 +44,7 @@ def test_documents_are_written_by_bucket(spark, tmp_path):
     target = str(tmp_path / "docs")
     export.write_documents(df, target, buckets=4)
     export.write_documents(df.where("domain = 'b.com'").withColumn("path", F.lit("b.com/x.json")), target, "json", buckets=4)
-    assert len(glob.glob(os.path.join(target, "extension=md", "bucket=*"))) == 4
+    assert len(glob.glob(os.path.join(target, "run=first", "extension=md", "bucket=*"))) == 4
     back = spark.read.parquet(target)
     assert back.count() == 62
     one = back.where(export.in_domain("b.com", 4))
@@ -52,9 +53,27 @@ def test_documents_are_written_by_bucket(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(domain,b.com)" in plan
 
 
-def test_run_summary(spark):
-    rows = [("r", True, True, True, True), ("r", True, True, False, True), ("r", True, False, False, True), ("r", False, False, False, True),
-            ("r", True, True, True, False), ("s", True, True, True, True)]
-    df = spark.createDataFrame(rows, "root_url string, allowed boolean, fetched boolean, ok boolean, saved boolean")
-    got = {r.root_url: tuple(r)[1:] for r in export.run_summary(df).collect()}
-    assert got == {"r": (1, 4, 1, 1, 1, 1), "s": (1, 0, 0, 0, 0, 0)}
+def test_half_written_output_is_found(spark, tmp_path):
+    target = str(tmp_path / "docs")
+    rows = [(f"s{i}.com", f"s{i}.com/a.md", f"text {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "domain string, path string, document string")
+    export.write_documents(df, target, buckets=4, run="a")
+    export.write_documents(df.limit(5), target, buckets=4, run="b")
+    # A run that broke off: its files are there, its manifest is not.
+    placed = df.withColumns({"run": F.lit("c"), "extension": F.lit("md"), "bucket": export.bucket_of(F.col("domain"), 4)})
+    placed.write.mode("append").partitionBy("run", "extension", "bucket").parquet(target)
+    got = export.committed(spark, target)
+    assert {r["run"]: r["count"] for r in got.groupBy("run").count().collect()} == {"a": 30, "b": 5}
+    assert sorted(r.document for r in got.where("run = 'a'").collect()) == sorted(d for _, _, d in rows)
+    # The same number of rows, but other ones.
+    placed.where("path = 's1.com/a.md'").withColumns({"run": F.lit("b"), "document": F.lit("other")}).write.mode("append").partitionBy("run", "extension", "bucket").parquet(target)
+    with pytest.raises(ValueError, match="differ from the manifest"):
+        export.committed(spark, target)
+    assert export.committed(spark, target, verify=False).count() == 36
+    missing = glob.glob(os.path.join(target, "run=a", "extension=md", "bucket=0", "*.parquet"))
+    other = str(tmp_path / "other")
+    export.write_documents(df, other, buckets=4)
+    os.remove(glob.glob(os.path.join(other, "run=first", "extension=md", "bucket=*", "*.parquet"))[0])
+    assert missing
+    with pytest.raises(ValueError, match="differ from the manifest"):
+        export.committed(spark, other)
