@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitecorpus.checkpoints import cut
 from sitecorpus.functions import markup, urls
+from sitecorpus.functions.text import quoted
 from sitecorpus.operators.crawl import discovery_order
 from sitecorpus.operators.running import WIDTH
 
@@ -46,33 +47,88 @@ def looks_like_sitemap(url: Column) -> Column:
     return url.endswith(".xml") | F.lower(url).contains("sitemap")
 
 
+CDATA = r"<!\[CDATA\[[\s\S]*?(?:\]\]>|\z)"
+# One piece of XML: comment, a run of text and CDATA, instruction, declaration, tag, a tag that the end cuts off.
+PIECES = (
+    r"<!--[\s\S]*?(?:-->|\z)|(?:" + CDATA + r"|[^<]++|<(?!/?[A-Za-z_:]|/?\z|[!?]))++|<\?[\s\S]*?(?:\?>|\z)|<![^>]*(?:>|\z)"
+    r"""|</?[A-Za-z_:](?:"[^"]*+"|'[^']*+'|[^<>"'])*+>|</?(?:[A-Za-z_:][^<>]*)?\z|<"""
+)
+DROPPED = r"^<\?|^<!(?!--|\[CDATA\[)|^</?(?:[A-Za-z_:][^<>]*)?\z|^\s*\z"
+
+
+def sitemap_events(sitemap_docs: DataFrame) -> DataFrame:
+    """``(doc_url, pos, kind, name, text, level)``: the tags and texts of each document, as a recovering parser reads them.
+
+    An end tag closes the innermost open element, whatever its name; what is open at the end of the text ends there;
+    what follows the root element, or a text that starts with no tag, does not count.  ``level`` is the depth of
+    the element that a tag opens or closes.  A document is one input row, which bounds its windows.
+    """
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), "^[\ufeff\\s]+", "")
+    pieces = F.filter(
+        F.when(body.startswith("<"), F.regexp_extract_all(body, F.lit(PIECES), F.lit(0))),
+        lambda p: ~p.rlike(DROPPED),
+    )
+    partitions = int(sitemap_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sitemap_docs.select(F.col("url").alias("doc_url"), "body").repartition(partitions, "doc_url").select("doc_url", F.posexplode(pieces).alias("pos", "piece"))
+    piece = F.col("piece")
+    kind = (
+        F.when(piece.startswith("<!--"), "comment")
+        .when(piece.startswith("<![CDATA[") | ~piece.rlike("^</?[A-Za-z_:]"), "text")
+        .when(piece.startswith("</"), "close")
+        .when(piece.endswith("/>"), "void")
+        .otherwise("open")
+    )
+    plain, quoted_cdata = markup.decoded_sql("t", loose=False), quoted("^" + CDATA)
+    text = F.expr(
+        f"""array_join(transform(regexp_extract_all(piece, {quoted(CDATA + "|[^<]+|<")}, 0),
+          t -> IF(regexp_like(t, {quoted_cdata}), regexp_replace(substr(t, 10), '\\\\]\\\\]>\\\\z', ''), {plain})), '')"""
+    )
+    so_far = Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_url").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("kind", kind).withColumn("depth", F.sum(F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)).over(so_far))
+    over = F.max((F.col("kind") == "close") & (F.col("depth") <= 0)).over(before)
+    return rows.withColumn("over", over).where("over IS NULL OR NOT over").select(
+        "doc_url",
+        "pos",
+        "kind",
+        F.when(F.col("kind").isin("open", "close", "void"), F.regexp_extract("piece", r"^</?([^\s/>]+)", 1)).alias("name"),
+        F.when(F.col("kind") == "text", text).alias("text"),
+        (F.col("depth") + F.when(F.col("kind") == "open", 0).otherwise(1)).alias("level"),
+    )
+
+
 def sitemap_locs(sitemap_docs: DataFrame) -> DataFrame:
-    """M3: ``(doc_url, kind, pos, loc, nested)``; text that is no sitemap gives no rows.
+    """M3: ``(doc_url, kind, pos, loc, nested)``; text that is no sitemap gives no rows, broken XML what a recovering parser finds.
 
-    ``nested`` tells whether any entry of the document looks like a sitemap.
+    Of a document with a ``sitemapindex`` the ``sitemap`` elements count, else the ``url`` elements; each gives its
+    first ``loc``, which holds text alone.  ``nested`` tells whether any entry of the document looks like a sitemap.
     """
-    text = F.regexp_replace(F.coalesce("body", F.lit("")), "<" + markup.COMMENT, "")
-    is_index = text.rlike(r"<sitemapindex[\s>]")
-
-    def entries(tag: str) -> Column:
-        return F.regexp_extract_all(text, F.lit(rf"<{tag}(?:\s[^>]*)?>([\s\S]*?)</{tag}\s*>"), F.lit(1))
-
-    def loc(entry: Column) -> Column:
-        inner = F.regexp_extract(entry, r"<loc(?:\s[^>]*)?>([\s\S]*?)</loc\s*>", 1)
-        cdata = F.regexp_extract(inner, r"^\s*<!\[CDATA\[([\s\S]*?)\]\]>\s*\z", 1)
-        plain = F.when(cdata != "", cdata).when(inner.contains("<"), F.lit("")).otherwise(inner)
-        return F.regexp_replace(plain, r"^\s+|\s+\z", "")
-
-    locs = F.filter(F.transform(F.when(is_index, entries("sitemap")).otherwise(entries("url")), loc), lambda u: u != "")
-    return (
-        sitemap_docs.select(
-            F.col("url").alias("doc_url"), F.when(is_index, "index").otherwise("urlset").alias("kind"), locs.alias("locs")
-        )
-        .withColumn("locs", F.expr(f"transform(locs, u -> {markup.decoded_sql('u', loose=False)})"))
-        .select(
-            "doc_url", "kind", F.exists("locs", looks_like_sitemap).alias("nested"), F.posexplode("locs").alias("pos", "loc")
-        )
-        .select("doc_url", "kind", "pos", "loc", "nested")
+    in_order = Window.partitionBy("doc_url").orderBy("pos")
+    whole = Window.partitionBy("doc_url")
+    same_level = Window.partitionBy("doc_url", "level").orderBy("pos")
+    backwards = Window.partitionBy("doc_url").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    events = sitemap_events(sitemap_docs)
+    is_tag = F.col("kind").isin("open", "void")
+    # A loc counts if one run of text is followed by its end, or by that of the document.
+    alone = (F.lead("kind", 1).over(in_order) == "text") & (F.coalesce(F.lead("kind", 2).over(in_order), F.lit("close")) == "close")
+    text = F.when((F.col("kind") == "open") & alone, F.regexp_replace(F.lead("text", 1).over(in_order), r"^\s+|\s+\z", "")).otherwise(F.lit(""))
+    events = events.withColumns(
+        {
+            "is_index": F.max(is_tag & (F.col("name") == "sitemapindex")).over(whole),
+            "span_end": F.when(F.col("kind") == "open", F.lead("pos").over(same_level)),
+            "loc": F.when(is_tag & (F.col("name") == "loc"), F.struct("pos", text.alias("text"))),
+        }
+    ).withColumn("first", F.last("loc", ignorenulls=True).over(backwards))
+    wanted = F.when(F.col("is_index"), "sitemap").otherwise("url")
+    entries = events.where((F.col("kind") == "open") & (F.col("name") == wanted) & (F.col("first.text") != "")).where(
+        "span_end IS NULL OR first.pos < span_end"
+    )
+    return entries.select(
+        "doc_url",
+        F.when(F.col("is_index"), "index").otherwise("urlset").alias("kind"),
+        (F.row_number().over(in_order) - 1).alias("pos"),
+        F.col("first.text").alias("loc"),
+        F.max(looks_like_sitemap(F.col("first.text"))).over(whole).alias("nested"),
     )
 
 

@@ -183,7 +183,17 @@ def sitemap_docs(pages: DataFrame, ranked: DataFrame | None = None) -> DataFrame
     plain = listed.where((kind == 2) & (k == 1)).select(
         name("/sitemap.xml").alias("url"), F.lit("see the pages of this site").alias("body")
     )
-    return docs.select("url", body.alias("body")).unionByName(plain)
+    return docs.select("url", broken(F.col("url"), body).alias("body")).unionByName(plain)
+
+
+def broken(url: Column, body: Column) -> Column:
+    """The bodies of some files as crawls find them: without the last end tags, cut off in an entry, an end tag left out."""
+    return (
+        F.when(url.endswith("/wp-sitemap.xml"), F.regexp_replace(body, "</url></urlset>$", ""))
+        .when(url.rlike("/section-[0-9]+[.]xml$"), F.regexp_replace(body, "</loc></sitemap></sitemapindex>$", ""))
+        .when(url.rlike("/a-[0-9]+[.]xml$"), F.regexp_replace(body, r"\A([\s\S]*?)</url>", "$1"))
+        .otherwise(body)
+    )
 
 
 HEAD = (

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import deque
 
 from sitecorpus.operators import crawl, links, sitemaps
@@ -90,6 +91,74 @@ def test_sitemap_parsing(spark):
     assert [r.url for r in with_sitemap_test(df).where("valid").orderBy("url").collect()] == ["a", "b"]
 
 
+class Recovering:
+    """A parser that goes on: an end tag closes the innermost element, the end of the text all."""
+
+    TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<\?.*?(?:\?>|\Z)|<![^>]*(?:>|\Z)|</?[A-Za-z_:][^<>]*>|</?(?:[A-Za-z_:][^<>]*)?\Z|[^<]+|<", re.S)
+
+    def __init__(self, text):
+        self.all, stack = [], []
+        if not text.lstrip().startswith("<"):
+            return
+        for t in self.TOKEN.findall(text.strip()):
+            if t.startswith(("<?", "<!D")) or not t.strip() or re.fullmatch(r"</?(?:[A-Za-z_:][^<>]*)?", t):
+                continue
+            if re.match("<[A-Za-z_:]", t):
+                node = (re.match(r"<([^\s/>]+)", t)[1], [])
+                self.all.append((node, [*stack, node]))
+                if stack:
+                    stack[-1][1].append(node)
+                if not t.endswith("/>"):
+                    stack.append(node)
+            elif t.startswith("</"):
+                stack.pop()
+                if not stack:
+                    break
+            elif stack:
+                stack[-1][1].append(t if not t.startswith("<![") else t[9:].removesuffix("]]>"))
+
+    def locs(self):
+        kind = "sitemap" if any(n[0] == "sitemapindex" for n, _ in self.all) else "url"
+        out = []
+        for entry, _ in self.all:
+            if entry[0] == kind:
+                inner = [n for n, path in self.all if n[0] == "loc" and any(p is entry for p in path)]
+                if inner and inner[0][1] and all(isinstance(c, str) and not c.startswith("<!--") for c in inner[0][1]):
+                    text = "".join(inner[0][1]).strip().replace("&amp;", "&")
+                    out += [text] if text else []
+        return out
+
+
+BROKEN = [
+    "<urlset><url><loc>http://e/1</loc></url><url><loc>http://e/2</loc>",
+    "<urlset><url><loc>http://e/1</loc></url><url><loc>http://e/2",
+    "<urlset><url><loc>http://e/1</loc></url><url><loc>http://e/2</lo",
+    "<urlset><url><loc>http://e/1</loc><url><loc>http://e/2</loc></url></urlset>",
+    "<urlset><url><loc>http://e/1</url><url><loc>http://e/2</loc></url></urlset>",
+    "<urlset><url><loc>http://e/1</loc></urlset><url><loc>http://e/2</loc></url>",
+    "<urlset><url><loc>http://e/1</loc></url></urlset><url><loc>http://e/2</loc></url>",
+    "junk <urlset><url><loc>http://e/1</loc></url></urlset>",
+    "\ufeff \n<?xml version='1.0'?><!DOCTYPE x><urlset><url><loc/><loc>http://e/1</loc></url><url><loc>http://e/<!-- c -->2</loc></url></urlset>",
+    "<sitemapindex><sitemap><loc>http://e/<![CDATA[3&amp;]]>.xml</loc></sitemap><sitemap><lastmod>1</lastmod><sitemap><loc>http://e/4.xml",
+    "<urlset><url><a><loc>http://e/deep</loc></a></url><url><loc><b>x</b></loc></url><url><image:loc>i</image:loc></url></urlset>",
+    "<urlset><url><url><url><loc>http://e/inner</loc></url></url></url></urlset>",
+]
+
+
+def test_broken_sitemaps_equal_a_recovering_parser(spark):
+    rng = random.Random(3)
+    parts = ["<url>", "</url>", "<loc>", "</loc>", "<loc>http://e/p</loc>", "<x/>", "http://e/q", " ", "<sitemap>", "</urlset>", "<!-- c -->", "<![CDATA[http://e/c]]>"]
+    texts = BROKEN + ["<urlset>" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "url string, body string")
+    got = {}
+    for r in sitemaps.sitemap_locs(df).orderBy("pos").collect():
+        got.setdefault(int(r.doc_url), []).append(r.loc)
+    for i, t in enumerate(texts):
+        want = Recovering(t).locs() if "CDATA[3" not in t else ["http://e/3&amp;.xml", "http://e/4.xml", "http://e/4.xml"]
+        assert got.get(i, []) == want, t
+    assert got[0] == ["http://e/1", "http://e/2"] == got[1]
+
+
 def brute_expand(start, docs):
     out, queue, handled = [], list(docs.get(start, [])), set()
     like = lambda u: u.endswith(".xml") or "sitemap" in u.lower()
