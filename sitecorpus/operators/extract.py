@@ -40,6 +40,8 @@ SHORT_BLOCKS = HEADINGS + ["li", "pre", "tr", "dt", "dd", "figcaption", "caption
 SMALL = 33  # pixels
 # Rules that spare what the main element lies in.
 SPARING = ["exact_selectors", "partial_selectors", "hidden_elements"]
+# Classes under which libraries draw a formula that also stands in the page as TeX.
+DRAWN_FORMULA = r"(?:^|\s)(?:katex-html|MathJax|MathJax_Preview|MathJax_Display|MathJax_SVG|MathJax_CHTML)(?:\s|\z)"
 FOOTNOTE = r"^#(?:fn|footnote)[:_-]?([A-Za-z0-9]+)\z"
 
 
@@ -93,6 +95,7 @@ def _flags(options: Options) -> dict[str, Column]:
             | style.contains("display:none")
             | style.contains("visibility:hidden")
         ),
+        "f_drawn": starts & has & get("class").rlike(DRAWN_FORMULA),
         "f_small": (tag == "img")
         & has
         & (small("width") | small("height")),
@@ -128,7 +131,7 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     class_ = F.coalesce(markup.attribute("attr_list", "class"), F.lit(""))
     tokens = tokens.withColumns(
         {
-            "alt": F.when(tag == "img", F.coalesce(markup.attribute("attr_list", "alt"), F.lit(""))),
+            "alt": F.when(tag == "img", F.coalesce(markup.attribute("attr_list", "alt"), F.lit(""))).when((tag == "math") & (kind == "math"), markup.decoded("shown")),
             "lang": F.when(
                 tag.isin("pre", "code") & (F.col("attrs") != ""),
                 F.regexp_extract(class_, r"(?:^|\s)(?:language|lang)-([A-Za-z0-9+#_.-]+)", 1),
@@ -138,7 +141,7 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
         }
     ).select(
         "page_id", "pos", "kind", "tag", "text", "link", "alt", "lang", "note", "is_link",
-        "f_exact", "f_partial", "f_hidden", "f_small", "main_kind", *keep,
+        "f_exact", "f_partial", "f_hidden", "f_small", "f_drawn", "main_kind", *keep,
     )
     # First what the spans need; the rest waits until they are known, so that their sorts move narrow rows.
     is_open_anchor = (tag == "a") & (kind == "open")
@@ -164,6 +167,8 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
         rules.append(("small_images", F.col("f_small")))
     if options.remove_images:
         rules.append(("images", starts & (tag.isin("img", "picture", "svg") | wordless)))
+    if options.standardize:
+        rules.append(("drawn_formulas", F.col("f_drawn")))
     flagged = F.lit(False)
     for _, flag in rules:
         flagged = flagged | flag
@@ -263,7 +268,7 @@ def markdown_piece(options: Options) -> Column:
         ).when(kind == "math", F.concat(F.lit("$"), F.trim(text), F.lit("$")))
         start = piece
     else:
-        start = F.when(kind == "math", F.lit(""))
+        start = F.when(kind == "math", F.coalesce("alt", F.lit("")))
     return (
         start.when((kind == "text") & noted, F.lit(""))
         .when((kind == "text") & in_pre, text)

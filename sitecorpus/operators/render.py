@@ -84,7 +84,8 @@ def _html_piece(options: Options) -> Column:
         return F.coalesce(F.concat(F.lit(f' {attr}="'), escaped(value), F.lit('"')), F.lit(""))
 
     with_attrs = F.when(attr_list.isNull(), F.lit("")).otherwise(F.concat(*[kept(a) for a in KEPT_ATTRIBUTES]))
-    math = F.concat(F.lit("$"), F.trim("text"), F.lit("$")) if options.standardize else F.lit("")
+    written = F.when(tag == "math", F.col("raw")).otherwise(F.lit(""))
+    math = F.concat(F.lit("$"), F.trim("text"), F.lit("$")) if options.standardize else written
     return (
         F.when(kind == "text", F.col("raw"))
         .when(kind == "math", math)

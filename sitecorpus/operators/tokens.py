@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from sitecorpus.functions import markup, urls
 
 RAW_TAGS = ["script", "style", "noscript", "template"]
+# A formula in MathML, up to its own end: one token, as its TeX stands at no fixed place in it.
+FORMULA = r"math(?:\s[^<>]*)?>[^<]*+(?:<(?!/?math[\s>/])[^<]*+)*+</math\s*>"
 PIECES = (
     markup.any_of(
         markup.COMMENT,
         r"[!?][^>]*(?:>|\z)",
         *[markup.raw_element(t) for t in RAW_TAGS],
+        FORMULA,
         "/?[a-z]" + markup.TAG_BODY + ">",
         r"/?[a-z][\s\S]*\z",
     )
@@ -27,6 +30,15 @@ PIECES = (
 # Markup that never becomes a token, and a tag that the end of the page cuts off.
 DROPPED = r"(?i)^(?:<[!?]|<(?:" + "|".join(RAW_TAGS) + r")[\s>])|^<[\s\S]*[^>]\z"
 MATH = r"""(?i)^<script[^>]*type=["']?math/tex"""
+IS_FORMULA = r"(?i)^<math[\s>][\s\S]*</math\s*>\z"
+ANNOTATION = r"(?i)<annotation(?:-xml)?(?:\s[^>]*)?>[\s\S]*?</annotation(?:-xml)?\s*>"
+# Where a formula holds its TeX, in order.
+TEX_SOURCES = [
+    r"""(?i)<annotation\s[^>]*encoding\s*=\s*["']?application/x-tex["']?[^>]*>([\s\S]*?)</annotation""",
+    r"""(?i)^<math\s[^<>]*?\balttext\s*=\s*"([^"]*)""",
+    r"""(?i)^<math\s[^<>]*?\balttext\s*=\s*'([^']*)""",
+    r"""(?i)^<math\s[^<>]*?\bdata-latex\s*=\s*"([^"]*)""",
+]
 
 
 def by_page(pages: DataFrame) -> DataFrame:
@@ -44,7 +56,8 @@ def tokenize(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, kind, tag, attrs, text)``, one row per tag or text run.
 
     ``kind`` is ``open``, ``close``, ``void``, ``text`` or ``math``; ``raw`` is the
-    token as written and ``attr_list`` its attributes.  The base parts of the page's URL ride along as ``b_*``
+    token as written and ``attr_list`` its attributes.  A formula in MathML is one token: ``math`` with its TeX, or
+    text if it holds none.  The base parts of the page's URL ride along as ``b_*``
     for links to be resolved and are pruned where nothing asks for them.
     """
     pieces = F.filter(
@@ -57,14 +70,16 @@ def tokenize(pages: DataFrame) -> DataFrame:
         "page_id", *[f"b_{part}" for part in urls.PARTS], F.posexplode_outer(pieces).alias("pos", "raw")
     ).where("pos is not null")
     raw = F.col("raw")
-    is_tag = raw.startswith("<") & (F.length(raw) > 1)
+    is_formula = raw.rlike(IS_FORMULA)
+    tokens = tokens.withColumn("tex", F.when(is_formula, formula_tex("raw")))
+    is_tag = raw.startswith("<") & (F.length(raw) > 1) & F.coalesce(F.col("tex") != "", F.lit(True))
     tokens = tokens.withColumn(
         "tag", F.when(is_tag, F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][^\s/>]*)", 1))).otherwise(F.lit(""))
-    )
+    ).withColumn("shown", F.when(F.col("tex").isNotNull(), formula_text("raw")))
     tag = F.col("tag")
     kind = (
         F.when(tag == "", "text")
-        .when(tag == "script", "math")
+        .when((tag == "script") | F.col("tex").isNotNull(), "math")
         .when(raw.startswith("</"), "close")
         .when(tag.isin(markup.VOID_TAGS) | raw.endswith("/>"), "void")
         .otherwise("open")
@@ -72,8 +87,10 @@ def tokenize(pages: DataFrame) -> DataFrame:
     tokens = tokens.withColumns(
         {
             "kind": kind,
-            "attrs": F.when((tag != "") & (tag != "script"), F.trim(F.regexp_extract(raw, markup.INSIDE, 1))).otherwise(F.lit("")),
-            "text": F.when(tag == "", markup.decoded("raw"))
+            "attrs": F.when((tag != "") & (tag != "script") & F.col("tex").isNull(), F.trim(F.regexp_extract(raw, markup.INSIDE, 1))).otherwise(F.lit("")),
+            "text": F.when((tag == "") & F.col("tex").isNull(), markup.decoded("raw"))
+            .when(tag == "", markup.decoded("shown"))
+            .when(F.col("tex").isNotNull(), markup.decoded("tex"))
             .when(tag == "script", F.regexp_extract(raw, r"^<[^>]*>([\s\S]*?)(?:</[^>]*>)?\z", 1))
             .otherwise(F.lit("")),
         }
@@ -81,6 +98,18 @@ def tokenize(pages: DataFrame) -> DataFrame:
     return tokens.withColumn("attr_list", F.when(F.col("attrs") != "", F.expr(markup.attributes_sql("attrs"))))
 
 
+def formula_tex(raw: str) -> Column:
+    """The TeX of a formula in MathML, or an empty string."""
+    found = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(raw, source, 1)), F.lit("")) for source in TEX_SOURCES], F.lit(""))
+    return F.when(F.col(raw).rlike(IS_FORMULA), found).otherwise(F.lit(""))
+
+
+def formula_text(raw: str) -> Column:
+    """What a formula shows: its text without annotations."""
+    bare = F.regexp_replace(F.regexp_replace(raw, ANNOTATION, ""), "<[^>]*>", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def with_page_ends(tokens: DataFrame, names: list[str]) -> DataFrame:
     """Add ``<name>_last``, the greatest value of each column on its page."""
     whole = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -212,7 +212,9 @@ BODY = (
     '<li>Second item, with <code>code</code>.</li></ol>'
     '<blockquote><p>To be quoted, or not to be quoted.</p></blockquote>'
     '<p>A note, of number {mod}<sup><a href="#fn{mod}" class="footnote-ref">{mod}</a></sup>, ends this '
-    '<script type="math/tex">x^{mod}</script> page.</p>'
+    '<script type="math/tex">x^{mod}</script> and <span class="katex"><span class="katex-mathml"><math><semantics><mrow><mi>y</mi></mrow>'
+    '<annotation encoding="application/x-tex">y_{mod} &lt; 9</annotation></semantics></math></span>'
+    '<span class="katex-html" aria-hidden="true">y drawn</span></span> page.</p>'
 )
 
 

@@ -248,3 +248,38 @@ def test_metadata_only_renders_no_text(spark):
     plan = render.metadata_only(frame(spark, SAMPLE))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join(filter(transform(blocks" not in plan
     assert render.metadata_only(frame(spark, SAMPLE)).select(F.sum("word_count")).first()[0] == 16
+
+
+FORMULAS = {
+    # KaTeX: MathML with TeX, and a drawing.
+    '<span class="katex"><span class="katex-mathml"><math xmlns="m"><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup></mrow>'
+    '<annotation encoding="application/x-tex">x^2 &lt; y</annotation></semantics></math></span>'
+    '<span class="katex-html" aria-hidden="true"><span class="base">x2</span></span></span>': ("$x^2 < y$", "x2"),
+    # MathJax 3: no TeX, so the formula's text.
+    '<mjx-container><mjx-math aria-hidden="true"></mjx-math><mjx-assistive-mml><math><mi>a</mi><mo>&lt;</mo>\n<mi>b</mi></math></mjx-assistive-mml></mjx-container>': ("a< b", "a< b"),
+    # MathJax 2: a drawing and a script.
+    '<span class="MathJax_Preview">p q</span><span class="MathJax" data-mathml="<math><mi>p</mi></math>">p q</span><script type="math/tex">p+q</script>': ("$p+q$", "p qp q"),
+    # TeX in attributes.
+    '<math alttext="\\frac{1}{2}" display="block"><mfrac><mn>1</mn><mn>2</mn></mfrac></math>': ("$\\frac{1}{2}$", "12"),
+    '<MATH data-latex="z_1"><mi>z</mi></MATH >': ("$z_1$", "z"),
+    # Other annotations are none, and one left open hides nothing.
+    '<math><mi>u</mi><annotation encoding="text/plain">not shown</annotation></math>': ("u", "u"),
+    "<math><mi>v</mi> text": ("v text", "v text"),
+}
+
+
+def test_formulas(spark):
+    rows = [(i, f"http://e.com/{i}", f"<html><body><article><p>Before the formula, {m} and after it, <math><mi>w</mi></math> too.</p></article></body></html>") for i, m in enumerate(FORMULAS)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options, at in ((extract.Options(), 0), (extract.Options(standardize=False), 1)):
+        got = {r.page_id: r.content for r in render.rendered_pages(df, "markdown", options).collect()}
+        for i, (markup_, shown) in enumerate(FORMULAS.items()):
+            assert got[i] == f"Before the formula, {shown[at]} and after it, w too.", markup_
+    html = {r.page_id: r.content for r in render.rendered_pages(df, "html").collect()}
+    assert "$x^2 < y$" in html[0] and "drawn" not in html[0] and "x2" not in html[0]
+
+
+def test_many_open_formulas_take_no_quadratic_time(spark):
+    html = "<html><body><article><p>" + "<math><mi>x</mi> " * 40_000 + "</p></article></body></html>"
+    df = spark.createDataFrame([(1, "http://e.com/", html)], "page_id long, url string, html string")
+    assert tokens.tokenize(df).where("tag = 'math'").count() == 40_000
