@@ -2,7 +2,9 @@
 
 A robots file is one input row, so its lines, groups and rules are bounded by
 that row.  The rules of the group that counts become one array per site; a URL
-then needs one join on the site and no aggregation.
+then needs one join on the site and no aggregation.  Rules of long files are a table
+of their own, keyed by site and path, and a URL meets them by its prefixes of the lengths
+that occur there, so that its cost does not grow with their number.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitecorpus.checkpoints import cut
 from sitecorpus.functions import urls
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -20,6 +23,8 @@ COMMON_SITEMAPS = ["/sitemap.xml", "/wp-sitemap.xml", "/sitemap_index.xml"]
 OPEN_PATHS = ["", "/", "/index.html", "/index.php", "/sitemap.xml", "/robots.txt"]
 # Fixed value: seconds between requests on a site that hides its robots file.
 DENIED_DELAY = 10.0
+#: Rules of a site that are tried one by one; longer files are met by a join on the prefixes of a URL.
+FEW_RULES = 64
 
 
 def robots_lines(robots_docs: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def site_policies(robots_docs: DataFrame, agent: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "sitemap"))).alias("maps")
     )
     denied = F.coalesce(F.col("status") == 403, F.lit(False))
-    return (
+    return cut(
         robots_docs.select("site", "status")
         .join(chosen, "site", "left")
         .join(maps, "site", "left")
@@ -152,8 +157,28 @@ def site_policies(robots_docs: DataFrame, agent: str) -> DataFrame:
             "rules",
             F.when(denied, F.lit(DENIED_DELAY)).when(F.col("delay") > 0, F.col("delay")).alias("crawl_delay"),
             F.coalesce("maps.sitemap", F.array().cast("array<string>")).alias("sitemaps"),
-        )
+        ),
+        "policies",
+    )
+
+
+def first_long_rules(urls_of_sites: DataFrame, long: DataFrame) -> DataFrame:
+    """``(site, text, allow)``: of the rules in ``long (site, rules)`` the first in file order that begins each text.
+
+    ``urls_of_sites`` holds ``site, text``.  One equi-join on site and prefix; of rules with one path the first counts.
+    """
+    rules = long.select("site", F.explode("rules").alias("rule")).groupBy("site", F.col("rule.path").alias("prefix")).agg(
+        F.min(F.struct("rule.pos", "rule.allow")).alias("first")
+    )
+    lengths = rules.groupBy("site").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    reached = F.filter("lengths", lambda n: n <= F.length("text"))
+    prefixes = (
+        urls_of_sites.join(lengths, "site").select("site", "text").distinct()
+        .join(lengths, "site")
+        .select("site", "text", F.explode(reached).alias("n"))
+        .select("site", "text", F.expr("left(text, n)").alias("prefix"))
     )
+    return prefixes.join(rules, ["site", "prefix"]).groupBy("site", "text").agg(F.min("first").alias("first")).select("site", "text", "first.allow")
 
 
 def with_decision(
@@ -176,11 +201,20 @@ def with_decision(
     text = F.regexp_replace(urls.percent_decoded(urls.cleaned(F.col(url))), r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
     text = _plain(F.regexp_replace(text, "^//[^/?#]*", ""))
     text = F.when(text == "", F.lit("/")).when(text.startswith("//"), F.concat(F.lit("//"), text)).otherwise(text)
-    df = df.withColumn("__text", text).join(policies.withColumnRenamed("site", "__site"), F.col("site") == F.col("__site"), "left")
+    df = df.withColumn("__text", text)
+    few = F.coalesce(F.size("rules") <= FEW_RULES, F.lit(True))
+    long = policies.where(~few).select("site", "rules")
+    by_index = F.lit(None).cast("boolean")
+    if not long.isEmpty():
+        found = first_long_rules(df.select("site", F.col("__text").alias("text")), long)
+        df = df.join(found.select(F.col("site").alias("__s"), F.col("text").alias("__t"), F.col("allow").alias("__allow")), (F.col("site") == F.col("__s")) & (F.col("__text") == F.col("__t")), "left").drop("__s", "__t")
+        by_index = F.col("__allow")
+    known = policies.withColumn("rules", F.when(few, F.col("rules"))).withColumnRenamed("site", "__site")
+    df = df.join(known, F.col("site") == F.col("__site"), "left")
     first = F.try_element_at(F.filter("rules", lambda r: F.startswith(F.col("__text"), r["path"])), F.lit(1))
-    df = df.withColumn("__rule", first)
+    df = df.withColumn("__rule", F.coalesce(first["allow"], by_index))
     denied, listed = F.coalesce("denied", F.lit(False)), F.coalesce(F.array_contains("sitemaps", F.col(url)), F.lit(False))
-    by_rule = F.coalesce("__rule.allow", F.lit(True))
+    by_rule = F.coalesce("__rule", F.lit(True))
     common = path.rlike("(?:" + "|".join(p.replace(".", "\\.") for p in COMMON_SITEMAPS) + ")\\z")
     hidden = F.lit(True) if policy_403 == "allow" else path.isin(OPEN_PATHS)
     root = path.isin("", "/")
@@ -193,7 +227,7 @@ def with_decision(
         .otherwise(F.lit("rule"))
     )
     df = df.withColumn("allowed", F.when(denied, hidden).otherwise(listed | by_rule | common | root)).withColumn("why", why)
-    return urls.drop_parts(df, "__u_").drop("__text", "__rule", "__site", "denied", "rules", "crawl_delay", "sitemaps")
+    return urls.drop_parts(df, "__u_").drop("__text", "__rule", "__allow", "__site", "denied", "rules", "crawl_delay", "sitemaps")
 
 
 def robots_audit(decided: DataFrame) -> DataFrame:

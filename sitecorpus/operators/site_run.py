@@ -63,7 +63,7 @@ def listed_urls(roots: DataFrame, pages: DataFrame, robots_docs: DataFrame, site
     ``roots`` holds ``root_url, root_netloc``; ``pages`` holds ``page_id, url, html, ok`` with one row per crawl key.
     A root without a sitemap is crawled; one without any URL keeps a row without one.
     """
-    policies = cut(robots.site_policies(robots_docs, rules.agent), "policies")
+    policies = robots.site_policies(robots_docs, rules.agent)
     docs = cut(with_sitemap_test(sitemap_docs), "sitemaps")
     open_docs = robots.with_decision(docs, policies, policy_403=rules.policy_403, respect=rules.respect_robots).where("allowed").select("url", "body", "valid")
     candidates = sitemaps.sitemap_candidates(roots, policies if rules.respect_robots else None)

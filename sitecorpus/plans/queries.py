@@ -93,7 +93,7 @@ def _site(spark, sf):
 def _walked(spark, sf, ordered=False):
     """What a crawl under the robots files visits, and the site it walks."""
     pages, _, site, roots = _site(spark, sf)
-    policies = cut(_policies(pages), "policies")
+    policies = _policies(pages)
     return crawl.crawl(roots, crawl.crawl_edges(site), DEPTH, ordered, policies=policies), site
 
 
@@ -126,7 +126,7 @@ def _sitemaps(spark, sf):
     ranked = fixtures.ranked_pages(pages)
     roots = fixtures.site_roots(pages, ranked)
     docs = cut(snapshots.with_sitemap_test(fixtures.sitemap_docs(pages, ranked)), "sitemaps")
-    policies = cut(_policies(pages), "policies")
+    policies = _policies(pages)
     open_docs = robots.with_decision(docs, policies).where("allowed").select("url", "body", "valid")
     chosen = sitemaps.chosen_sitemaps(sitemaps.sitemap_candidates(roots, policies), open_docs)
     return pages, ranked, roots, chosen, sitemaps.sitemap_locs(open_docs)

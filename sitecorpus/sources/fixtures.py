@@ -85,7 +85,13 @@ def sites(pages: DataFrame) -> DataFrame:
     )
 
 
+LONG_FILE = (
+    "User-agent: SiteCorpus\nAllow: /en/1\n" + "".join(f"Disallow: /x{i % 50}/{i}\nAllow: /de/{i}\n" for i in range(40)) + "Disallow: /en/\nDisallow: /de\n"
+)
+
+
 def robots_docs(pages: DataFrame) -> DataFrame:
+    """A robots file or an answer without one for each site, by ``n % 5``; some have long files, some answer with 401 or 503."""
     kind = F.col("n") % 5
     body = (
         F.when(
@@ -98,6 +104,7 @@ def robots_docs(pages: DataFrame) -> DataFrame:
                 F.lit("/sitemap.xml\n"),
             ),
         )
+        .when(F.col("n") % 10 == 6, F.lit(LONG_FILE))
         .when(
             kind == 1,
             F.lit(
@@ -108,7 +115,7 @@ def robots_docs(pages: DataFrame) -> DataFrame:
         .when(kind == 2, F.lit("# none\nUser-agent: *  # all\nDisallow:\nCrawl-delay: 1.5\n"))
         .otherwise(F.lit(""))
     )
-    status = F.when(kind == 3, 403).when(kind == 4, 404).otherwise(200)
+    status = F.when(kind == 3, 403).when(F.col("n") % 20 == 9, 503).when(F.col("n") % 20 == 19, 401).when(kind == 4, 404).otherwise(200)
     return sites(pages).select("site", status.alias("status"), body.alias("body"))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from urllib.robotparser import RobotFileParser
 
 from pyspark.sql import functions as F
@@ -68,6 +69,46 @@ def test_fetch_status(spark):
     assert all(r.allowed for r in robots.with_decision(urls, pol, respect=False).collect())
 
 
+def test_long_files_equal_short_ones(spark, monkeypatch):
+    """Rules met by prefixes decide as rules tried one by one, and as the library does."""
+    rng = random.Random(9)
+    parts = ["/", "/a", "/b/", "a", "b/", "/c?x=1", "%61", "é"]
+    site_rules, bodies = {}, []
+
+    def path(n):
+        return re.sub("/+", "/", "/" + "".join(rng.choice(parts) for _ in range(n)))
+
+    for site, n in (("http://long", 300), ("http://longer", 900), ("http://short", 5)):
+        rules = ["Disallow:" if rng.random() < 0.01 else f"{rng.choice(['Allow', 'Disallow'])}: {path(rng.randint(1, 5))}" for _ in range(n)]
+        site_rules[site] = rules
+        bodies.append((site, 200, "User-agent: *\n" + "\n".join(rules)))
+    urls = [site + path(rng.randint(0, 6)) for site in site_rules for _ in range(150)] + ["http://other/x", "http://long"]
+    frame = spark.createDataFrame([(u,) for u in urls + urls[:40]], "url string")
+    policies = robots.site_policies(spark.createDataFrame(bodies, "site string, status int, body string"), "Bot/1")
+    got = {}
+    for few in (0, 64, 10**6):
+        monkeypatch.setattr(robots, "FEW_RULES", few)
+        rows = robots.with_decision(frame, policies).collect()
+        assert len(rows) == len(urls) + 40
+        got[few] = {r.url: (r.allowed, r.why) for r in rows}
+    assert got[0] == got[64] == got[10**6]
+    for site, rules in site_rules.items():
+        parser = RobotFileParser()
+        parser.parse(("User-agent: *\n" + "\n".join(rules)).splitlines())
+        for u in urls:
+            if u.startswith(site + "/") and u != site + "/":
+                assert got[64][u][0] == parser.can_fetch("Bot/1", u), u
+
+
+def test_long_files_are_met_by_an_equi_join(spark):
+    long = spark.createDataFrame([("http://l", [(i, False, f"/{i}") for i in range(100)])], "site string, rules array<struct<pos: int, allow: boolean, path: string>>")
+    urls_ = spark.createDataFrame([("http://l", "/17/x"), ("http://l", "/x")], "site string, text string")
+    found = robots.first_long_rules(urls_, long)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [(r.text, r.allow) for r in found.collect()] == [("/17/x", False)]
+
+
 def brute_schedule(rows, crawl_delay, delay, max_delay):
     start, clock = {}, {}
     for seq, url, status in sorted(rows):
