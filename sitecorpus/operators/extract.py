@@ -215,10 +215,6 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
     )
     item_text = (tag == "p") & (kind == "open") & (F.col("previous.tag") == "li") & (F.col("previous.kind") == "open")
     starts_block = tag.isin(BLOCK_TAGS) & ~F.coalesce(item_text, F.lit(False))
-    # One bit per list level tells ordered lists; the list's own tags switch it, which no depth can overflow.
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest("list_depth", F.lit(0)), F.lit(60)).cast("int"))
-    above = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(F.col("list_depth") + 1, F.lit(0)), F.lit(60)).cast("int"))
-    ordered = F.when((tag == "ol") & (kind == "open"), bit).when((tag == "ol") & F.col("paired"), above).otherwise(F.lit(0).cast("long"))
     is_anchor = tag == "a"
     tokens = tokens.withColumns(
         {
@@ -227,12 +223,10 @@ def marked_tokens(pages: DataFrame, options: Options = Options(), keep: tuple[st
             "anchor_note": is_anchor & F.coalesce(F.col("anchor.note") != "", F.lit(False)),
             "in_note": F.col("in_anchor") & F.coalesce(F.col("anchor.note") != "", F.lit(False)),
             "starts_block": F.when(starts_block, 1).otherwise(0),
-            "ordered": ordered,
         }
     ).drop("anchor", "in_anchor", "previous")
     tokens = tokens.withColumns(
         {
-            "ordered_bits": F.bit_xor("ordered").over(upto),
             "block": F.sum("starts_block").over(upto),
         }
     ).drop("removed", "staying", "paired")
@@ -286,16 +280,18 @@ def markdown_piece(options: Options) -> Column:
     )
 
 
-def page_blocks(marked: DataFrame, options: Options, piece: Column, role: Column) -> DataFrame:
+def page_blocks(marked: DataFrame, options: Options, piece: Column, role: Column, lists: bool = False) -> DataFrame:
     """The kept tokens of each block, its features, and whether it scores too low.
 
     A block runs from one block-level tag to the next.  It is low if more than
     half of its words are link text, or if it has under five words, no
     punctuation and is not of a kind that may be short; blocks with an image
-    stay.
+    stay.  With ``lists`` each block knows the tag of its innermost list as ``list_tag``,
+    also of one that opens outside the kept tokens.
     """
     text, kind = F.col("text"), F.col("kind")
-    kept = marked.where("in_main and rule is null")
+    keeps = F.col("in_main") & F.col("rule").isNull()
+    kept = marked if lists else marked.where(keeps)
     words = F.when(kind == "text", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).otherwise(0)
     in_text_link = F.col("in_link") & (kind == "text")
 
@@ -305,21 +301,24 @@ def page_blocks(marked: DataFrame, options: Options, piece: Column, role: Column
         )
 
     blocks = (
-        kept.withColumns({"piece": piece, "role": role})
+        kept.withColumns({"piece": F.when(keeps, piece), "role": F.when(keeps, role)})
         .groupBy("page_id", "block")
         .agg(
-            F.min(F.struct("pos", "kind", "tag", "list_depth", "ordered_bits", "quote_depth", "pre_depth")).alias("head"),
-            F.sum(words).alias("words"),
-            F.sum(F.when(in_text_link, words).otherwise(0)).alias("link_words"),
-            F.coalesce(F.max(F.when(kind == "text", text.rlike("[.,;:!?]"))), F.lit(False)).alias("punctuated"),
-            F.max(F.col("tag") == "img").alias("has_image"),
-            F.max("lang").alias("lang"),
+            F.min(F.when(keeps, F.struct("pos", "kind", "tag", "list_depth", "quote_depth", "pre_depth"))).alias("head"),
+            # A list's tags start blocks, so its depth is one in a block.
+            F.min("list_depth").alias("list_depth"),
+            F.max(F.when(F.col("tag").isin("ul", "ol") & (kind == "open"), F.col("tag"))).alias("opened_list"),
+            F.sum(F.when(keeps, words)).alias("words"),
+            F.sum(F.when(keeps & in_text_link, words).otherwise(0)).alias("link_words"),
+            F.coalesce(F.max(F.when(keeps & (kind == "text"), text.rlike("[.,;:!?]"))), F.lit(False)).alias("punctuated"),
+            F.max(F.when(keeps, F.col("tag") == "img")).alias("has_image"),
+            F.max(F.when(keeps, F.col("lang"))).alias("lang"),
             balance("strong").alias("strong"),
             balance("em").alias("em"),
             balance("code").alias("code"),
             balance("link").alias("link"),
-            F.sum(F.length("text")).alias("chars"),
-            F.count("*").alias("tokens"),
+            F.sum(F.when(keeps, F.length("text"))).alias("chars"),
+            F.count_if(keeps).alias("tokens"),
             F.collect_list(
                 F.when(
                     F.col("piece") != "",
@@ -328,6 +327,10 @@ def page_blocks(marked: DataFrame, options: Options, piece: Column, role: Column
             ).alias("pieces"),
         )
     )
+    if lists:
+        # The latest list that opened at this depth; blocks are far fewer than tokens.
+        level = Window.partitionBy("page_id", "list_depth").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        blocks = blocks.withColumn("list_tag", F.last("opened_list", ignorenulls=True).over(level)).where("head is not null")
     short = (F.col("words") < 5) & ~F.col("punctuated") & ~(
         F.col("head.tag").isin(SHORT_BLOCKS) & (F.col("head.kind") == "open")
     )

@@ -47,8 +47,7 @@ def _markdown_blocks(blocks: DataFrame, options: Options) -> DataFrame:
     if options.standardize:
         level = F.greatest(level, F.lit(2))
     depth = F.greatest(head["list_depth"], F.lit(0)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(depth, F.lit(60)))
-    bullet = F.when(head["ordered_bits"].bitwiseAND(bit) != 0, F.lit("1. ")).otherwise(F.lit("- "))
+    bullet = F.when((depth > 0) & (F.col("list_tag") == "ol"), F.lit("1. ")).otherwise(F.lit("- "))
     lead = (
         F.when(is_heading, F.concat(F.repeat(F.lit("#"), level), F.lit(" ")))
         .when(opens & (head["tag"] == "li"), F.concat(F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), bullet))
@@ -121,7 +120,7 @@ def rendered_pages(pages: DataFrame, fmt: str = "markdown", options: Options = O
         raise ValueError(f"unknown format {fmt!r}")
     if fmt == "markdown":
         marked = marked_tokens(pages, options)
-        blocks = _markdown_blocks(page_blocks(marked, options, markdown_piece(options), _role(options)), options)
+        blocks = _markdown_blocks(page_blocks(marked, options, markdown_piece(options), _role(options), lists=True), options)
         blocks = blocks.withColumn("frame", F.lit(""))
     else:
         marked = marked_tokens(pages, options, keep=("raw", "attr_list"))

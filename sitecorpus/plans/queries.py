@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sitecorpus.checkpoints import checkpoint_root, cut
 from sitecorpus.functions import urls
-from sitecorpus.operators import crawl, documents, export, extract, links, metadata, pacing, render, robots, sitemaps, tokens
+from sitecorpus.operators import crawl, documents, export, extract, links, metadata, pacing, render, robots, sitemaps, stored, tokens
 from sitecorpus.operators import site_run as site_runs
 from sitecorpus.sources import fixtures, snapshots
 
@@ -327,8 +327,16 @@ def path_collisions_html(spark, sf):
 
 def merged_run(spark, sf):
     pages = pages_of(spark, sf)
-    stored = documents.assigned_paths(fixtures.run_one(pages)).select("path", "url", "content")
-    return documents.merged_documents(cut(stored, "stored-documents"), fixtures.run_two(pages)).select("path", "content", "state")
+    first = documents.assigned_paths(fixtures.run_one(pages)).select("path", "url", "content")
+    return documents.merged_documents(cut(first, "stored-documents"), fixtures.run_two(pages)).select("path", "content", "state")
+
+
+def upserted_run(spark, sf):
+    """The same two runs over a stored table, of which the second rewrites the buckets it touches."""
+    pages, target = pages_of(spark, sf), _path(spark, "stored")
+    stored.create(fixtures.run_one(pages), target)
+    stored.upsert(fixtures.run_two(pages), target)
+    return stored.current(spark, target).select("path", "content")
 
 
 def page_documents(spark, sf):
@@ -472,6 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "path_collisions": path_collisions,
     "path_collisions_html": path_collisions_html,
     "merged_run": merged_run,
+    "upserted_run": upserted_run,
     "page_documents": page_documents,
     "saved_documents": saved_documents,
     "site_export": site_export,
