@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -273,7 +274,10 @@ def metadata_only(spark, sf):
 
 
 def page_property(spark, sf):
-    return render.page_property(rich_of(spark, sf), "author")
+    """Some properties, each asked for alone."""
+    pages = rich_of(spark, sf)
+    one = [render.page_property(pages, name).select("page_id", F.lit(name).alias("name"), "value") for name in ("author", "description", "published", "site", "image", "title")]
+    return functools.reduce(DataFrame.unionByName, one)
 
 
 def markdown(spark, sf):
@@ -297,7 +301,7 @@ def json_pages(spark, sf):
 
 
 def skipped_pages(spark, sf):
-    return render.rendered_pages(rich_of(spark, sf)).where("not ok").select("page_id", "ok")
+    return render.rendered_pages(fixtures.with_blank_copies(rich_of(spark, sf))).select("page_id", "ok")
 
 
 # Documents
@@ -311,29 +315,36 @@ def document_paths_json(spark, sf):
 
 
 def front_matter(spark, sf):
-    df = metadata.page_metadata(rich_of(spark, sf)).where("has_html")
-    df = df.withColumn("content", F.concat(F.lit("---\nold: header\n---\n\n# Text of "), F.col("page_id").cast("string"), F.lit("\n\nbody")))
+    """Rendered pages under an old header, some without a title."""
+    df = render.rendered_pages(rich_of(spark, sf), "markdown", extract.Options(standardize=False)).where("ok")
+    df = df.withColumn("content", F.concat(F.lit("---\nold: header\n---\n\n"), "content"))
     df = df.withColumn("title", F.when(F.col("page_id") % 3 != 0, F.col("title")))
     return documents.with_front_matter(df, "2024-01-01T00:00:00", stored=True).select("page_id", "document")
 
 
+def _texts(spark, sf):
+    """The text of every page, empty where there is none."""
+    rendered = render.rendered_pages(pages_of(spark, sf)).select("page_id", "url", F.coalesce("content", F.lit("")).alias("content"))
+    return cut(rendered, "texts")
+
+
 def path_collisions(spark, sf):
-    return documents.assigned_paths(fixtures.run_one(pages_of(spark, sf))).select("path", "seq", "content")
+    return documents.assigned_paths(fixtures.run_one(_texts(spark, sf))).select("path", "seq", "content")
 
 
 def path_collisions_html(spark, sf):
-    return documents.assigned_paths(fixtures.run_one(pages_of(spark, sf)), "html").select("path", "seq")
+    return documents.assigned_paths(fixtures.run_one(_texts(spark, sf)), "html").select("path", "seq", "content")
 
 
 def merged_run(spark, sf):
-    pages = pages_of(spark, sf)
+    pages = _texts(spark, sf)
     first = documents.assigned_paths(fixtures.run_one(pages)).select("path", "url", "content")
     return documents.merged_documents(cut(first, "stored-documents"), fixtures.run_two(pages)).select("path", "content", "state")
 
 
 def upserted_run(spark, sf):
     """The same two runs over a stored table, of which the second rewrites the buckets it touches."""
-    pages, target = pages_of(spark, sf), _path(spark, "stored")
+    pages, target = _texts(spark, sf), _path(spark, "stored")
     stored.create(fixtures.run_one(pages), target)
     stored.upsert(fixtures.run_two(pages), target)
     return stored.current(spark, target).select("path", "content")

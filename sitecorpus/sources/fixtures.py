@@ -244,20 +244,22 @@ def _filled(template: str) -> Column:
 
 
 def rich_pages(pages: DataFrame) -> DataFrame:
-    """Pages with metadata, images, code, lists and hidden parts; every tenth is blank."""
+    """All pages with metadata, images, code, lists and hidden parts."""
     og_title = F.when(F.col("page_id") % 2 == 0, _filled('<meta property="og:title" content="Title &quot;{id}&quot;">')).otherwise(F.lit(""))
     html = F.replace("html", F.lit("</head>"), F.concat(og_title, _filled(HEAD), F.lit("</head>")))
     html = F.replace(html, F.lit("</article>"), F.concat(_filled(BODY), F.lit("</article>")))
-    return pages.select(
-        "page_id", "url", F.when(F.col("page_id") % 10 == 0, F.lit("  \n ")).otherwise(html).alias("html")
-    )
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def with_blank_copies(pages: DataFrame) -> DataFrame:
+    """The pages, and a copy without text of every tenth under an id of its own."""
+    blank = pages.where("page_id % 10 = 0").select((-1 - F.col("page_id")).alias("page_id"), "url", F.lit("  \n ").alias("html"))
+    return pages.unionByName(blank)
 
 
 def run_one(pages: DataFrame) -> DataFrame:
-    """A first run over all pages, in page order."""
-    return pages.select(
-        F.col("page_id").alias("seq"), "url", F.concat(F.lit("text of "), F.col("page_id").cast("string")).alias("content")
-    )
+    """A first run over all pages ``(page_id, url, content)``, in page order."""
+    return pages.select(F.col("page_id").alias("seq"), "url", "content")
 
 
 def run_two(pages: DataFrame) -> DataFrame:
@@ -267,7 +269,7 @@ def run_two(pages: DataFrame) -> DataFrame:
         F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/")))
         .otherwise(F.regexp_replace("url", "//www\\.", "//"))
         .alias("url"),
-        F.concat(F.lit("new text of "), F.col("page_id").cast("string")).alias("content"),
+        F.concat(F.lit("New.\n\n"), "content").alias("content"),
     )
     other = F.when(F.col("url").startswith("https:"), F.regexp_replace("url", "^https:", "http:")).otherwise(
         F.regexp_replace("url", "^http:", "https:")
@@ -275,6 +277,6 @@ def run_two(pages: DataFrame) -> DataFrame:
     twins = pages.where("page_id % 10 = 1").select(
         (F.col("page_id") + 10_000_000_000).alias("seq"),
         other.alias("url"),
-        F.concat(F.lit("twin of "), F.col("page_id").cast("string")).alias("content"),
+        F.concat(F.lit("Twin.\n\n"), "content").alias("content"),
     )
     return again.unionByName(twins)
