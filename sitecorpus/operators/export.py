@@ -26,8 +26,9 @@ def site_export(pages: DataFrame, generated_at: str | None = None) -> DataFrame:
     the fields of ``PAGE_KEYS`` it has.  The lines of a root, in order of ``seq``,
     are one JSON document: an opening line, one line per page, a closing line.
     A site of any size stays many rows; only its count and last place are
-    aggregated.
+    aggregated.  The pages are written first, so that they are extracted once.
     """
+    pages = cut(pages.select("root_url", "seq", *sorted({f for f in PAGE_KEYS.values() if f in pages.columns})), "export-pages")
     fields = [
         (F.col(field) if field in pages.columns else F.lit(None).cast("string")).alias(key)
         for key, field in PAGE_KEYS.items()

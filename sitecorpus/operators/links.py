@@ -10,7 +10,7 @@ from sitecorpus.functions import markup, urls
 ANCHORS = markup.any_of(
     markup.COMMENT, markup.raw_element("script"), markup.raw_element("style"), r"a[\s/]" + markup.TAG_BODY + ">"
 )
-# The tolerant form also takes tags whose name only starts with "a".
+# Fixed value: the tolerant pattern; it also takes tags whose name only starts with "a".
 LOOSE_ANCHOR = r"""(?i)<a[^>]+href=["']([^"']+)["'][^>]*>"""
 
 

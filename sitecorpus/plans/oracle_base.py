@@ -64,16 +64,19 @@ def attr(tag: str, name: str) -> str:
     return decode(rf"regexp_replace({found}, '^[\x22'']|[\x22'']$', '', 'g')")
 
 
-def anchors(pages: str) -> str:
-    """Followable links of a table with page_id, url and html, in document order."""
+def anchors(pages: str, tolerant: bool = False) -> str:
+    """Followable links of a table with page_id, url and html, in document order; ``tolerant`` by the fallback's pattern."""
     tags = (
         "list_filter(regexp_extract_all(html, "
         r"'(?is)<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)|<a\s[^>]*>'"
         "), lambda t: lower(t[1:2]) = '<a')"
     )
+    href = attr("tag", "href")
+    if tolerant:
+        tags, href = r"""regexp_extract_all(html, '(?i)<a[^>]+href=[\x22\x27]([^\x22\x27]+)[\x22\x27][^>]*>', 1)""", "tag"
     return rf"""
 SELECT page_id, url, pos, href, b_netloc, p_scheme AS t_scheme, p_netloc AS target_netloc, p_path AS t_path,
-  CASE WHEN p_netloc = '' THEN href ELSE {key_of('p_scheme', 'p_netloc', 'p_path', 'p_query')} END AS target
+  {key_of('p_scheme', 'p_netloc', 'p_path', 'p_query')} AS target
 FROM (
   SELECT *, {part('full_url', 1)} AS p_scheme, {part('full_url', 2)} AS p_netloc, {part('full_url', 3)} AS p_path, {part('full_url', 4)} AS p_query
   FROM (
@@ -83,7 +86,7 @@ FROM (
         WHEN href LIKE '?%' THEN b_scheme || '://' || b_netloc || b_path || href
         ELSE b_scheme || '://' || b_netloc || regexp_replace(b_path, '[^/]*$', '') || href END AS full_url
     FROM (
-      SELECT page_id, url, pos, {attr('tag', 'href')} AS href,
+      SELECT page_id, url, pos, {href} AS href,
         lower({part('url', 1)}) AS b_scheme, {part('url', 2)} AS b_netloc, {part('url', 3)} AS b_path
       FROM (SELECT page_id, url, unnest(tags) AS tag, (generate_subscripts(tags, 1) - 1)::INT AS pos
             FROM (SELECT page_id, url, {tags} AS tags FROM {pages}))
