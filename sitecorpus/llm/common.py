@@ -71,20 +71,28 @@ def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
+#: Primes and multipliers of the two polynomials that make a span's hash.
+_FIELDS = [((1 << 31) - 1, 0x4F1BBCDC), ((1 << 31) - 19, 0x2545F491)]
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS["up"]) < n:
+def _series(base: int, prime: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo ``prime``."""
+    out = np.ones(n, np.uint32)
+    done = 1
+    while done < n:
+        more = out[: min(done, n - done)].astype(np.uint64) * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        out[done : done + len(more)] = more
+        done += len(more)
+    return out
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field the powers of its multiplier and of the inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         size = max(n, GROUP_BYTES + 1024)
-        inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-        for name, base in (("up", _MULTIPLIER), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+        _POWERS[:] = [(_series(base, prime, size), _series(pow(base, -1, prime), prime, size)) for prime, base in _FIELDS]
+    return _POWERS
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,12 +105,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values`` (64-bit, already spread); equal content gives equal hashes."""
-    up, down = _powers(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 62-bit hash of each span of ``values`` (64-bit, already spread), its bits spread; equal content gives equal hashes.
+
+    Two polynomials modulo primes; modulo a power of two, regular words of two letters would collide for any multiplier.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    for (prime, _), (up, down) in zip(_FIELDS, _powers(len(values) + 1), strict=True):
+        p = np.uint64(prime)
+        np.cumsum(values % p * up[: len(values)] % p, out=sums[1:])
+        out = (out << np.uint64(31)) | ((sums[ends] - sums[starts]) % p * down[starts] % p)
+    return mix(out)
 
 
 class Alphabet:
