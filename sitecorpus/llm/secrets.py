@@ -6,16 +6,18 @@ of characters, one of random strings and one of ordinary words and identifiers:
 at least ``LONG`` token characters is a further span if the log-likelihood ratio of its
 character pairs is ``LEAST_RATIO`` or more and it touches no base span.
 
-Both models are trained on labelled samples taken from at most ``SAMPLE`` documents (those
-whose hashed texts are smallest): values of base spans count as random, other runs
-of token characters as ordinary.  Only the counts of character pairs, whose number
-the alphabet bounds, come to the driver.  Without a random sample no spans are added.
+Both models are trained on labelled samples taken from about ``SAMPLE`` distinct texts (those
+whose hashes lie below a share that follows from the number of distinct texts, so every task picks its
+own): values of base spans count as random, other runs of token characters as ordinary.  Only the
+counts of character pairs, whose number the alphabet bounds, come to the driver.  Without a random
+sample no spans are added.
 
 Places are counted in code points, ends are exclusive.  The places of a document's matches
 come from the lengths of the matches and of what stands between them.
 
 Defined cases: NULL and empty texts have no spans; texts are searched whole; repeated
-documents are each searched; the output column replaces one of its name.
+documents are each searched, and their text is learnt from once; spans of equal start come in the order of
+their kinds; an empty table gives an empty table; the output column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ LONG = 16
 ORDINARY = 5
 RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LONG},}}+"
 SAMPLE = 20_000
+#: Places over which texts are spread by hash to draw the sample.
+PLACES = 1 << 40
 LEAST_RATIO = 12.0
 
 
@@ -85,9 +89,11 @@ def _pairs(of: Column) -> Column:
 
 
 def samples(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``random, value``: the labelled strings of the sampled documents."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = docs.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).orderBy(F.xxhash64("text"), F.length("text")).limit(sample).repartition(tasks)
+    """``random, value``: the labelled strings of about ``sample`` distinct texts."""
+    texts = docs.select(F.col(text).alias("text")).where(F.length(text) > 0)
+    place = F.pmod(F.xxhash64("text"), F.lit(PLACES))
+    n_texts = texts.agg(F.approx_count_distinct(F.xxhash64("text"))).head()[0]
+    some = texts.where(place < F.lit(math.ceil(PLACES * min(1.0, sample / max(1, n_texts))))).distinct()
     rest = F.col("text")
     for _, pattern, _, _ in KINDS:
         rest = F.regexp_replace(rest, pattern, " ")
