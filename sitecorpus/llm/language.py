@@ -8,14 +8,16 @@ all cuts).  A text's score is the sum over its words; the prediction is the lang
 makes the text likeliest, and ``score`` its share under equal priors.
 
 The fit takes about ``SAMPLE`` labelled documents of each language (all if there are
-fewer), chosen by hashed ids.  Words count from white space to white space; runs of
-over ``LONGEST`` characters are cut there.  Characters outside the vocabulary have a
-fixed small probability.
+fewer), chosen by hash of id and text.  Words count from white space to white space, at any
+length: those of over ``SHORT`` characters are summed in a window of the longest piece whose
+values are scaled as it moves on, so nothing underflows.  In the fit alone, words are cut
+every ``LONGEST`` characters.  Characters outside the vocabulary have a fixed small probability.
 
 Defined cases: a NULL text or one without a letter is ``und`` with score 0; without
 labelled documents every text is; documents whose language is NULL are not learnt from;
 equal scores go to the language first in order; texts are scored whole; repeated rows are
-each scored (and learnt from); the output column replaces one of its name.
+each scored; rows without an id are learnt from in the same share as others (rows equal in id and text
+together or not at all); an empty table gives an empty table; the output column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from sitecorpus.llm.common import as_bytes, groups, mix, ship
 SAMPLE = 600
 ROUNDS = 3
 LONGEST = 40
+#: Characters up to which a product of probabilities needs no scaling; steps between two scalings; characters of long words handled at once.
+SHORT = 30
+SCALED = 8
+AT_ONCE = 1 << 16
 UNKNOWN = 1e-7
 SMOOTHING = 0.02
 #: Words that a worker's table holds.
@@ -57,11 +63,10 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
-        self.longest = min(max(map(len, pieces), default=1), LONGEST)
+        self.longest = max(map(len, pieces), default=1)
         by_length = defaultdict(list)
         for i, piece in enumerate(pieces):
-            if len(piece) <= self.longest:
-                by_length[len(piece)].append((i, piece))
+            by_length[len(piece)].append((i, piece))
         self.tables = {}
         for length, some in by_length.items():
             keys = self._keys(codes([p for _, p in some], length))
@@ -85,14 +90,34 @@ class Pieces:
                 keys = mix(keys + matrix[:, j - 1] + np.uint64(1))
                 if j - i not in self.tables:
                     continue
-                known, ids = self.tables[j - i]
-                at = np.searchsorted(known, keys)
-                at[at == len(known)] = 0
-                hit = known[at] == keys
-                if j == i + 1:
-                    out.append((i, j, np.where(hit, ids[at], self.size)))
-                elif hit.any():
-                    out.append((i, j, np.where(hit, ids[at], self.size + 1)))
+                ids, hit = self._looked_up(keys, j - i)
+                if j == i + 1 or hit.any():
+                    out.append((i, j, ids))
+        return out
+
+    def _looked_up(self, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each key among those of this length, and whether there is one."""
+        known, ids = self.tables[length]
+        at = np.searchsorted(known, keys)
+        at[at == len(known)] = 0
+        hit = known[at] == keys
+        return np.where(hit, ids[at], self.size + (length > 1)), hit
+
+    def starting(self, matrix: np.ndarray, count: int) -> list[list[tuple[int, np.ndarray]]]:
+        """For each of the first ``count`` places the lengths of pieces that start there in any word, with the piece of each word."""
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(count)]
+        keys = np.zeros((len(matrix), count), np.uint64)
+        for length in range(1, min(self.longest, matrix.shape[1]) + 1):
+            wide = min(count, matrix.shape[1] - length + 1)
+            keys = mix(keys[:, :wide] + matrix[:, length - 1 : length - 1 + wide] + np.uint64(1))
+            if length not in self.tables:
+                if length == 1:
+                    for place in range(wide):
+                        out[place].append((1, np.full(len(matrix), self.size)))
+                continue
+            ids, hit = self._looked_up(keys, length)
+            for place in range(wide) if length == 1 else np.flatnonzero(hit.any(axis=0)).tolist():
+                out[place].append((length, ids[:, place]))
         return out
 
 
@@ -108,7 +133,7 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
 
 
 def marked(word: str) -> list[str]:
-    """The word with the sign of its start, cut after every ``LONGEST`` characters."""
+    """The word with the sign of its start, cut after every ``LONGEST`` characters for the fit."""
     word = SPACE_MARK + word
     return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
 
@@ -123,21 +148,58 @@ class Model:
 
     def word_logs(self, words: list[str]) -> np.ndarray:
         """The log probability of every word in every language."""
-        parts, owner = [], []
-        for i, word in enumerate(words):
-            for part in marked(word):
-                parts.append(part)
-                owner.append(i)
+        words = [SPACE_MARK + w for w in words]
         out = np.zeros((len(words), len(self.langs)))
-        for length, where in by_length(parts).items():
+        long = []
+        for length, where in by_length(words).items():
+            if length > SHORT:
+                long += where
+                continue
             for k in range(0, len(where), 4096):
                 some = where[k : k + 4096]
                 ways = [None] * (length + 1)
                 ways[0] = np.ones((len(some), len(self.langs)))
-                for i, j, ids in self.pieces.found(codes([parts[x] for x in some], length)):
+                for i, j, ids in self.pieces.found(codes([words[x] for x in some], length)):
                     more = ways[i] * self.table[ids]
                     ways[j] = more if ways[j] is None else ways[j] + more
-                np.add.at(out, np.array(owner)[some], np.log(np.maximum(ways[length], 1e-300)))
+                out[some] = np.log(ways[length])
+        long.sort(key=lambda i: len(words[i]))
+        start = 0
+        for k in range(1, len(long) + 1):
+            if k == len(long) or (k + 1 - start) * len(words[long[k]]) > AT_ONCE:
+                some = long[start:k]
+                out[some] = self._long_logs([words[i] for i in some])
+                start = k
+        return out
+
+    def _long_logs(self, words: list[str]) -> np.ndarray:
+        """The same for words of any length, all places from left to right at once; a shorter word is read off where it ends."""
+        sizes = np.array([len(w) for w in words])
+        most, ring = int(sizes.max()), self.pieces.longest + 1
+        ways = np.zeros((ring, len(words), len(self.langs)))
+        ways[0] = 1
+        scale = np.zeros(ways.shape[1:])
+        out = np.empty_like(scale)
+        step = max(1, AT_ONCE // len(words))
+        starting: list = []
+        for place in range(most + 1):
+            if place % step == 0 and place < most:
+                some = [w[place : place + step + ring] for w in words]
+                wide = max(map(len, some))
+                matrix = np.frombuffer("".join(w.ljust(wide, "\0") for w in some).encode("utf-32-le"), np.uint32)
+                starting = self.pieces.starting(matrix.reshape(len(words), wide).astype(np.uint64), min(step, most - place))
+            if place % SCALED == 0:
+                top = ways.max(axis=0)
+                ways /= top
+                scale += np.log(top)
+            now = ways[place % ring].copy()
+            ended = sizes == place
+            if ended.any():
+                out[ended] = np.log(now[ended]) + scale[ended]
+            ways[place % ring] = 0
+            if place < most:
+                for length, ids in starting[place % step]:
+                    ways[(place + length) % ring] += now * self.table[ids]
         return out
 
     def text_logs(self, texts: list[bytes]) -> np.ndarray:
@@ -222,7 +284,7 @@ def train(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return fit(vocabulary(path), [])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, sample / n))), F.col("lang"))
     words = (
         rows.where(place < share)

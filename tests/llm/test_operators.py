@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitecorpus.llm import byte_bpe, decontaminate, jaccard_join, language, orc_ids, quality, queries, recurrent_lm, secrets, token_counts, warc
+from sitecorpus.llm import byte_bpe, common, decontaminate, jaccard_join, language, orc_ids, quality, queries, recurrent_lm, secrets, token_counts, warc
 from sitecorpus.llm.components import components
 
 RANDOM = random.Random(5)
@@ -370,3 +371,92 @@ def test_recurrent_lm_trains_all_frequent_tokens(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_hashes_tell_regular_words_apart(spark, empty):
+    """A string of two letters that alternates by bit counts and its complement, at lengths where polynomials modulo 2 ** 64 meet."""
+    for size in (1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        two = one.translate(str.maketrans("ab", "ba"))
+        for alphabet in (common.PLAIN, common.SPACED):
+            _, _, _, _, hashes = alphabet.of_texts([f"{one} {two} {one}".encode()])
+            assert hashes[0] == hashes[2] != hashes[1]
+        other = f"{one} {one} {two} {one} {two} {two}"
+        counts = quality.Texts([other, f"{one} x y {one} x y"]).counts()
+        assert counts["n_repeat_words"].tolist() == [0, 6]
+        left, right = jaccard_join.shingles([f"{one} {one} {one} {one} {one}".encode(), f"{two} {one} {one} {one} {one}".encode()])
+        assert len(left) == len(right) == 1 and left[0] != right[0]
+
+
+def test_hashes_equal_where_words_are_equal():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 100]).encode() for i in range(0, 4000, 100)]
+    hashes = [h for t in texts for h in common.PLAIN.of_texts([t])[4].tolist()]
+    assert hashes == common.PLAIN.of_texts(texts)[4].tolist()
+    known = dict(zip(words, hashes, strict=True))
+    assert [known[w] for w in words] == hashes and len(set(known.values())) == len(known)
+    big = ("z" * (3 << 20)).encode()
+    assert common.SPACED.of_texts([b"q " + big])[4][1] == common.SPACED.of_texts([big])[4][0]
+
+
+def test_secret_samples_are_drawn_by_every_task(spark):
+    """One text on many rows is one text of the sample, and no task gets the sample of all."""
+    rows = [(i, "token = q8Zr2LmX0pVt7Kd") for i in range(5000)] + [(5000 + i, f"word{i} plain text secret = aB3{i}xZ9qW") for i in range(400)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    all_of_them = secrets.samples(docs, sample=10_000)
+    assert all_of_them.where("random").count() == 401
+    plan = all_of_them._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+    few = secrets.samples(docs, sample=100).where("random").count()
+    assert 50 < few < 160
+    assert secrets.train(docs.limit(0)) is None
+
+
+def test_language_sums_over_all_cuts_of_long_words():
+    """Against the plain sum in exact fractions, at lengths on both sides of every border."""
+    pieces = ["▁", "a", "b", "ab", "ba", "aab", "▁a", "babab"]
+    rng = random.Random(3)
+    table = np.array([[rng.random() / 10 for _ in range(2)] for _ in pieces] + [[1e-7] * 2, [0.0] * 2])
+    model = language.Model(pieces, ["x", "y"], table)
+    words = ["".join(rng.choice("abc" if n % 3 else "ab") for _ in range(n)) for n in (1, 5, 28, 29, 30, 31, 39, 40, 50, 100, 101, 400)]
+    got = model.word_logs(words)
+    for word, row in zip(words, got, strict=True):
+        for lang in range(2):
+            ways = [Fraction(1)] + [Fraction(0)] * (len(word) + 1)
+            marked = "▁" + word
+            for j in range(1, len(marked) + 1):
+                for i in range(max(0, j - 5), j):
+                    piece = marked[i:j]
+                    if piece in pieces:
+                        ways[j] += ways[i] * Fraction(table[pieces.index(piece), lang])
+                    elif j == i + 1:
+                        ways[j] += ways[i] * Fraction(1e-7)
+            want = math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
+            assert row[lang] == pytest.approx(want, rel=1e-9)
+    one_by_one = np.concatenate([model.word_logs([w]) for w in words])
+    assert np.allclose(got, one_by_one, rtol=1e-12)
+
+
+def test_long_words_in_several_windows(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "bba"]
+    table = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.3, 0.2], [0.1, 0.1], [0.05, 0.3], [1e-7, 1e-7], [0, 0]])
+    words = ["ab" * 60 + "c", "abba" * 100, "b" * 35]
+    whole = language.Model(pieces, ["x", "y"], table).word_logs(words)
+    monkeypatch.setattr(language, "AT_ONCE", 7)
+    assert np.allclose(whole, language.Model(pieces, ["x", "y"], table).word_logs(words), rtol=1e-12)
+
+
+def test_language_learns_a_share_of_rows_without_ids(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(None, f"wort{i} haus baum", "de") for i in range(300)] + [(i, f"word{i} house tree", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = language.fit
+    try:
+        language.fit = lambda pieces, words, *rest: seen.append(words) or fit(pieces, words, *rest)
+        language.train(docs, path, sample=30)
+    finally:
+        language.fit = fit
+    learnt = {lang: sum(1 for x in seen[0] if x[0] == lang and x[1][:3] == "wor" and x[1][-1].isdigit()) for lang in ("de", "en")}
+    assert 10 < learnt["de"] < 60 and 10 < learnt["en"] < 60
