@@ -40,6 +40,8 @@ LONGEST = 64
 #: Latin letters before a mark: for a lower-casing tokenizer that cuts letters from marks, two words of its model.
 #: None of these letters has another NFC form, and each lower-cases alone.
 LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:]?)")
+#: The marks of that pattern, each as bytes.
+MARKS = {b".", b",", b";", b":"}
 #: The rules under which white space in ASCII ends every word.
 FIXED_RULES = ["NFC", "Replace", "Lowercase"]
 
@@ -53,7 +55,9 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = np.array([end], "<u4").tobytes()
-        self.cache = Cache(None, cached, LONGEST)
+        self.cached = cached
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.parts = Cache(self._part, cached, LONGEST)
         parts = json.loads(setup)
         rules = [r["type"] for r in (parts.get("normalizer") or {}).get("normalizers", [])]
@@ -69,8 +73,37 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part if part.isascii() else byte_letters(part))]).tobytes()
+    def _part(self, part: bytes) -> bytes:
+        letters = part.decode()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters if part.isascii() else byte_letters(letters))]).tobytes()
+
+    def _latin(self, word: bytes) -> bytes | None:
+        """The ids of Latin letters and at most one mark; None for any other word."""
+        if word.isascii():
+            if word.isalpha():
+                return self.parts[word.lower()]
+            letters, mark = word[:-1], word[-1:]
+            return self.parts[letters.lower()] + self.parts[mark] if letters.isalpha() and mark in MARKS else None
+        match = LETTERS.fullmatch(word.decode())
+        if match is None:
+            return None
+        letters, mark = match.groups()
+        return self.parts[letters.lower().encode()] + (self.parts[mark.encode()] if mark else b"")
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the ids of all these words into the cache."""
+        cache, old, hard = self.cache, self.old, []
+        for w in words:
+            ids = old.get(w)
+            if ids is None and len(w) <= LONGEST:
+                ids = self._latin(w)
+            if ids is None:
+                hard.append(w)
+            else:
+                cache[w] = ids
+        todo = iter(hard)
+        while some := list(islice(todo, 4096)):
+            cache.update(zip(some, self._ids(some), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
@@ -86,32 +119,15 @@ class Encoder:
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        cache, old = self.cache, self.cache.old
-        new: dict[bytes, bytes] = {}
-        for found in words:
-            for w in found:
-                if w not in cache:
-                    new[w] = b""
-        hard = []
+        new = set().union(*words).difference(self.cache)
+        self._learn(new)
+        ids = self.cache.__getitem__
+        out = [b"".join([*map(ids, found), self.end]) for found in words]
         for w in new:
-            if w in old:
-                new[w] = old[w]
-            elif len(w) <= LONGEST and (match := LETTERS.fullmatch(w.decode())):
-                letters, mark = match.groups()
-                new[w] = self.parts[letters.lower()] + (self.parts[mark] if mark else b"")
-            else:
-                hard.append(w)
-        todo = iter(hard)
-        while some := list(islice(todo, 4096)):
-            new.update(zip(some, self._ids(some), strict=True))
-        out = []
-        for found in words:
-            ids = [new[w] if w in new else cache[w] for w in found]
-            ids.append(self.end)
-            out.append(b"".join(ids))
-        for w, ids in new.items():
-            if len(w) <= LONGEST:
-                cache.put(w, ids)
+            if len(w) > LONGEST:
+                del self.cache[w]
+        if len(self.cache) >= self.cached:  # a text with very many words of its own leaves none behind
+            self.old, self.cache = self.cache if len(self.cache) < 2 * self.cached else {}, {}
         return out
 
 
