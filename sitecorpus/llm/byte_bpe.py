@@ -2,7 +2,7 @@
 
 The bytes of a token map to Latin-1 characters, so that an Aho-Corasick
 automaton over the vocabulary finds the longest token at any place.  A piece is
-encoded by taking longest matches; where a token cannot stand beside the one
+encoded by taking longest matches, all in one pass of the automaton as long as they fit; where a token cannot stand beside the one
 before it (the merges would have joined other parts across their border), the
 next shorter token is tried, and if none is left the one before is given up.
 Places found to lead nowhere are marked, so no place is tried twice with the same
@@ -36,6 +36,9 @@ NEIGHBOURS = 500_000
 
 #: A space and what follows it up to white space, or white space as the pattern of the ranks cuts it.
 CHUNK = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
+#: The pattern (a fixed value) under which a chunk of ASCII letters is one piece, and a mark of these after it another.
+LETTER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = {b".", b",", b";", b":", b"!", b"?"}
 #: White space beyond ASCII: such texts are cut by the pattern alone.
 FAR_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -82,6 +85,9 @@ class Codec:
             self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [self._prefix(t) for t in tokens]
+        self.sizes = [len(t) for t in tokens]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
+        self.by_letter = pattern == LETTER_PATTERN
         self.neighbours: dict[int, bool] = {}
         self.pieces = Cache(self._piece, words)
         self.chunks = Cache(self._chunk, words)
@@ -117,34 +123,52 @@ class Codec:
         return known
 
     def piece_ids(self, piece: bytes) -> list[int]:
-        whole = self.rank.get(piece)
-        if whole is not None and len(piece) <= 2:
-            return [whole]
         text, size = piece.decode("latin-1"), len(piece)
-        longest = self.automaton.iter_long
-        dead = bytearray(size + 1)
+        longest, shorter, sizes, known = self.automaton.iter_long, self.shorter, self.sizes, self.neighbours.get
         out: list[int] = []
-        at, token = 0, next(longest(text, 0))[1]
-        while True:
-            end = at + len(self.tokens[token])
-            if not dead[end] and (not out or self._beside(out[-1], token)):
+        dead = None
+        at, last = 0, -1
+        while at < size:
+            for _, token in longest(text, at):
+                end = at + sizes[token]
+                if dead and dead[end]:
+                    break
+                if last >= 0:
+                    fits = known(last << 20 | token)
+                    if not (self._beside(last, token) if fits is None else fits):
+                        break
                 out.append(token)
-                at = end
-                if at == size:
-                    return out
-                token = next(longest(text, at))[1]
-                continue
-            token = self.shorter[token]
-            while token < 0:
-                dead[at] = 1
-                token = out.pop()
-                at -= len(self.tokens[token])
-                token = self.shorter[token]
+                at, last = end, token
+            else:
+                break
+            dead = dead or bytearray(size + 1)
+            while True:
+                token = shorter[token]
+                while token < 0:
+                    dead[at] = 1
+                    token = out.pop()
+                    at -= sizes[token]
+                    token = shorter[token]
+                end = at + sizes[token]
+                if not dead[end] and (not out or self._beside(out[-1], token)):
+                    out.append(token)
+                    at, last = end, token
+                    break
+        return out
 
     def _piece(self, piece: bytes) -> bytes:
-        return np.array(self.piece_ids(piece), "<u4").tobytes()
+        whole = self.rank.get(piece)  # its own longest match, and what its merges end in
+        if whole is not None:
+            return self.packed[whole]
+        return b"".join(map(self.packed.__getitem__, self.piece_ids(piece)))
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if self.by_letter:
+            letters = chunk[1:] if chunk[:1] == b" " else chunk
+            if letters.isalpha():
+                return self._piece(chunk) if len(chunk) <= self.chunks.longest else self.pieces[chunk]
+            if letters[-1:] in MARKS and letters[:-1].isalpha():
+                return self.pieces[chunk[:-1]] + self._piece(letters[-1:])
         found = self.pattern.findall(chunk.decode())
         if len(found) == 1 and len(chunk) <= self.chunks.longest:  # kept as a chunk; no second copy as a piece
             return self._piece(chunk)

@@ -460,3 +460,31 @@ def test_language_learns_a_share_of_rows_without_ids(spark):
         language.fit = fit
     learnt = {lang: sum(1 for x in seen[0] if x[0] == lang and x[1][:3] == "wor" and x[1][-1].isdigit()) for lang in ("de", "en")}
     assert 10 < learnt["de"] < 60 and 10 < learnt["en"] < 60
+
+
+def test_orc_encoder_with_a_small_cache():
+    """Words in and out of the cache, long ones, and a text with more words than both generations hold."""
+    name = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(name), orc_ids.Encoder(open(name, encoding="utf-8").read(), 2, cached=50)
+    rng = random.Random(8)
+    letters = ["a", "Be", "ing", "É", "ß", "İ", "x1", ".", ",", "’", "中", "-", ":"]
+    for _ in range(60):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(0, 150))] + ["Q" * 90, ".", "a,", "é;"]
+        texts = [" ".join(words), "\t".join(words[::-1]), ""]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+        assert got == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert len(encoder.cache) < 50 and all(len(w) <= orc_ids.LONGEST for w in encoder.cache)
+
+
+def test_byte_bpe_of_letters_and_marks():
+    """Words whose longest matches do not fit, with and without marks, against the library; and another pattern."""
+    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = {t: i for i, t in enumerate(tokens)}
+    rng = random.Random(4)
+    for pattern in (public_tokenizers.PATTERN, r"\p{L}{1,3}|[^\p{L}]"):
+        codec = byte_bpe.Codec(tokens, byte_bpe.halves(tokens), pattern, words=30)
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for _ in range(600):
+            words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randrange(1, 16))) + rng.choice(["", ".", ",", "?!", "'s", "..", "é"]) for _ in range(6)]
+            text = rng.choice([" ", "  ", "\n"]).join(words) + "h" * rng.randrange(0, 90)
+            assert np.frombuffer(codec.encode(text.encode()), "<u4").tolist() == library.encode_ordinary(text)
