@@ -16,12 +16,13 @@ beyond ``LENGTH`` places, more runs follow until their number holds for the leng
 
 Candidates (buckets' pairs whose embeddings agree on ``LEAST_AGREED`` of their places) are
 joined to clusters, and within a cluster every pair is compared exactly, on the whole
-sets, in blocks of about ``BLOCK`` classes: a pair lies in one cluster and one pair of blocks, so it
+sets, in blocks of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles: a pair lies in one cluster and one pair of blocks, so it
 counts once.  Blocks return each class's links and a spanning forest, never all pairs.
 
 Defined cases: NULL and empty texts have no shingles, no links, and are groups of their
 own; repeated rows are copies; texts are read whole; an empty table gives an empty
-result.  Rows without an id have a group without one unless it holds a row with an id.
+result.  Rows without an id have a group without one unless it holds a row with an id.  Of equal
+sets the smallest id names the class; other columns, whatever their names, are not read or returned.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ LEAST_AGREED = 0.62
 #: Classes of a bucket that is compared by brute force, and of a block in exact comparison.
 LIMIT = 200
 BLOCK = 256
+#: Shingles of all classes of a block, so that its memory does not follow the length of texts (one longer text is a block).
+BLOCK_SHINGLES = 1 << 20
 #: Share of its parent from which a bucket counts as dense, and the longest path.
 DENSE = 0.64
 DEEPEST = 12
@@ -196,7 +199,8 @@ def _forest(linked: np.ndarray) -> Forest:
 def _bucket_edges(batches):
     for batch in batches:
         a, b = [], []
-        for digests, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for row in range(batch.num_rows):  # one bucket at a time, as a batch may hold many large ones
+            digests, places = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
             matrix = np.frombuffer(b"".join(places), np.uint32).reshape(-1, SIZE)
             agreed = np.zeros((len(matrix), len(matrix)), np.int16)
             for column in matrix.T:
@@ -266,12 +270,24 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit values of each binary value, where they lie."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        ends = np.frombuffer(offsets, kind)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        values = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        out += [values[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def _compared(table: pa.Table) -> pa.Table:
     """Links and a spanning forest of one pair of blocks."""
     side = table.column("side").to_numpy()
     digests = table.column("digest").to_pylist()
     copies = table.column("copies").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in as_bytes(table.column("shingles"))]
+    sets = _views(table.column("shingles"))
     sizes = np.array([len(s) for s in sets])
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     alone = len(second) == 0 and bool(table.column("same")[0].as_py())
@@ -301,7 +317,12 @@ def _compared(table: pa.Table) -> pa.Table:
 def _sets(words: int):
     def sets(column: pa.Array) -> pa.Array:
         found = list(shingles(as_bytes(column), words))
-        return pa.StructArray.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "shingles"])
+        digests = pa.array([digest(s) for s in found], pa.binary())
+        ends = np.cumsum([0] + [s.nbytes for s in found])
+        values = np.concatenate(found) if found else np.empty(0, np.uint64)
+        del found
+        sets = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)]).cast(pa.binary())
+        return pa.StructArray.from_arrays([digests, sets], names=["digest", "shingles"])
 
     # Not deterministic for the planner only, which would else move it below the join and make the sets of all documents.
     return F.arrow_udf(sets, StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])).asNondeterministic()
@@ -332,11 +353,14 @@ def maybe_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = members.select(F.xxhash64("doc_id")).coalesce(64).mapInArrow(bits, "bits binary").rdd.map(lambda r: bytes(r[0]))
     made = rows.treeAggregate(b"", either, either, depth=2)
     shared = docs.sparkSession.sparkContext.broadcast(made)
+    unpacked: list[np.ndarray] = []  # filled in the worker, once for all batches of a task
 
     def held(column: pa.Array) -> pa.Array:
         if not shared.value:
             return pa.array(np.zeros(len(column), bool))
-        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        if not unpacked:
+            unpacked.append(np.frombuffer(zlib.decompress(shared.value), np.uint8))
+        table = unpacked[0]
         at = _bits(column.to_numpy(zero_copy_only=False).view(np.uint64), size)
         found = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
         return pa.array(found.reshape(4, -1).all(axis=0))
@@ -345,9 +369,9 @@ def maybe_members(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``digest, root, links`` from all pairs of blocks of all clusters; ``members`` has ``digest, doc_id, copies, cluster``."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """``digest, root, links`` from all pairs of blocks of all clusters; ``members`` has ``digest, doc_id, n, copies, cluster``."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n_shingles"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int")
     placed = members.join(sizes, "cluster").select("digest", F.col("doc_id").alias("rep"), "copies", "cluster", blocks.alias("blocks"))
     texts = maybe_members(docs, members).join(placed, docs["doc_id"].eqNullSafe(placed["rep"]))
     made = texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", "copies", "cluster", "blocks", F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"])
@@ -371,11 +395,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     rows = cut(signatures(docs, doc_id, text), "signatures")
     classes = cut(
-        rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("places").alias("places")), "classes"
+        rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("places").alias("places")), "classes"
     )
     clusters = components(candidates(classes, recall=recall))
     placed = clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("digest"), F.col("root").alias("cluster")).distinct())
-    members = cut(classes.select("digest", "doc_id", "copies").join(placed, "digest"), "members")
+    members = cut(classes.select("digest", "doc_id", "n", "copies").join(placed, "digest"), "members")
     found = cut(compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), members), "compared")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))

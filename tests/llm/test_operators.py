@@ -488,3 +488,20 @@ def test_byte_bpe_of_letters_and_marks():
             words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randrange(1, 16))) + rng.choice(["", ".", ",", "?!", "'s", "..", "é"]) for _ in range(6)]
             text = rng.choice([" ", "  ", "\n"]).join(words) + "h" * rng.randrange(0, 90)
             assert np.frombuffer(codec.encode(text.encode()), "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_blocks_by_shingles_lose_no_link(spark, monkeypatch):
+    """Near copies of long texts in many blocks have the links that brute force gives."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(i % 4):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 250)
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    want = [sum(1 for j, b in enumerate(sets) if j != i and 5 * len(a & b) >= 4 * len(a | b)) for i, a in enumerate(sets)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.n_links for r in got.orderBy("doc_id").collect()] == want
