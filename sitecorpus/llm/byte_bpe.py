@@ -28,19 +28,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from sitecorpus.llm.common import Cache, as_bytes, ship
+from sitecorpus.llm.common import as_bytes, groups, ship
 
-#: Entries of each generation of a worker's cache of words, and of neighbours.
-WORDS = 250_000
+#: Entries of each generation of a worker's cache of words and their pieces, and of neighbours.
+WORDS = 500_000
 NEIGHBOURS = 500_000
+#: Bytes of the longest word that is kept; bytes of text whose words are looked up in one go.
+LONGEST = 64
+GROUP = 1 << 20
+#: Ids that are decoded at once.
+PART = 1 << 18
 
 #: A space and what follows it up to white space, or white space as the pattern of the ranks cuts it.
 CHUNK = re.compile(rb" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
-#: The pattern (a fixed value) under which a chunk of ASCII letters is one piece, and a mark of these after it another.
+#: The pattern (a fixed value) under which a chunk of Latin letters is one piece, and ASCII marks up to its end another.
 LETTER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MARKS = {b".", b",", b";", b":", b"!", b"?"}
+#: Such chunks in UTF-8: letters of ASCII and from U+00C0 to U+024F but the signs of times and division, then marks.
+LETTERS = re.compile(rb"( ?(?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+)([!-/:-@\[-`{-~]*)")
 #: White space beyond ASCII: such texts are cut by the pattern alone.
 FAR_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A byte that no UTF-8 text holds, put between pieces.
+BORDER = b"\xff"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -86,11 +94,16 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = [self._prefix(t) for t in tokens]
         self.sizes = [len(t) for t in tokens]
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lengths = np.array(self.sizes)
+        self.first = np.cumsum(self.lengths) - self.lengths
         self.packed = [i.to_bytes(4, "little") for i in range(len(tokens))]
         self.by_letter = pattern == LETTER_PATTERN
+        self.border = self.rank[BORDER] if [t for t in tokens if BORDER in t] == [BORDER] else -1
         self.neighbours: dict[int, bool] = {}
-        self.pieces = Cache(self._piece, words)
-        self.chunks = Cache(self._chunk, words)
+        self.size = words
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _prefix(self, token: bytes) -> int:
         return next((self.rank[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in self.rank), -1)
@@ -122,12 +135,13 @@ class Codec:
             known = self.neighbours[a << 20 | b] = self.fits(a, b)
         return known
 
-    def piece_ids(self, piece: bytes) -> list[int]:
+    def piece_ids(self, piece: bytes, begun: list[int] = []) -> list[int]:
+        """Ids of a piece; ``begun`` are longest matches from its start that fit."""
         text, size = piece.decode("latin-1"), len(piece)
         longest, shorter, sizes, known = self.automaton.iter_long, self.shorter, self.sizes, self.neighbours.get
-        out: list[int] = []
+        out = list(begun)
         dead = None
-        at, last = 0, -1
+        at, last = sum(map(sizes.__getitem__, out)), out[-1] if out else -1
         while at < size:
             for _, token in longest(text, at):
                 end = at + sizes[token]
@@ -156,32 +170,97 @@ class Codec:
                     break
         return out
 
-    def _piece(self, piece: bytes) -> bytes:
-        whole = self.rank.get(piece)  # its own longest match, and what its merges end in
-        if whole is not None:
-            return self.packed[whole]
-        return b"".join(map(self.packed.__getitem__, self.piece_ids(piece)))
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        if self.by_letter:
-            letters = chunk[1:] if chunk[:1] == b" " else chunk
-            if letters.isalpha():
-                return self._piece(chunk) if len(chunk) <= self.chunks.longest else self.pieces[chunk]
-            if letters[-1:] in MARKS and letters[:-1].isalpha():
-                return self.pieces[chunk[:-1]] + self._piece(letters[-1:])
-        found = self.pattern.findall(chunk.decode())
-        if len(found) == 1 and len(chunk) <= self.chunks.longest:  # kept as a chunk; no second copy as a piece
-            return self._piece(chunk)
-        return b"".join([self.pieces[p.encode()] for p in found])
+    def _pack(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.packed.__getitem__, ids))
+
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every piece: longest matches of all in one pass of the automaton, gone on with one by one where two do not fit."""
+        if self.border < 0 or not pieces:
+            return [self._pack(self.piece_ids(p)) for p in pieces]
+        found = self.automaton.iter_long(BORDER.join(pieces).decode("latin-1"))
+        tokens = np.array([token for _, token in found], np.int64)
+        borders = np.flatnonzero(tokens == self.border)
+        inside = np.flatnonzero((tokens[:-1] != self.border) & (tokens[1:] != self.border))
+        pairs, which = np.unique(tokens[inside] << 20 | tokens[inside + 1], return_inverse=True)
+        known = self.neighbours.get
+        fits = [self._beside(k >> 20, k & 0xFFFFF) if (fit := known(k)) is None else fit for k in pairs.tolist()]
+        wrong = inside[~np.array(fits, bool)[which]] + 1
+        broken, first = np.unique(np.searchsorted(borders, wrong), return_index=True)
+        starts = [0, *(borders + 1).tolist()]
+        raw = tokens.astype("<u4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(starts, [*borders.tolist(), len(tokens)], strict=True)]
+        for i, at in zip(broken.tolist(), wrong[first].tolist(), strict=True):
+            out[i] = self._pack(self.piece_ids(pieces[i], tokens[starts[i] : at].tolist()))
+        return out
+
+    def _pieces(self, word: bytes) -> list[bytes]:
+        """A word cut by the pattern; if that is not the one whose words are chunks, it is a piece."""
+        if not self.by_letter:
+            return [word]
+        match = LETTERS.fullmatch(word)
+        if match is None:
+            return [p.encode() for p in self.pattern.findall(word.decode())]
+        letters, marks = match.groups()
+        return [letters, marks] if marks else [word]
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Put the ids of these words, and of their pieces, among the known ones; a word of one piece has the ids of that piece."""
+        known, old, rank, cuts, todo = self.known, self.old, self.rank, [], {}
+        for word in new:
+            if (ids := old.get(word)) is not None:
+                known[word] = ids
+                continue
+            pieces = self._pieces(word)
+            if len(pieces) > 1:
+                cuts.append((word, pieces))
+            for piece in pieces:
+                if piece not in known:
+                    whole = rank.get(piece)  # its own longest match, and what its merges end in
+                    if whole is not None:
+                        known[piece] = self.packed[whole]
+                    elif (ids := old.get(piece)) is not None:
+                        known[piece] = ids
+                    else:
+                        todo[piece] = None
+        pieces = list(todo)
+        known.update(zip(pieces, self._encoded(pieces), strict=True))
+        for word, pieces in cuts:
+            known[word] = b"".join(map(known.__getitem__, pieces))
+        self.long = [w for w in [*new, *pieces] if len(w) > LONGEST]
+
+    def _words(self, text: bytes) -> list[bytes]:
+        if not self.by_letter or not text.isascii() and FAR_SPACE.search(text.decode()):
+            return [p.encode() for p in self.pattern.findall(text.decode())]
+        return CHUNK.findall(text)
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        words = [self._words(t) for t in texts]
+        self._learn(set().union(*words).difference(self.known))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, found)) for found in words]
+        for word in self.long:
+            self.known.pop(word, None)
+        if len(self.known) >= self.size:  # a text with very many words of its own leaves none behind
+            self.old, self.known = self.known if len(self.known) < 2 * self.size else {}, {}
+        return out
 
     def encode(self, text: bytes) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if not text.isascii() and FAR_SPACE.search(text.decode()):
-            return self._chunk(text)
-        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, in order."""
+        return [ids for a, b in groups(texts, GROUP) for ids in self._group(texts[a:b])]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(self._bytes(np.frombuffer(ids, "<u4", min(PART, len(ids) // 4 - at), 4 * at)) for at in range(0, len(ids) // 4, PART))
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids, gathered from all tokens' bytes one after the other."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.first[ids] - (ends - sizes), sizes)
+        return self.data[places + np.arange(len(places))].tobytes()
 
 
 class Shared:
@@ -220,7 +299,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     def ids(column: pa.Array) -> pa.Array:
         codec = _codec(shared.value)
-        return pa.array([codec.encode(t) for t in as_bytes(column)], pa.binary())
+        return pa.array(codec.encode_all(as_bytes(column)), pa.binary())
 
     return df.withColumn(out, F.arrow_udf(ids, BinaryType())(F.col(text)))
 

@@ -490,6 +490,24 @@ def test_byte_bpe_of_letters_and_marks():
             assert np.frombuffer(codec.encode(text.encode()), "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_byte_bpe_of_many_texts():
+    """Texts encoded together, with words met before, accents, marks, other scripts, far spaces and long words, against the library."""
+    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    codec = byte_bpe.Codec(tokens, byte_bpe.halves(tokens), public_tokenizers.PATTERN, words=300)
+    rng = random.Random(21)
+    ends = ["", ".", ",", "###", "'", "'s", "'re.", "\u00d7", "\u00b2", "7", "_", "\u0301", "\u65e5\u672c", "\ufb01", "\u024f", "\u0250"]
+    letters = "abcdehinorst\u00e9\u00f1\u00fc\u00df\u0142"
+    for _ in range(40):
+        texts = []
+        for _ in range(rng.randrange(0, 12)):
+            words = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 14))) + rng.choice(ends) for _ in range(rng.randrange(0, 30))]
+            texts.append(rng.choice([" ", " ", "  ", "\n", "\t ", "\u00a0"]).join(words) + rng.choice(["", "\n\n", " " + "ho" * 70]))
+        got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all([t.encode() for t in texts])]
+        assert got == [library.encode_ordinary(t) for t in texts]
+        assert len(codec.known) < 600 and not any(len(w) > byte_bpe.LONGEST for w in codec.known)
+
+
 def test_blocks_by_shingles_lose_no_link(spark, monkeypatch):
     """Near copies of long texts in many blocks have the links that brute force gives."""
     rng = random.Random(12)
