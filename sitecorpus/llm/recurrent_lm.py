@@ -15,7 +15,7 @@ all tokens sum to one.
 The fit is truncated backpropagation over windows of ``WINDOW`` tokens; the state goes on
 from window to window and starts anew with each document.  The fit is one pass over all training
 documents, cut into ``ROUNDS`` by a hash of id and text: in each round every task fits a copy on its documents of
-that round, and the copies are averaged in a tree.  Scoring carries the state through the whole document.
+that round (small partitions share a task, one for ``COPY_TOKENS`` at most), and the copies are averaged in a tree.  Scoring carries the state through the whole document.
 
 Counts meet documents in two tiers: the most frequent tokens, at most ``FREQUENT`` by a
 histogram of the counts, go to all tasks; the rest of a document's tokens, whose counts
@@ -54,6 +54,8 @@ STREAMS = 128
 MOST_STREAMS = 4
 ROUNDS = 3
 STEP = 0.02
+#: Training tokens (about 16 MB of text) for each copy that is fitted in a round, so that the copies sent follow the input and not the number of tasks.
+COPY_TOKENS = 2_500_000
 #: Documents scored side by side; states that meet the softmax together.
 ABREAST = 1024
 TOGETHER = 1 << 14
@@ -311,6 +313,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
     p = start(vocabulary)
     words = spark.sparkContext.broadcast(vocabulary)
     done = 0
+    copies = max(1, -(-vocabulary.total // COPY_TOKENS))
     for r in range(rounds):
         now = spark.sparkContext.broadcast(p)
         size = STEP / (r + 1)
@@ -331,7 +334,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id", text:
         def joined(a, b):
             return b if a is None else a if b is None else (a[0] + b[0], {k: a[1][k] + b[1][k] for k in a[1]})
 
-        some = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(rounds)) == r).select(text)
+        some = docs.where(F.pmod(F.xxhash64(doc_id, text), F.lit(rounds)) == r).select(text).coalesce(int(copies))
         rows = some.mapInArrow(fitted, "fitted binary").rdd.map(lambda row: pickle.loads(row[0]))
         total = rows.treeAggregate(None, joined, joined, depth=3)
         if total is not None:
