@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import os
 import tempfile
@@ -59,6 +61,26 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker lives on from stage to stage and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(made):
+    """The function of Arrow columns, after each batch of which free memory is given back."""
+
+    @functools.wraps(made)
+    def called(*columns):
+        out = made(*columns)
+        release()
+        return out
+
+    return called
+
+
 def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` that hold about ``limit`` bytes each; a longer text stands alone."""
     start = size = 0

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from sitecorpus.checkpoints import cut
-from sitecorpus.llm.common import PLAIN, as_bytes, groups, mix, ship
+from sitecorpus.llm.common import PLAIN, as_bytes, groups, mix, release, releasing, ship
 from sitecorpus.llm.components import components
 from sitecorpus.llm.decontaminate import grams
 
@@ -53,6 +53,8 @@ LIMIT = 200
 BLOCK = 256
 #: Shingles of all classes of a block, so that its memory does not follow the length of texts (one longer text is a block).
 BLOCK_SHINGLES = 1 << 20
+#: Bytes of a pair of blocks after which a worker gives memory back.
+LARGE = 1 << 22
 #: Share of its parent from which a bucket counts as dense, and the longest path.
 DENSE = 0.64
 DEEPEST = 12
@@ -133,7 +135,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         arrays = [pa.array(x, k) for x, k in zip((digests, sizes, places), kinds, strict=True)]
         return pa.StructArray.from_arrays(arrays, names=["digest", "n", "places"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(signed, SIGNATURE)(F.col(text)).alias("s")).select("doc_id", "s.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(releasing(signed), SIGNATURE)(F.col(text)).alias("s")).select("doc_id", "s.*")
 
 
 def children(parents: np.ndarray, places: np.ndarray, similarity: float) -> list[np.ndarray]:
@@ -154,7 +156,7 @@ def _first_paths(similarity: float, numbers: range):
         found = [children(np.full(len(places), mix(np.array([r + 1], np.uint64))[0]), places, similarity) for r in numbers]
         return pa.array([np.unique(np.concatenate(x)).view(np.int64) for x in zip(*found, strict=True)], pa.list_(pa.int64()))
 
-    return F.arrow_udf(paths, ArrayType(LongType()))
+    return F.arrow_udf(releasing(paths), ArrayType(LongType()))
 
 
 def _next_paths(similarity: float):
@@ -162,7 +164,7 @@ def _next_paths(similarity: float):
         found = children(parents.to_numpy(zero_copy_only=False).view(np.uint64), _places(column), similarity)
         return pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
 
-    return F.arrow_udf(paths, ArrayType(LongType()))
+    return F.arrow_udf(releasing(paths), ArrayType(LongType()))
 
 
 class Forest:
@@ -211,6 +213,8 @@ def _bucket_edges(batches):
                     a.append(digests[i])
                     b.append(digests[r])
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        del batch
+        release()
 
 
 def _met(classes: DataFrame, n_classes: int, similarity: float, numbers: range) -> tuple[list[DataFrame], int]:
@@ -283,7 +287,14 @@ def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _compared(table: pa.Table) -> pa.Table:
-    """Links and a spanning forest of one pair of blocks."""
+    """Links and a spanning forest of one pair of blocks; after a large one free memory is given back."""
+    found = _links(table)
+    if table.nbytes > LARGE:
+        release()
+    return found
+
+
+def _links(table: pa.Table) -> pa.Table:
     side = table.column("side").to_numpy()
     digests = table.column("digest").to_pylist()
     copies = table.column("copies").to_numpy()
@@ -325,7 +336,7 @@ def _sets(words: int):
         return pa.StructArray.from_arrays([digests, sets], names=["digest", "shingles"])
 
     # Not deterministic for the planner only, which would else move it below the join and make the sets of all documents.
-    return F.arrow_udf(sets, StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])).asNondeterministic()
+    return F.arrow_udf(releasing(sets), StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])).asNondeterministic()
 
 
 def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
