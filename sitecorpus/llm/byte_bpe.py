@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from sitecorpus.llm.common import as_bytes, groups, ship
+from sitecorpus.llm.common import as_bytes, groups, kept, releasing, ship
 
 #: Entries of each generation of a worker's cache of words and their pieces, and of neighbours.
 WORDS = 500_000
@@ -271,15 +271,9 @@ class Shared:
         self.value = spark.sparkContext.broadcast((path, pattern, tokens, halves(tokens).tobytes()))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def _codec(value) -> Codec:
     path, pattern, tokens, parts = value
-    if (path, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path, pattern] = Codec(tokens, np.frombuffer(parts, np.int32).reshape(-1, 2), pattern)
-    return _CODECS[path, pattern]
+    return kept(("codec", path, pattern), lambda: Codec(tokens, np.frombuffer(parts, np.int32).reshape(-1, 2), pattern))
 
 
 _SHARED: dict[tuple[str, str, str], Shared] = {}
@@ -301,7 +295,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
         codec = _codec(shared.value)
         return pa.array(codec.encode_all(as_bytes(column)), pa.binary())
 
-    return df.withColumn(out, F.arrow_udf(ids, BinaryType())(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(releasing(ids), BinaryType())(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -313,4 +307,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         codec = _codec(shared.value)
         return pa.array([codec.decode(x) for x in as_bytes(column)], pa.binary())
 
-    return df.withColumn(out, F.arrow_udf(texts, BinaryType())(F.col(ids)))
+    return df.withColumn(out, F.arrow_udf(releasing(texts), BinaryType())(F.col(ids)))

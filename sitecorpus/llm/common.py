@@ -81,6 +81,25 @@ def releasing(made):
     return called
 
 
+#: What a worker keeps from task to task: the tables of one operator.
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What ``make()`` gave for ``key`` in this worker, without which what was kept for another key goes first."""
+    if key not in _KEPT:
+        drop_kept()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def drop_kept() -> None:
+    """Leave what other operators kept in this worker."""
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
 def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` that hold about ``limit`` bytes each; a longer text stands alone."""
     start = size = 0

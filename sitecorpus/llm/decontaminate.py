@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sitecorpus.checkpoints import cut
-from sitecorpus.llm.common import PLAIN, as_bytes, free_name, groups, mix, ship
+from sitecorpus.llm.common import PLAIN, as_bytes, drop_kept, free_name, groups, mix, releasing, ship
 
 #: Words of a window, and of the k-grams whose smallest hash stands for a window.
 WINDOW = 10
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", out: st
     for i in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i).toArrow().to_pydict()
         index = spark.sparkContext.broadcast(Index([(w.encode(), ids) for w, ids in zip(rows["words"], rows["item_ids"], strict=True)]))
-        here = F.arrow_udf(_scanner(index), RESULT)(F.col(text))
+        here = F.arrow_udf(releasing(_scanner(index)), RESULT)(F.col(text))
         if i == 0:
             frame = frame.withColumn(state, here)
         else:
@@ -175,6 +175,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", out: st
 
 def _scanner(index):
     def scan(column: pa.Array) -> pa.Array:
+        drop_kept()
         found = index.value.scan(as_bytes(column))
         rows = [{"n_words": n, "spans": [{"start": s, "end": e} for s, e in spans], "item_ids": sorted(ids)} for n, spans, ids in found]
         return pa.array(rows, ARROW)

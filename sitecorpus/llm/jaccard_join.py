@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from sitecorpus.checkpoints import cut
-from sitecorpus.llm.common import PLAIN, as_bytes, groups, mix, release, releasing, ship
+from sitecorpus.llm.common import PLAIN, as_bytes, drop_kept, groups, mix, release, releasing, ship
 from sitecorpus.llm.components import components
 from sitecorpus.llm.decontaminate import grams
 
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ship(docs.sparkSession)
 
     def signed(column: pa.Array) -> pa.Array:
+        drop_kept()
         digests, sizes, places = [], [], []
         held, size = [], 0
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from sitecorpus.llm.common import Cache, as_bytes, byte_letters, ship
+from sitecorpus.llm.common import Cache, as_bytes, byte_letters, kept, ship
 
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
@@ -140,16 +140,9 @@ def _in_order(column: Column) -> Column:
     return column.asc_nulls_first()
 
 
-_ENCODERS: dict[tuple[int, int], Encoder] = {}
-
-
 def _encoder(setup, end: int) -> Encoder:
     """The worker's encoder; its cache lasts from task to task."""
-    key = hash(setup.value), end
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(setup.value, end)
-    return _ENCODERS[key]
+    return kept(("encoder", setup.value, end), lambda: Encoder(setup.value, end))
 
 
 def write_ids(df: DataFrame, tokenizer: str, path: str, end: int, doc_id: str = "doc_id", text: str = "text") -> None:

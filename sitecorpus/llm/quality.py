@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from sitecorpus.llm.common import as_bytes, groups, mix, ship, span_hashes
+from sitecorpus.llm.common import as_bytes, drop_kept, groups, mix, release, releasing, ship, span_hashes
 
 #: Labelled rows that the fit takes at most, and every how many of them calibrates.
 LABELLED = 4000
@@ -40,6 +40,8 @@ STEP = 0.3
 PENALTY = 1e-5
 #: Entries of the sparse rows that the fit handles at once.
 ENTRIES = 1 << 20
+#: Bytes of text whose words and characters are arrays at once, some hundred bytes for each.
+SLICE_BYTES = 1 << 18
 #: Least words; most repeated words of a hundred; least probability.
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -201,7 +203,7 @@ def _strings(column: pa.Array) -> list[str]:
 
 def _slices(column: pa.Array):
     texts = as_bytes(column)
-    for a, b in groups(texts):
+    for a, b in groups(texts, SLICE_BYTES):
         yield Texts([t.decode() for t in texts[a:b]])
 
 
@@ -217,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text"))
 
     def vectors(batches):
+        drop_kept()
         for batch in batches:
             labels, at = batch.column(1).to_pylist(), 0
             for texts in _slices(batch.column(2)):
@@ -239,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     }
                 )
                 at += texts.n
+            release()
 
     rows = texts.join(some, "__id").select(F.col("__id").cast("string"), "label", "text").mapInArrow(vectors, "id string, label long, buckets binary, shares binary")
     found = sorted(rows.where(F.length("buckets") > 0).toArrow().to_pylist(), key=lambda r: (hash_of(r["id"]), r["id"], r["label"]))
@@ -264,13 +268,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
     shared = spark.sparkContext.broadcast(model)
 
     def scored(column: pa.Array) -> pa.Array:
+        drop_kept()
         parts = [_scored(t, shared.value) for t in _slices(column)]
         columns = [np.concatenate([p[i] for p in parts]) if parts else [] for i in range(len(COUNTS) + 3)]
         kinds = [pa.int64()] * len(COUNTS) + [pa.float64(), pa.bool_(), pa.bool_()]
         arrays = [pa.array(c, k, from_pandas=True) for c, k in zip(columns, kinds, strict=True)]
         return pa.StructArray.from_arrays(arrays, fields=[pa.field(f.name, k, f.nullable) for f, k in zip(RESULT.fields, kinds, strict=True)])
 
-    return docs.withColumn(out, F.arrow_udf(scored, RESULT)(F.col(text)))
+    return docs.withColumn(out, F.arrow_udf(releasing(scored), RESULT)(F.col(text)))
 
 
 def _scored(texts: Texts, model: Model | None) -> list[np.ndarray]:

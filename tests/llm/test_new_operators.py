@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sitecorpus.llm import divergence, fill_in_middle, piecewise_hash, queries
+from sitecorpus.llm import common, divergence, fill_in_middle, piecewise_hash, quality, queries
 
 RANDOM = random.Random(11)
 WORDS = "Alder birch cedar élan façade straße niño oak pine 12 3rd # & token-ring a,b,a re-re ＡＢ 日本語 \x1c x y".split(" ")
@@ -287,3 +289,35 @@ def test_query_bodies(spark, docs, tmp_path):
         assert (r.n_chars, r.edited_sha256) == (len(text), sha(text[: len(text) - n] + following[:n]))
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """What one operator keeps goes when another begins, so a worker never holds the tables of two stages."""
+
+    class Table:
+        pass
+
+    first = common.kept("one", Table)
+    gone = weakref.ref(first)
+    assert common.kept("one", Table) is first
+    del first
+    second = common.kept("two", Table)
+    assert gone() is None and common.kept("two", Table) is second
+    gone = weakref.ref(second)
+    del second
+    common.drop_kept()
+    assert gone() is None
+
+
+def test_quality_makes_arrays_of_few_texts_at_once():
+    texts = [("word%d and more " % i) * 130 for i in range(1200)]
+    model = quality.Model(np.ones((quality.FAMILIES, 1 << quality.BITS), np.float32), 0.0, 1.0, 0.0)
+    whole = quality._scored(quality.Texts(texts), model)
+    quality._scored(quality.Texts(texts[:2]), model)  # what is made once
+    tracemalloc.start()
+    parts = [quality._scored(t, model) for t in quality._slices(pa.array(texts))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i, column in enumerate(whole):
+        assert np.array_equal(np.concatenate([p[i] for p in parts]), column, equal_nan=i == 5)
+    assert peak < 48 << 20, peak
