@@ -54,11 +54,11 @@ RESULT = StructType([StructField(c, LongType(), False) for c in COUNTS] + [Struc
 
 
 class Texts:
-    """The words and characters of some texts as arrays."""
+    """The words and characters of some texts as arrays; ``more`` tells that another text of the group follows."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], more: bool = False):
         self.n = len(texts)
-        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        self.codes = np.frombuffer(("\n".join(texts) + "\n" * more).encode("utf-32-le"), np.uint32)
         self.first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         inside = np.zeros(len(self.codes) + 2, np.int8)
         inside[1:-1] = (self.codes != 32) & ((self.codes < 9) | (self.codes > 13))
@@ -203,8 +203,10 @@ def _strings(column: pa.Array) -> list[str]:
 
 def _slices(column: pa.Array):
     texts = as_bytes(column)
-    for a, b in groups(texts, SLICE_BYTES):
-        yield Texts([t.decode() for t in texts[a:b]])
+    for a, b in groups(texts):
+        some = texts[a:b]
+        for c, d in groups(some, SLICE_BYTES):
+            yield Texts([t.decode() for t in some[c:d]], d < b - a)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED) -> Model | None:
