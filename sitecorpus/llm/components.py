@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitecorpus.checkpoints import cut
+from sitecorpus.checkpoints import cut_passing, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,10 +30,11 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of its component for every node but the roots; ``edges`` has ``a, b``."""
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    now = cut(now, "edges")
+    now = cut_passing(now, "edges")
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small(_large(now)).distinct(), "edges")
+        old, now = now, cut_passing(_small(_large(now)).distinct(), "edges")
+        drop(old)
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -6,11 +6,11 @@ are compared.  A class is embedded as ``SIZE`` minimum hashes, so that two class
 share of places near their Jaccard similarity.
 
 Chosen paths: in each run a path is a sequence of places sampled at random, and the values
-there; the sample depends on the path alone, each place being taken with probability
-``1 / (similarity * SIZE)``, so similar classes go the same ways.  Classes that share a path
-are a bucket.  A bucket of at most ``LIMIT`` classes is compared by brute force; a larger one is
-split further along its paths.  One whose share of its parent shows that its members agree
-nearly everywhere cannot be split by that: all its members become candidates of each
+there; the sample depends on the path alone, each place that is not yet in it being taken with probability
+``1 / (similarity * SIZE - length)``, so similar classes go the same ways (a place drawn twice would split nothing, and
+its bucket count as dense).  Classes that share a path are a bucket.  A bucket of at most ``LIMIT`` classes is compared by brute force; a larger one is
+split further along its paths.  One that holds most of its parent and whose members agree with its
+first one nearly everywhere cannot be split by that: all its members become candidates of each
 other.  ``runs`` follows from the recall wanted and the longest path met: where buckets had to be split
 beyond ``LENGTH`` places, more runs follow until their number holds for the length really reached.
 
@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from sitecorpus.checkpoints import cut
+from sitecorpus.checkpoints import cut_passing as cut
+from sitecorpus.checkpoints import drop
 from sitecorpus.llm.common import PLAIN, as_bytes, drop_kept, groups, mix, release, releasing, ship
 from sitecorpus.llm.components import components
 from sitecorpus.llm.decontaminate import grams
@@ -53,9 +54,11 @@ LIMIT = 200
 BLOCK = 256
 #: Shingles of all classes of a block, so that its memory does not follow the length of texts (one longer text is a block).
 BLOCK_SHINGLES = 1 << 20
+#: Shingles sent to pairs of blocks in one round of comparison, unless twice those of all sets are more: a set goes to every block of its cluster.
+ROUND_SHINGLES = 1 << 26
 #: Bytes of a pair of blocks after which a worker gives memory back.
 LARGE = 1 << 22
-#: Share of its parent from which a bucket counts as dense, and the longest path.
+#: Share of its parent, and of places on which its members agree, from which a bucket counts as dense; and the longest path.
 DENSE = 0.64
 DEEPEST = 12
 #: Bits of the largest filter of members.
@@ -92,15 +95,19 @@ def shingles(texts: list[bytes], words: int = WORDS):
 
 
 _FACTORS = mix(np.arange(1, SIZE + 1, dtype=np.uint64)) | np.uint64(1)
+_BITS = np.uint64(1) << np.arange(SIZE, dtype=np.uint64)
 
 
 def embedded(sets: list[np.ndarray]) -> np.ndarray:
-    """The ``SIZE`` minimum hashes of every set; sets are not empty."""
+    """The ``SIZE`` minimum hashes of every set, as 32 bits of the spread minimum; sets are not empty.
+
+    Minima are small, so their own upper bits would often be equal by chance, and buckets of unlike classes grow with the square of the input.
+    """
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     out = np.empty((len(sets), SIZE), np.uint32)
     for i, factor in enumerate(_FACTORS):
-        out[:, i] = np.minimum.reduceat(((flat ^ (factor >> np.uint64(7))) * factor) >> np.uint64(32), starts)
+        out[:, i] = mix(np.minimum.reduceat((flat ^ (factor >> np.uint64(7))) * factor, starts)) >> np.uint64(32)
     return out
 
 
@@ -139,33 +146,46 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(releasing(signed), SIGNATURE)(F.col(text)).alias("s")).select("doc_id", "s.*")
 
 
-def children(parents: np.ndarray, places: np.ndarray, similarity: float) -> list[np.ndarray]:
-    """The paths by which every row's parent path goes on."""
-    chance = np.uint64(int((1 << 64) / (similarity * SIZE)) - 1)
+def children(parents: np.ndarray, places: np.ndarray, similarity: float, used: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The paths by which every row's parent path goes on, and the places in each; ``used`` are those in the parent, as bits."""
+    taken = (used[:, None] >> np.arange(SIZE, dtype=np.uint64)) & np.uint64(1)
+    left = similarity * SIZE - taken.sum(axis=1)
+    chance = np.ldexp(1 / np.maximum(left, 2), 64).astype(np.uint64)
     steps = mix(parents[:, None] + _FACTORS[None, :])
     went = mix(steps ^ mix(places.astype(np.uint64) + np.uint64(7)))
-    return [w[c] for w, c in zip(went, steps < chance, strict=True)]
+    drawn = (steps < chance[:, None]) & (taken == 0)
+    return [(w[c], u | _BITS[c]) for w, c, u in zip(went, drawn, used, strict=True)]
 
 
 def _places(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(as_bytes(column)), np.uint32).reshape(-1, SIZE)
 
 
+#: A path goes with the places in it, so that none is drawn twice.
+PATHS = ArrayType(StructType([StructField("path", LongType()), StructField("used", LongType())]))
+
+
+def _as_paths(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    ends = np.cumsum([0] + [len(path) for path, _ in found]).astype(np.int32)
+    path, used = (np.concatenate([f[k] for f in found] + [np.empty(0, np.uint64)]).view(np.int64) for k in (0, 1))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(path), pa.array(used)], names=["path", "used"]))
+
+
 def _first_paths(similarity: float, numbers: range):
     def paths(column: pa.Array) -> pa.Array:
         places = _places(column)
-        found = [children(np.full(len(places), mix(np.array([r + 1], np.uint64))[0]), places, similarity) for r in numbers]
-        return pa.array([np.unique(np.concatenate(x)).view(np.int64) for x in zip(*found, strict=True)], pa.list_(pa.int64()))
+        found = [children(np.full(len(places), mix(np.array([r + 1], np.uint64))[0]), places, similarity, np.zeros(len(places), np.uint64)) for r in numbers]
+        return _as_paths([tuple(np.concatenate(x) for x in zip(*of, strict=True)) for of in zip(*found, strict=True)])
 
-    return F.arrow_udf(releasing(paths), ArrayType(LongType()))
+    return F.arrow_udf(releasing(paths), PATHS)
 
 
 def _next_paths(similarity: float):
-    def paths(column: pa.Array, parents: pa.Array) -> pa.Array:
-        found = children(parents.to_numpy(zero_copy_only=False).view(np.uint64), _places(column), similarity)
-        return pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+    def paths(column: pa.Array, parents: pa.Array, used: pa.Array) -> pa.Array:
+        parents, used = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (parents, used))
+        return _as_paths(children(parents, _places(column), similarity, used))
 
-    return F.arrow_udf(releasing(paths), ArrayType(LongType()))
+    return F.arrow_udf(releasing(paths), PATHS)
 
 
 class Forest:
@@ -218,26 +238,49 @@ def _bucket_edges(batches):
         release()
 
 
+def _dense(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``path`` of the buckets whose members agree with their first one on ``DENSE`` of all places in the mean.
+
+    That a bucket holds most of its parent says so of one place only: where a passage is common, so is its next place.
+    """
+
+    def agreed(column: pa.Array, first: pa.Array) -> pa.Array:
+        return pa.array((_places(column) == _places(first)).sum(axis=1))
+
+    placed = rows.join(vectors, "digest").select("path", "digest", "places")
+    first = placed.groupBy("path").agg(F.min(F.struct("digest", "places"))["places"].alias("first"))
+    near = F.arrow_udf(releasing(agreed), LongType())("places", "first")
+    return placed.join(first, "path").select("path", near.alias("near")).groupBy("path").agg(F.avg("near").alias("near")).where(F.col("near") >= DENSE * SIZE).select("path")
+
+
 def _met(classes: DataFrame, n_classes: int, similarity: float, numbers: range) -> tuple[list[DataFrame], int]:
     """Edges from the runs of these numbers, and the length of the longest path that was followed."""
     first = _first_paths(similarity, numbers)
-    paths = classes.select("digest", F.explode(first("places")).alias("path")).withColumn("parent_size", F.lit(n_classes))
-    found = []
+    paths = classes.select("digest", F.explode(first("places")).alias("at")).select("digest", "at.*", F.lit(n_classes).alias("parent_size"))
+    found, vectors = [], classes.select("digest", "places")
     for depth in range(1, DEEPEST + 1):
-        paths = cut(paths, "paths")
+        paths, old = cut(paths, "paths"), None if depth == 1 else rows
+        if old is not None:
+            drop(old)
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = cut(paths.join(sizes, "path"), "buckets")
-        dense = (F.col("size") >= DENSE * F.col("parent_size")) | F.lit(depth == DEEPEST)
-        small = rows.where(F.col("size") <= LIMIT).join(classes.select("digest", "places"), "digest")
+        drop(paths)
+        small = rows.where(F.col("size") <= LIMIT).join(vectors, "digest")
         found.append(cut(small.groupBy("path").agg(F.collect_list("digest"), F.collect_list("places")).drop("path").mapInArrow(_bucket_edges, "a binary, b binary").distinct(), "edges"))
-        large = rows.where((F.col("size") > LIMIT) & dense)
-        least = large.groupBy("path").agg(F.min("digest").alias("b"))
-        found.append(cut(large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a != b").distinct(), "edges"))
-        rest = rows.where((F.col("size") > LIMIT) & ~dense)
+        rest = rows.where(F.col("size") > LIMIT)
         if rest.isEmpty():
             break
-        going = rest.join(classes.select("digest", "places"), "digest")
-        paths = going.select("digest", F.explode(_next_paths(similarity)("places", "path")).alias("path"), F.col("size").alias("parent_size"))
+        if depth > 1:
+            dense = rest.select("path").distinct() if depth == DEEPEST else cut(_dense(rest.where(F.col("size") >= DENSE * F.col("parent_size")), vectors), "dense")
+            large = rest.join(dense, "path", "left_semi")
+            least = large.groupBy("path").agg(F.min("digest").alias("b"))
+            found.append(cut(large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a != b").distinct(), "edges"))
+            rest = rest.join(dense, "path", "left_anti")
+            if depth == DEEPEST or rest.isEmpty():
+                break
+        going = rest.join(vectors, "digest")
+        paths = going.select("digest", F.explode(_next_paths(similarity)("places", "path", "used")).alias("at"), "size").select("digest", "at.*", F.col("size").alias("parent_size"))
+    drop(rows)
     return found, depth
 
 
@@ -381,12 +424,14 @@ def maybe_members(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``digest, root, links`` from all pairs of blocks of all clusters; ``members`` has ``digest, doc_id, n, copies, cluster``."""
+    """``digest, root, links`` from all pairs of blocks of all clusters, written in rounds; ``members`` has ``digest, doc_id, n, copies, cluster``."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n_shingles"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int")
-    placed = members.join(sizes, "cluster").select("digest", F.col("doc_id").alias("rep"), "copies", "cluster", blocks.alias("blocks"))
+    placed = members.join(sizes, "cluster").select("digest", F.col("doc_id").alias("rep"), "n", "copies", "cluster", blocks.alias("blocks"))
+    once, sent = placed.agg(F.sum("n"), F.sum(F.col("n") * F.col("blocks"))).first()
+    rounds = max(1, -(-(sent or 0) // max(ROUND_SHINGLES, 2 * (once or 0))))
     texts = maybe_members(docs, members).join(placed, docs["doc_id"].eqNullSafe(placed["rep"]))
-    made = texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", "copies", "cluster", "blocks", F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"])
+    made = cut(texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", "copies", "cluster", "blocks", F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"]), "sets")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     pairs = made.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = pairs.select(
@@ -399,7 +444,13 @@ def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
         "copies",
         "shingles",
     )
-    return rows.groupBy("cluster", "i", "j").applyInArrow(_compared, "digest binary, root binary, links long")
+    found = None
+    for r in range(rounds):
+        some = rows.where((F.col("i") + F.col("j")) % rounds == r).groupBy("cluster", "i", "j").applyInArrow(_compared, "digest binary, root binary, links long")
+        done = cut(some, "compared")
+        found = found.unionByName(done) if found is not None else done
+    drop(made)
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
@@ -412,7 +463,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clusters = components(candidates(classes, recall=recall))
     placed = clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("digest"), F.col("root").alias("cluster")).distinct())
     members = cut(classes.select("digest", "doc_id", "n", "copies").join(placed, "digest"), "members")
-    found = cut(compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), members), "compared")
+    found = compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), members)
+    drop(members)
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     linked = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     near = classes.select("digest", "doc_id", "copies").join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))

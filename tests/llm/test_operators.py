@@ -523,3 +523,47 @@ def test_blocks_by_shingles_lose_no_link(spark, monkeypatch):
     want = [sum(1 for j, b in enumerate(sets) if j != i and 5 * len(a & b) >= 4 * len(a | b)) for i, a in enumerate(sets)]
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.n_links for r in got.orderBy("doc_id").collect()] == want
+
+
+def hot_classes(spark, n, hot, seed):
+    """Classes that have ``hot`` places in common and no other two values."""
+    places = np.random.default_rng(seed).permutation(n * jaccard_join.SIZE).reshape(n, -1).astype(np.uint32) + np.uint32(1 << 20)
+    places[:, :hot] = np.arange(hot)
+    return spark.createDataFrame([(hashlib.md5(b"%d" % i).digest(), bytearray(row.tobytes())) for i, row in enumerate(places)], "digest binary, places binary")
+
+
+def test_a_common_passage_joins_no_unlike_classes(spark, monkeypatch):
+    """A bucket that holds its parent, but whose members agree on a third of their places, is split and not compared as a whole."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 3)
+    assert jaccard_join.candidates(hot_classes(spark, 40, 20, 1)).count() == 0
+
+
+def test_paths_draw_no_place_twice(spark, monkeypatch):
+    """Behind one common place all others differ, however many runs there are."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", 3)
+    found, _ = jaccard_join._met(hot_classes(spark, 8, 1, 2), 8, 0.8, range(5000))
+    assert sum(edges.count() for edges in found) == 0
+
+
+def test_minimum_hashes_of_unlike_sets_differ():
+    """Equal values by chance grow with the square of the classes: of 8,000,000 pairs in 64 places hardly one may be."""
+    rng = np.random.default_rng(3)
+    places = jaccard_join.embedded([rng.integers(0, 1 << 62, 500, dtype=np.uint64) for _ in range(4000)])
+    assert sum(len(column) - len(np.unique(column)) for column in places.T) <= 3
+
+
+def test_rounds_of_blocks_lose_no_link_and_leave_no_tables(spark, monkeypatch):
+    """Blocks of one cluster meet in several rounds; what was written on the way goes as soon as it is read."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(25)]
+    wide, write = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "ROUND_SHINGLES", 1)
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name: wide.append((name, made := write(df, name), made.count())) or made)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = shingle_sets(rows)
+    assert sorted((r.doc_id, r.group_id, r.n_links) for r in found) == [(i, 0, sum(b != i and 5 * len(sets[i] & sets[b]) >= 4 * len(sets[i] | sets[b]) for b in sets)) for i in range(25)]
+    rounds = [n for name, _, n in wide if name == "compared"]
+    assert len(rounds) > 1 and max(rounds) <= 3 * len(rows)
+    there = {name for name, made, _ in wide if spark._jvm.java.io.File(made.inputFiles()[0].removeprefix("file:")).exists()}
+    assert there <= {"signatures", "classes", "edges", "dense", "compared"}
