@@ -9,15 +9,16 @@ Chosen paths: in each run a path is a sequence of places sampled at random, and
 there; the sample depends on the path alone, each place that is not yet in it being taken with probability
 ``1 / (similarity * SIZE - length)``, so similar classes go the same ways (a place drawn twice would split nothing, and
 its bucket count as dense).  Classes that share a path are a bucket.  A bucket of at most ``LIMIT`` classes is compared by brute force; a larger one is
-split further along its paths.  One that holds most of its parent and whose members agree with its
-first one nearly everywhere cannot be split by that: all its members become candidates of each
+split further along its paths.  One whose share of its parent shows that its members agree
+nearly everywhere cannot be split by that: all its members become candidates of each
 other.  ``runs`` follows from the recall wanted and the longest path met: where buckets had to be split
 beyond ``LENGTH`` places, more runs follow until their number holds for the length really reached.
 
 Candidates (buckets' pairs whose embeddings agree on ``LEAST_AGREED`` of their places) are
 joined to clusters, and within a cluster every pair is compared exactly, on the whole
 sets, in blocks of about ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles: a pair lies in one cluster and one pair of blocks, so it
-counts once.  Blocks return each class's links and a spanning forest, never all pairs.
+counts once.  A cluster of several blocks is cut into bands by the size of the sets; linked sets lie in one band or in
+two neighbours, so no others meet.  Blocks return each class's links and a spanning forest, never all pairs.
 
 Defined cases: NULL and empty texts have no shingles, no links, and are groups of their
 own; repeated rows are copies; texts are read whole; an empty table gives an empty
@@ -54,11 +55,13 @@ LIMIT = 200
 BLOCK = 256
 #: Shingles of all classes of a block, so that its memory does not follow the length of texts (one longer text is a block).
 BLOCK_SHINGLES = 1 << 20
+#: Sizes of the sets in one band; more than 5 / 4, so that linked sets are at most one band apart.
+BAND = 1.26
 #: Shingles sent to pairs of blocks in one round of comparison, unless twice those of all sets are more: a set goes to every block of its cluster.
 ROUND_SHINGLES = 1 << 26
 #: Bytes of a pair of blocks after which a worker gives memory back.
 LARGE = 1 << 22
-#: Share of its parent, and of places on which its members agree, from which a bucket counts as dense; and the longest path.
+#: Share of its parent from which a bucket counts as dense, and the longest path.
 DENSE = 0.64
 DEEPEST = 12
 #: Bits of the largest filter of members.
@@ -238,21 +241,6 @@ def _bucket_edges(batches):
         release()
 
 
-def _dense(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``path`` of the buckets whose members agree with their first one on ``DENSE`` of all places in the mean.
-
-    That a bucket holds most of its parent says so of one place only: where a passage is common, so is its next place.
-    """
-
-    def agreed(column: pa.Array, first: pa.Array) -> pa.Array:
-        return pa.array((_places(column) == _places(first)).sum(axis=1))
-
-    placed = rows.join(vectors, "digest").select("path", "digest", "places")
-    first = placed.groupBy("path").agg(F.min(F.struct("digest", "places"))["places"].alias("first"))
-    near = F.arrow_udf(releasing(agreed), LongType())("places", "first")
-    return placed.join(first, "path").select("path", near.alias("near")).groupBy("path").agg(F.avg("near").alias("near")).where(F.col("near") >= DENSE * SIZE).select("path")
-
-
 def _met(classes: DataFrame, n_classes: int, similarity: float, numbers: range) -> tuple[list[DataFrame], int]:
     """Edges from the runs of these numbers, and the length of the longest path that was followed."""
     first = _first_paths(similarity, numbers)
@@ -267,17 +255,13 @@ def _met(classes: DataFrame, n_classes: int, similarity: float, numbers: range)
         drop(paths)
         small = rows.where(F.col("size") <= LIMIT).join(vectors, "digest")
         found.append(cut(small.groupBy("path").agg(F.collect_list("digest"), F.collect_list("places")).drop("path").mapInArrow(_bucket_edges, "a binary, b binary").distinct(), "edges"))
-        rest = rows.where(F.col("size") > LIMIT)
+        dense = (F.col("size") >= DENSE * F.col("parent_size")) | F.lit(depth == DEEPEST)
+        large = rows.where((F.col("size") > LIMIT) & dense)
+        least = large.groupBy("path").agg(F.min("digest").alias("b"))
+        found.append(cut(large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a != b").distinct(), "edges"))
+        rest = rows.where((F.col("size") > LIMIT) & ~dense)
         if rest.isEmpty():
             break
-        if depth > 1:
-            dense = rest.select("path").distinct() if depth == DEEPEST else cut(_dense(rest.where(F.col("size") >= DENSE * F.col("parent_size")), vectors), "dense")
-            large = rest.join(dense, "path", "left_semi")
-            least = large.groupBy("path").agg(F.min("digest").alias("b"))
-            found.append(cut(large.join(least, "path").select(F.col("digest").alias("a"), "b").where("a != b").distinct(), "edges"))
-            rest = rest.join(dense, "path", "left_anti")
-            if depth == DEEPEST or rest.isEmpty():
-                break
         going = rest.join(vectors, "digest")
         paths = going.select("digest", F.explode(_next_paths(similarity)("places", "path", "used")).alias("at"), "size").select("digest", "at.*", F.col("size").alias("parent_size"))
     drop(rows)
@@ -425,31 +409,48 @@ def maybe_members(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def compared(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``digest, root, links`` from all pairs of blocks of all clusters, written in rounds; ``members`` has ``digest, doc_id, n, copies, cluster``."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n_shingles"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int")
-    placed = members.join(sizes, "cluster").select("digest", F.col("doc_id").alias("rep"), "n", "copies", "cluster", blocks.alias("blocks"))
-    once, sent = placed.agg(F.sum("n"), F.sum(F.col("n") * F.col("blocks"))).first()
+    def blocks(rows: DataFrame, *keys: str) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n_shingles"))
+        return sizes.select(*keys, F.greatest(F.ceil(F.col("size") / BLOCK), F.least("size", F.ceil(F.col("n_shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+
+    band = F.when(F.col("blocks") > 1, F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")).otherwise(0)
+    banded = members.join(blocks(members, "cluster"), "cluster").select("digest", F.col("doc_id").alias("rep"), "n", "copies", "cluster", band.alias("band"))
+    sizes = cut(blocks(banded, "cluster", "band"), "sizes")
+    placed = banded.join(sizes, ["cluster", "band"])
+    for side, step in (("below", 1), ("above", -1)):
+        placed = placed.join(sizes.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(side)), ["cluster", "band"], "left")
+    placed = placed.fillna(0, ["below", "above"])
+    once, sent = placed.agg(F.sum("n"), F.sum(F.col("n") * (F.col("blocks") + F.col("below") + F.col("above")))).first()
     rounds = max(1, -(-(sent or 0) // max(ROUND_SHINGLES, 2 * (once or 0))))
-    texts = maybe_members(docs, members).join(placed, docs["doc_id"].eqNullSafe(placed["rep"]))
-    made = cut(texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", "copies", "cluster", "blocks", F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"]), "sets")
+    texts = maybe_members(docs, members).join(placed.drop("n"), docs["doc_id"].eqNullSafe(placed["rep"]))
+    kept = ("copies", "cluster", "band", "blocks", "below", "above")
+    made = cut(texts.withColumn("made", _sets(WORDS)("text")).where("made.digest = digest").select("digest", *kept, F.col("made.shingles").alias("shingles")).dropDuplicates(["digest"]), "sets")
+
+    def others(n: str, step: int):
+        return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), F.lit(1), F.col(n)), lambda x: F.struct(F.lit(step).alias("step"), x.alias("block")))
+
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    pairs = made.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = made.withColumn("block", block).withColumn("other", F.explode(F.concat(others("blocks", 0), others("below", -1), others("above", 1))))
+    step, other = F.col("other.step"), F.col("other.block")
+    first = F.when(step == 0, F.col("block") <= other).otherwise(step > 0)
     rows = pairs.select(
         "cluster",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"),
-        (F.col("block") == F.col("other")).alias("same"),
+        F.least(F.col("band"), F.col("band") + step).alias("low"),
+        F.greatest(F.col("band"), F.col("band") + step).alias("high"),
+        F.when(first, F.col("block")).otherwise(other).alias("i"),
+        F.when(first, other).otherwise(F.col("block")).alias("j"),
+        F.when(first, 0).otherwise(1).alias("side"),
+        ((step == 0) & (F.col("block") == other)).alias("same"),
         "digest",
         "copies",
         "shingles",
     )
     found = None
     for r in range(rounds):
-        some = rows.where((F.col("i") + F.col("j")) % rounds == r).groupBy("cluster", "i", "j").applyInArrow(_compared, "digest binary, root binary, links long")
+        some = rows.where((F.col("i") + F.col("j")) % rounds == r).groupBy("cluster", "low", "high", "i", "j").applyInArrow(_compared, "digest binary, root binary, links long")
         done = cut(some, "compared")
         found = found.unionByName(done) if found is not None else done
-    drop(made)
+    drop(made, sizes)
     return found
 
 

@@ -532,16 +532,10 @@ def hot_classes(spark, n, hot, seed):
     return spark.createDataFrame([(hashlib.md5(b"%d" % i).digest(), bytearray(row.tobytes())) for i, row in enumerate(places)], "digest binary, places binary")
 
 
-def test_a_common_passage_joins_no_unlike_classes(spark, monkeypatch):
-    """A bucket that holds its parent, but whose members agree on a third of their places, is split and not compared as a whole."""
-    monkeypatch.setattr(jaccard_join, "LIMIT", 3)
-    assert jaccard_join.candidates(hot_classes(spark, 40, 20, 1)).count() == 0
-
-
 def test_paths_draw_no_place_twice(spark, monkeypatch):
-    """Behind one common place all others differ, however many runs there are."""
+    """Behind a place that 8 of 800 classes have in common all others differ, however many runs there are."""
     monkeypatch.setattr(jaccard_join, "LIMIT", 3)
-    found, _ = jaccard_join._met(hot_classes(spark, 8, 1, 2), 8, 0.8, range(5000))
+    found, _ = jaccard_join._met(hot_classes(spark, 8, 1, 2), 800, 0.8, range(15000))
     assert sum(edges.count() for edges in found) == 0
 
 
@@ -566,4 +560,17 @@ def test_rounds_of_blocks_lose_no_link_and_leave_no_tables(spark, monkeypatch):
     rounds = [n for name, _, n in wide if name == "compared"]
     assert len(rounds) > 1 and max(rounds) <= 3 * len(rows)
     there = {name for name, made, _ in wide if spark._jvm.java.io.File(made.inputFiles()[0].removeprefix("file:")).exists()}
-    assert there <= {"signatures", "classes", "edges", "dense", "compared"}
+    assert there <= {"signatures", "classes", "edges", "compared"}
+
+
+def test_bands_of_sizes_lose_no_link(spark, monkeypatch):
+    """A chain of texts of all lengths is one cluster; sets of unlike sizes do not meet, and the links are those of brute force."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    words, made, write = [f"w{i}" for i in range(200)], [], jaccard_join.cut
+    rows = [(i, " ".join(words[: 8 + i * 4])) for i in range(48)]
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name: made.append((name, out := write(df, name), out.count())) or out)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = shingle_sets(rows)
+    assert sorted((r.doc_id, r.n_links) for r in found) == [(i, sum(b != i and 5 * len(sets[i] & sets[b]) >= 4 * len(sets[i] | sets[b]) for b in sets)) for i in sets]
+    compared = sum(n for name, _, n in made if name == "compared")
+    assert 0 < compared < 48 * 12 * 0.75  # without bands each of 48 sets meets 12 blocks
